@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .linking import classes, confirm, crowded_members
 from .textnum import Prefix, Words, mix, runs, signed
 from .workspace import Workspace
 
@@ -40,10 +40,6 @@ PERCENT = 80
 ROWS, BANDS = 7, 64
 COORDINATES = ROWS * BANDS
 RING_BITS = 20
-#: Star rounds before the pairs that are left are compared.
-ROUNDS = 3
-#: Pairs of one centre that a task compares.
-SPLIT = 1000
 _NULL_ID = -(1 << 63)
 _BASE = 0xE7037ED1A0B428DB | 1
 _ring: list[np.ndarray] = []
@@ -138,32 +134,10 @@ def _similar(k: int, percent: int):
     return run
 
 
-def _confirm(ws: Workspace, pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar.  A centre b with many pairs is copied to
-    as many places as it has ``SPLIT`` pairs; a is met by key."""
-    spread = ws.save(pairs.groupBy("b").agg(F.floor((F.count("*") - 1) / SPLIT).alias("parts")), "centres")
-    centres = texts.withColumnsRenamed({"k": "b", "text": "b_text"}).join(spread, "b").select(
-        "b", "b_text", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part")
-    )
-    asked = pairs.join(spread, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts") + 1).alias("part"))
-    with_centre = asked.join(centres, ["b", "part"]).select("a", "b", "b_text")
-    full = with_centre.join(texts.withColumnsRenamed({"k": "a", "text": "a_text"}), "a").select("a", "b", "a_text", "b_text")
-    return ws.save(full.mapInArrow(_similar(k, percent), "a long, b long"), "links")
-
-
-def _one_centre(rows: DataFrame) -> DataFrame:
-    """(a, b): for every node the centre it shares most buckets with."""
-    return rows.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-
-
 def _classes(ws: Workspace, sketches: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of the nodes that have a link."""
-    rows = sketches.where("n > 0").select("n", "k", F.explode("bands").alias("band"))
-    crowded = ws.save(
-        rows.groupBy("band").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low != high").select("band", "low"), "buckets"
-    )
-    members = ws.save(rows.join(crowded, "band").groupBy("band", "k", "n").agg(F.first("low").alias("low")), "members")
-    ws.release()
+    rows = sketches.where("n > 0").select("k", F.col("n").alias("about"), F.explode("bands").alias("bucket"))
+    members = crowded_members(ws, rows)
     wanted = members.select("k").distinct()
     owners = ws.save(
         sketches.select("doc_id", "k").join(wanted, "k", "left_semi").groupBy("k").agg(F.min(_known_id()).alias("d")), "owners"
@@ -174,45 +148,7 @@ def _classes(ws: Workspace, sketches: DataFrame, docs: DataFrame, k: int, percen
     )
     ws.release()
     near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    pairs = ws.save(_one_centre(members.where("k != low").select(F.col("k").alias("a"), F.col("low").alias("b"))), "pairs")
-    links = _confirm(ws, pairs, texts, k, percent)
-    tested, open_rows = pairs, members.select("band", "k", "n")
-    for step in range(ROUNDS + 1):
-        roots = ws.save(components(ws, links), "roots")
-        ws.release()
-        placed = open_rows.join(roots, F.col("k") == F.col("node"), "left").select("band", "k", "n", F.coalesce("root", "k").alias("root"))
-        placed = ws.save(placed, "placed")
-        still = ws.save(
-            placed.groupBy("band")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("root", "k", "n")).alias("c"))
-            .where("low != high")
-            .select("band", F.col("c.root").alias("c_root"), F.col("c.k").alias("c_k"), F.col("c.n").alias("c_n")),
-            "open",
-        )
-        left = ws.save(placed.join(still, "band"), "left")
-        if left.isEmpty():
-            return roots
-        if step < ROUNDS:
-            ask = _one_centre(
-                left.where((F.col("root") != F.col("c_root")) & near(F.col("n"), F.col("c_n"))).select(F.col("k").alias("a"), F.col("c_k").alias("b"))
-            )
-        else:
-            other = left.select("band", F.col("k").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-            ask = (
-                left.join(other, "band")
-                .where((F.col("root") < F.col("b_root")) & near(F.col("n"), F.col("b_n")))
-                .select(F.col("k").alias("a"), "b")
-                .distinct()
-            )
-        asked = ws.save(ask.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = _confirm(ws, asked, texts, k, percent)
-        if step < ROUNDS or not more.isEmpty():
-            links = links.union(more)
-        if step == ROUNDS:
-            return ws.save(components(ws, links), "roots")
-        tested, open_rows = tested.union(asked), left.select("band", "k", "n")
-    raise AssertionError("unreachable")
+    return classes(ws, members, near, lambda pairs: confirm(ws, pairs, texts, _similar(k, percent)))
 
 
 def _known_id():

@@ -7,13 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, exact, mixing, neardup, quality, shards, substrings
+from . import bytebpe, exact, lines, mixing, neardup, quality, shards, substrings, tokenfile, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = unigram.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram.report(_table(spark, sf_dir, "documents"), pieces)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        spec = file.read()
+    return tokenfile.report(_table(spark, sf_dir, "documents"), spec)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +60,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_token_files": op3_token_files,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mixing": op6_mixing,

@@ -88,10 +88,10 @@ def sea_level_pressure(columns, by, level: str = "k"):
     here = F.struct(F.col(level).alias("l"), *[F.col(c).alias(c[1:]) for c in ("_p", "_t", "_z")])
     rows = rows.withColumns({"_here": here, "_up": F.coalesce(F.lead(here).over(order), here), "_p0": F.first("_p").over(order)})
     found = rows.groupBy(*by).agg(
-        F.min(F.when(F.col("_p") < F.col("_p0") - drop, F.struct(F.col(level), "_here", "_up"))).alias("c"),
-        F.min_by("_here", level).alias("base"),
+        F.min(F.when(F.col("_p") < F.col("_p0") - drop, F.struct(F.col(level), "_here", "_up"))).alias("_c"),
+        F.min_by("_here", level).alias("_base"),
     )
-    lo, hi, base = F.col("c._here"), F.col("c._up"), F.col("base")
+    lo, hi, base = F.col("_c._here"), F.col("_c._up"), F.col("_base")
     at = base["p"] - drop
     blend = F.log(at / hi["p"]) * F.log(lo["p"] / hi["p"])
     t_at = hi["t"] - (hi["t"] - lo["t"]) * blend
@@ -100,7 +100,7 @@ def sea_level_pressure(columns, by, level: str = "k"):
     t_sea = t_at + lapse * z_at
     fixed = F.when((t_surface <= tc) & (t_sea >= tc), tc).otherwise(tc - 0.005 * (t_surface - tc) ** 2)
     slp = 0.01 * (base["p"] * F.exp(2.0 * g * base["z"] / (r * (fixed + t_surface))))
-    return found.select(*by, F.when(F.col("c").isNotNull(), slp).alias("slp"))
+    return found.select(*by, F.when(F.col("_c").isNotNull(), slp).alias("slp"))
 
 
 def shear(columns, by, level: str = "k", upper: float = 200.0, lower: float = 850.0):

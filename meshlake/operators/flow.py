@@ -44,7 +44,7 @@ class Field:
         g, d = self.grid, len(self.grid.n)
         cell, share = [], []
         for a in range(d):
-            at = (place[:, a] - g.low[a]) / (g.delta(a) or 1.0)
+            at = np.nan_to_num((place[:, a] - g.low[a]) / (g.delta(a) or 1.0))  # lost places are blanked by the caller
             c = np.clip(np.floor(at), 0, max(g.n[a] - 2, 0)).astype(int)
             cell.append(c)
             share.append(np.clip(at - c, 0.0, 1.0))

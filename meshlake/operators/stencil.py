@@ -134,7 +134,11 @@ def decimate(values: DataFrame, factor: int = 2) -> DataFrame:
 
 def interpolate_to_level(columns: DataFrame, by: Sequence[str], level: str, pressure: str, value: str, target: float) -> DataFrame:
     """(by, value): the value where ``pressure`` first falls below the target going up;
-    the lowest level's own value if that is the first, the top value if none is."""
+    the lowest level's own value if that is the first, the top value if none is.
+
+    The share of the way from the crossing level down to the one below it weighs the
+    crossing level, as users of this operation expect it, though the other way round
+    would be linear interpolation."""
     order = Window.partitionBy(*by).orderBy(level)
     here = columns.withColumns({"_pb": F.lag(pressure).over(order), "_vb": F.lag(value).over(order)})
     ratio = (F.lit(target) - F.col(pressure)) / (F.col("_pb") - F.col(pressure))

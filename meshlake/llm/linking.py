@@ -1,32 +1,40 @@
 """Classes of nodes that share buckets and pass a check, without expanding buckets into pairs.
 
-Each node is first compared with one centre of its buckets, the one it shares most
-buckets with.  Buckets whose nodes lie in one class after that need nothing more;
-in the others this is repeated ``ROUNDS`` times, and at last all their pairs that lie
-in different classes are compared: no link that joins two classes is lost.
+1. Every node is compared with one centre: of its buckets' most crowded nodes the one
+   that it shares most buckets with.
+2. Buckets whose nodes are in one class then need nothing more.  In the others, the
+   open ones, sketches are compared inside the bucket, and pairs from different classes
+   that the sketches can't rule out are checked: first only as many as could join the
+   bucket's classes (a forest), then all that are left.
+
+Sketches never rule out a link, so no link that joins two classes is lost.  A large
+bucket is compared in blocks of ``BLOCK`` nodes against ``BLOCK`` nodes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .workspace import Workspace
 
-ROUNDS = 3
 #: Pairs of one centre that a task compares.
 SPLIT = 1000
+BLOCK = 1000
 
 
 def crowded_members(ws: Workspace, rows: DataFrame) -> DataFrame:
-    """Distinct (bucket, k, about, low) of the buckets with two nodes or more; low is their least node."""
+    """Distinct (bucket, k, about) of the buckets with two nodes or more."""
     crowded = ws.save(
-        rows.groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low != high").select("bucket", "low"), "buckets"
+        rows.groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low != high").select("bucket"), "buckets"
     )
-    members = ws.save(rows.join(crowded, "bucket").groupBy("bucket", "k", "about").agg(F.first("low").alias("low")), "members")
+    members = ws.save(rows.join(crowded, "bucket").groupBy("bucket", "k", "about").agg(F.count("*")).select("bucket", "k", "about"), "members")
     ws.release()
     return members
 
@@ -46,69 +54,135 @@ def confirm(ws: Workspace, pairs: DataFrame, texts: DataFrame, check: Callable)
     return ws.save(full.mapInArrow(check, "a long, b long"), "links")
 
 
-def _one_centre(rows: DataFrame) -> DataFrame:
-    """(a, b): for every node the centre it shares most buckets with."""
-    return rows.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+def _centres(ws: Workspace, members: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b): for every node the centre it is compared with."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    crowd = members.join(sizes, "bucket").groupBy("k").agg(F.sum("size").alias("crowd"))
+    ranked = ws.save(members.join(crowd, "k"), "ranked")
+    top = ws.save(ranked.groupBy("bucket").agg(F.max(F.struct("crowd", "k", "about")).alias("c")), "tops")
+    asked = ranked.join(top, "bucket").where((F.col("k") != F.col("c.k")) & near(F.col("about"), F.col("c.about")))
+    shared = asked.groupBy(F.col("k").alias("a"), F.col("c.k").alias("b")).agg(F.count("*").alias("n"))
+    return shared.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+
+
+def _pairs_in_blocks(matches: Callable, forest: bool):
+    """Pairs of the rows of a block that ``matches`` gives and whose classes differ."""
+
+    def block(rows: list[tuple]) -> list[tuple[int, int]]:
+        roots = [r[4] for r in rows]
+        if len(set(roots)) < 2:
+            return []
+        across = rows[0][1] != rows[0][2]
+        joined: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while (up := joined.get(r, r)) != r:
+                r = up
+            return r
+
+        out = []
+        # Rows of the largest class go last: they needn't be compared with each other.
+        main = Counter(roots).most_common(1)[0][0]
+        rows = sorted(rows, key=lambda r: r[4] == main)
+        roots, own = [r[4] for r in rows], [r[5] for r in rows]
+        for x, ys in matches([r[6] for r in rows], len(rows) - roots.count(main)):
+            for y in ys:
+                if roots[x] == roots[y] or across and own[x] == own[y]:
+                    continue
+                if forest:
+                    p, q = find(roots[x]), find(roots[y])
+                    if p == q:
+                        continue
+                    joined[max(p, q)] = min(p, q)
+                a, b = rows[x][3], rows[y][3]
+                out.append((max(a, b), min(a, b)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found: list[tuple[int, int]] = []
+        names = ["bucket", "i", "j", "k", "root", "own", "sketch"]
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if held and held[0][:3] != row[:3]:
+                    found += block(held)
+                    held = []
+                held.append(row)
+            if found:
+                yield _as_batch(found)
+                found = []
+        if held:
+            yield _as_batch(block(held))
+
+    return run
+
+
+def _as_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _open(ws: Workspace, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, k, root, n): the rows of buckets with more than one class, and their number."""
+    placed = ws.save(
+        members.join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("root", "k").alias("root")), "placed"
+    )
+    still = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    return ws.save(placed.join(ws.save(still.where("low != high").select("bucket", "n"), "open"), "bucket"), "left")
+
+
+def _candidates(left: DataFrame, sketches: DataFrame, matches: Callable, forest: bool) -> DataFrame:
+    parts = F.floor((F.col("n") - 1) / BLOCK)
+    own = F.pmod(F.xxhash64("k"), F.col("parts") + 1)
+    spread = left.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "parts")))
+    keyed = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k", "root", "own")
+    rows = keyed.join(sketches, "k").select("bucket", "i", "j", "k", "root", "own", "sketch")
+    ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "k")
+    return ordered.mapInArrow(_pairs_in_blocks(matches, forest), "a long, b long").distinct()
 
 
 def classes(
     ws: Workspace,
     members: DataFrame,
+    texts: DataFrame,
     near: Callable[[Column, Column], Column],
-    confirmed: Callable[[DataFrame], DataFrame],
+    sketch: Callable,
+    matches: Callable,
+    check: Callable,
 ) -> DataFrame:
     """(node, root) of the nodes that have a link.
 
-    ``near`` is a necessary condition on two nodes' ``about``; ``confirmed`` gives the
-    pairs that are links.
+    ``near`` is a necessary condition on two nodes' ``about``.  ``sketch`` maps batches of
+    (k, text) to (k, sketch); ``matches`` gives for a list of sketches (x, places that may be
+    linked with x), pairs with a place below ``stop`` once each; ``check`` confirms pairs by
+    their texts.
     """
-    links = tested = roots = None
-    open_rows = members
-    for step in range(ROUNDS + 2):
-        if step == 0:
-            first = members.groupBy("bucket").agg(F.min(F.struct("k", "about")).alias("c"))
-            first = ws.save(first.select("bucket", F.col("c.k").alias("c_k"), F.col("c.about").alias("c_about")), "centres")
-            left = members.join(first, "bucket").where("k != c_k")
-            ask = _one_centre(left.where(near(F.col("about"), F.col("c_about"))).select(F.col("k").alias("a"), F.col("c_k").alias("b")))
-        else:
-            placed = ws.save(
-                open_rows.join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", "about", F.coalesce("root", "k").alias("root")),
-                "placed",
-            )
-            still = ws.save(
-                placed.groupBy("bucket")
-                .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("root", "k", "about")).alias("c"))
-                .where("low != high")
-                .select("bucket", F.col("c.root").alias("c_root"), F.col("c.k").alias("c_k"), F.col("c.about").alias("c_about")),
-                "open",
-            )
-            left = ws.save(placed.join(still, "bucket"), "left")
-            if left.isEmpty():
-                return roots
-            if step <= ROUNDS:
-                ask = _one_centre(
-                    left.where((F.col("root") != F.col("c_root")) & near(F.col("about"), F.col("c_about"))).select(
-                        F.col("k").alias("a"), F.col("c_k").alias("b")
-                    )
-                )
-            else:
-                other = left.select("bucket", F.col("k").alias("b"), F.col("about").alias("b_about"), F.col("root").alias("b_root"))
-                ask = (
-                    left.join(other, "bucket")
-                    .where((F.col("root") < F.col("b_root")) & near(F.col("about"), F.col("b_about")))
-                    .select(F.col("k").alias("a"), "b")
-                    .distinct()
-                )
-            open_rows = left.select("bucket", "k", "about")
-        ask = ask.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        asked = ws.save(ask if tested is None else ask.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = confirmed(asked)
-        if links is not None and more.isEmpty():
-            if step > ROUNDS:
-                return roots
-        else:
-            links = more if links is None else links.union(more)
-            roots = ws.save(components(ws, links), "roots")
-        tested = asked if tested is None else tested.union(asked)
+    asked = ws.save(_centres(ws, members, near), "pairs")
+    links = confirm(ws, asked, texts, check)
+    tested = asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    roots = ws.save(components(ws, links), "roots")
+    sketches = None
+    for forest in (True, False):
         ws.release()
+        left = _open(ws, members, roots)
+        if left.isEmpty():
+            return roots
+        if sketches is None:
+            wanted = left.select("k").distinct()
+            sketches = ws.save(texts.join(wanted, "k", "left_semi").mapInArrow(sketch, "k long, sketch binary"), "sketches")
+        asked = ws.save(_candidates(left, sketches, matches, forest).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = confirm(ws, asked, texts, check)
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = ws.save(components(ws, links), "roots")
+        tested = tested.union(asked)
     return roots
+
+
+def bit_matches(matrix: np.ndarray, stop: int, most: Callable[[int, slice], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, later rows that differ from row x in at most ``most(x, rows)`` bits) of a matrix of bytes, x < stop."""
+    for x in range(min(stop, len(matrix) - 1)):
+        later = slice(x + 1, len(matrix))
+        differ = np.bitwise_count(matrix[later] ^ matrix[x]).sum(axis=1, dtype=np.int64)
+        hit = np.flatnonzero(differ <= most(x, later))
+        if len(hit):
+            yield x, hit + x + 1

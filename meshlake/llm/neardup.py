@@ -9,11 +9,8 @@ agree on a band are candidates.  A pair of similarity 0.8 is missed with
 probability (1 - 0.8^ROWS)^BANDS, 3e-7 here.
 
 Links are confirmed on full sets.  Equal sets are one node.  Candidates of a band
-aren't expanded into pairs: each node is first compared with one centre of its
-bands, the one it shares most bands with; buckets that hold one component after
-that need nothing more.  In the buckets left, this is repeated, and at last all
-pairs that lie in different components are compared, so no link that joins
-components is lost.
+aren't expanded into pairs: see ``linking``; inside the buckets that it leaves open,
+bitmaps of the sets rule pairs out, never a link.
 
 Cases: a text without words, or null, has an empty set, links with nothing and is
 its own component; null ids sort before all others and lose to them as
@@ -31,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import classes, confirm, crowded_members
+from .linking import bit_matches, classes, crowded_members
 from .textnum import Prefix, Words, mix, runs, signed
 from .workspace import Workspace
 
@@ -116,6 +113,50 @@ def _texts_of(k: int):
     return run
 
 
+def bitmap(found: np.ndarray) -> bytes:
+    """The size of a set, and a bit for each shingle's place among 8 to 16 times as many."""
+    bits = 1 << max(6, int(8 * len(found) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(mix(found) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return len(found).to_bytes(8, "little") + np.packbits(out).tobytes()
+
+
+def _bitmaps(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, texts in runs(batch):
+                sketches = [bitmap(s) for s in shingle_sets(texts, k)]
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(row, len(texts)), pa.array(sketches, pa.binary())], ["k", "sketch"])
+
+    return run
+
+
+def _may_link(percent: int):
+    """Pairs of bitmaps that differ in few enough bits.
+
+    Similarity p means that the sets differ in at most (1 - p) / (1 + p) of their sizes'
+    sum, and bitmaps never differ in more places than the sets.  A bitmap of twice the
+    width is folded first; sets whose widths are further apart are too unequal in size.
+    """
+
+    def run(sketches: list[bytes], stop: int) -> Iterator[tuple[int, np.ndarray]]:
+        size = np.array([int.from_bytes(x[:8], "little") for x in sketches], np.int64)
+        width = np.array([len(x) - 8 for x in sketches])
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero((width == w) | (width == 2 * w))
+            wider = width[rows] > w
+            flat = [np.frombuffer(sketches[i], np.uint8, offset=8) for i in rows.tolist()]
+            matrix = np.stack([m if len(m) == w else m[:w] | m[w:] for m in flat])
+            sizes = size[rows]
+            most = lambda x, later, sizes=sizes: (sizes[later] + sizes[x]) * (100 - percent) // (100 + percent)
+            for x, hit in bit_matches(matrix, int((rows < stop).sum()), most):
+                hit = hit[~wider[hit]] if wider[x] else hit  # two wide ones meet at their own width
+                if len(hit):
+                    yield int(rows[x]), rows[hit]
+
+    return run
+
+
 def _similar(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +189,7 @@ def _classes(ws: Workspace, sketches: DataFrame, docs: DataFrame, k: int, percen
     )
     ws.release()
     near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    return classes(ws, members, near, lambda pairs: confirm(ws, pairs, texts, _similar(k, percent)))
+    return classes(ws, members, texts, near, _bitmaps(k), _may_link(percent), _similar(k, percent))
 
 
 def _known_id():

@@ -114,3 +114,31 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     found = components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long"))
     assert {r.node: r.root for r in found.collect()} == {x: find(x) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_blocks_lose_no_pair():
+    """Bitmaps in blocks of mixed widths, classes and parts find every similar pair across classes."""
+    from meshlake.llm import linking
+
+    rng = np.random.default_rng(7)
+    sets, base = [], rng.integers(0, 2**63, 130).astype(np.uint64)
+    for i in range(80):
+        own = base[: 118 + i % 12].copy()
+        own[rng.integers(0, len(own), i % 14)] = rng.integers(0, 2**63, i % 14).astype(np.uint64)
+        sets.append(np.unique(own))
+    roots = [0 if i % 3 else i for i in range(80)]
+    rows = [(5, 0, 0, i, roots[i], 0, neardup.bitmap(s)) for i, s in enumerate(sets)]
+    found = set()
+    import pyarrow as pa
+
+    names = ["bucket", "i", "j", "k", "root", "own", "sketch"]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows]) for c in range(7)], names)
+    for out in linking._pairs_in_blocks(neardup._may_link(80), False)(iter([batch.slice(0, 30), batch.slice(30)])):
+        found |= set(zip(out.column("a").to_pylist(), out.column("b").to_pylist()))
+    want = set()
+    for i in range(80):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if roots[i] != roots[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                want.add((i, j))
+    assert want and want <= found and len({len(r[6]) for r in rows}) > 1

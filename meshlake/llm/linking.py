@@ -9,11 +9,13 @@
 
 Sketches never rule out a link, so no link that joins two classes is lost.  A large
 bucket is compared in blocks of ``BLOCK`` nodes against ``BLOCK`` nodes.
+
+Joins that carry texts, buckets or nodes of the corpus ask for a sort-merge join: they are
+planned alike at every size, and nothing that grows with the corpus is broadcast.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ def crowded_members(ws: Workspace, rows: DataFrame) -> DataFrame:
     crowded = ws.save(
         rows.groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low != high").select("bucket"), "buckets"
     )
-    members = ws.save(rows.join(crowded, "bucket").groupBy("bucket", "k", "about").agg(F.count("*")).select("bucket", "k", "about"), "members")
+    members = ws.save(rows.join(crowded.hint("merge"), "bucket").groupBy("bucket", "k", "about").agg(F.count("*")).select("bucket", "k", "about"), "members")
     ws.release()
     return members
 
@@ -45,12 +47,12 @@ def confirm(ws: Workspace, pairs: DataFrame, texts: DataFrame, check: Callable)
     spread = ws.save(pairs.groupBy("b").agg(F.floor((F.count("*") - 1) / SPLIT).alias("parts")), "centres")
     centres = (
         texts.withColumnsRenamed({"k": "b", "text": "b_text"})
-        .join(spread, "b")
+        .join(spread.hint("merge"), "b")
         .select("b", "b_text", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"))
     )
     asked = pairs.join(spread, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts") + 1).alias("part"))
-    with_centre = asked.join(centres, ["b", "part"]).select("a", "b", "b_text")
-    full = with_centre.join(texts.withColumnsRenamed({"k": "a", "text": "a_text"}), "a").select("a", "b", "a_text", "b_text")
+    with_centre = asked.join(centres.hint("merge"), ["b", "part"]).select("a", "b", "b_text")
+    full = with_centre.join(texts.withColumnsRenamed({"k": "a", "text": "a_text"}).hint("merge"), "a").select("a", "b", "a_text", "b_text")
     return ws.save(full.mapInArrow(check, "a long, b long"), "links")
 
 
@@ -58,7 +60,7 @@ def _centres(ws: Workspace, members: DataFrame, near: Callable[[Column, Column],
     """(a, b): for every node the centre it is compared with."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
     crowd = members.join(sizes, "bucket").groupBy("k").agg(F.sum("size").alias("crowd"))
-    ranked = ws.save(members.join(crowd, "k"), "ranked")
+    ranked = ws.save(members.join(crowd.hint("merge"), "k"), "ranked")
     top = ws.save(ranked.groupBy("bucket").agg(F.max(F.struct("crowd", "k", "about")).alias("c")), "tops")
     asked = ranked.join(top, "bucket").where((F.col("k") != F.col("c.k")) & near(F.col("about"), F.col("c.about")))
     shared = asked.groupBy(F.col("k").alias("a"), F.col("c.k").alias("b")).agg(F.count("*").alias("n"))
@@ -69,10 +71,13 @@ def _pairs_in_blocks(matches: Callable, forest: bool):
     """Pairs of the rows of a block that ``matches`` gives and whose classes differ."""
 
     def block(rows: list[tuple]) -> list[tuple[int, int]]:
-        roots = [r[4] for r in rows]
+        _, _, j, *_ = rows[0]
+        # Rows of the bucket's main class go last: they needn't be compared with each other.
+        rows = sorted(rows, key=lambda r: r[5] < 0)
+        roots, own = [r[4] for r in rows], [r[5] for r in rows]
         if len(set(roots)) < 2:
             return []
-        across = rows[0][1] != rows[0][2]
+        others = sum(part >= 0 for part in own)
         joined: dict[int, int] = {}
 
         def find(r: int) -> int:
@@ -81,13 +86,11 @@ def _pairs_in_blocks(matches: Callable, forest: bool):
             return r
 
         out = []
-        # Rows of the largest class go last: they needn't be compared with each other.
-        main = Counter(roots).most_common(1)[0][0]
-        rows = sorted(rows, key=lambda r: r[4] == main)
-        roots, own = [r[4] for r in rows], [r[5] for r in rows]
-        for x, ys in matches([r[6] for r in rows], len(rows) - roots.count(main)):
+        for x, ys in matches([r[6] for r in rows], others):
             for y in ys:
-                if roots[x] == roots[y] or across and own[x] == own[y]:
+                # Pairs outside the main class belong to the block of its first part, or,
+                # from two parts, to a block of their own.
+                if roots[x] == roots[y] or (j > 0 and max(x, y) < others) or (j < 0 and own[x] == own[y]):
                     continue
                 if forest:
                     p, q = find(roots[x]), find(roots[y])
@@ -122,20 +125,37 @@ def _as_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _open(ws: Workspace, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, k, root, n): the rows of buckets with more than one class, and their number."""
+    """(bucket, k, root, main, m, r): the rows of buckets with more than one class, the class
+    that most rows are in, and the number of rows inside and outside it."""
     placed = ws.save(
         members.join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("root", "k").alias("root")), "placed"
     )
-    still = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    return ws.save(placed.join(ws.save(still.where("low != high").select("bucket", "n"), "open"), "bucket"), "left")
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    still = sizes.groupBy("bucket").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("m"), (F.sum("n") - F.max("n")).alias("r")
+    )
+    return ws.save(placed.join(ws.save(still.where("r > 0"), "open"), "bucket"), "left")
 
 
 def _candidates(left: DataFrame, sketches: DataFrame, matches: Callable, forest: bool) -> DataFrame:
-    parts = F.floor((F.col("n") - 1) / BLOCK)
-    own = F.pmod(F.xxhash64("k"), F.col("parts") + 1)
-    spread = left.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "parts")))
-    keyed = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k", "root", "own")
-    rows = keyed.join(sketches, "k").select("bucket", "i", "j", "k", "root", "own", "sketch")
+    """Pairs inside open buckets.  The rows outside a bucket's main class, in parts of
+    ``BLOCK``, meet each part of the main class and each other; a row of the main class is
+    copied only if the others are more than ``BLOCK``."""
+    zero = F.lit(0).cast("long")
+    left = left.withColumns({"_mp": F.floor((F.col("m") - 1) / BLOCK), "_rp": F.floor((F.col("r") - 1) / BLOCK)})
+    left = left.withColumns({"_mo": F.pmod(F.xxhash64("k"), F.col("_mp") + 1), "_ro": F.pmod(F.xxhash64("k"), F.col("_rp") + 1)})
+    is_main = F.col("root") == F.col("main")
+    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    with_main = F.transform(F.sequence(zero, "_mp"), lambda m: place(F.col("_ro"), m))
+    apart = F.filter(F.sequence(zero, "_rp"), lambda q: q != F.col("_ro"))
+    with_others = F.transform(apart, lambda q: place(F.least(F.col("_ro"), q), F.lit(-1) - F.greatest(F.col("_ro"), q)))
+    of_main = F.transform(F.sequence(zero, "_rp"), lambda q: place(q, F.col("_mo")))
+    blocks = F.when(is_main, of_main).otherwise(F.concat(with_main, with_others))
+    own = F.when(is_main, F.lit(-1).cast("long")).otherwise(F.col("_ro"))
+    keyed = left.select("bucket", "k", "root", own.alias("own"), F.explode(blocks).alias("at")).select(
+        "bucket", "at.i", "at.j", "k", "root", "own"
+    )
+    rows = keyed.join(sketches.hint("merge"), "k").select("bucket", "i", "j", "k", "root", "own", "sketch")
     ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "k")
     return ordered.mapInArrow(_pairs_in_blocks(matches, forest), "a long, b long").distinct()
 
@@ -168,7 +188,7 @@ def classes(
             return roots
         if sketches is None:
             wanted = left.select("k").distinct()
-            sketches = ws.save(texts.join(wanted, "k", "left_semi").mapInArrow(sketch, "k long, sketch binary"), "sketches")
+            sketches = ws.save(texts.join(wanted.hint("merge"), "k", "left_semi").mapInArrow(sketch, "k long, sketch binary"), "sketches")
         asked = ws.save(_candidates(left, sketches, matches, forest).join(tested, ["a", "b"], "left_anti"), "pairs")
         more = confirm(ws, asked, texts, check)
         if not more.isEmpty():

@@ -184,7 +184,7 @@ def _classes(ws: Workspace, sketches: DataFrame, docs: DataFrame, k: int, percen
         sketches.select("doc_id", "k").join(wanted, "k", "left_semi").groupBy("k").agg(F.min(_known_id()).alias("d")), "owners"
     )
     texts = ws.save(
-        docs.select(_known_id().alias("d"), "text").join(owners, "d").select("k", "text").mapInArrow(_texts_of(k), "k long, text string").dropDuplicates(["k"]),
+        docs.select(_known_id().alias("d"), "text").join(owners.hint("merge"), "d").select("k", "text").mapInArrow(_texts_of(k), "k long, text string").dropDuplicates(["k"]),
         "texts",
     )
     ws.release()
@@ -197,7 +197,7 @@ def _known_id():
 
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Sketches of all rows, and (k, component_id) of all nodes with a set."""
+    """(doc_id, n, k) of all rows, and (k, component_id) of all nodes with a set."""
     ws = Workspace(docs.sparkSession, "neardup")
     sketches = ws.save(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch(k), "doc_id long, n long, k long, bands array<long>"),
@@ -213,17 +213,19 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
         "nodes",
     )
     least = ws.save(nodes.groupBy("root").agg(F.min("d").alias("component_id")), "components")
-    return sketches, ws.save(nodes.join(least, "root").select("k", "component_id"), "classes")
+    rows = ws.save(sketches.select("doc_id", "n", "k"), "rows")
+    found = ws.save(nodes.join(least, "root").select("k", "component_id"), "classes")
+    ws.keep_only(rows, found)
+    return rows, found
 
 
 def report(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    sketches, classes = _grouped(docs, k, percent)
-    rows = sketches.select("doc_id", "n", "k")
+    rows, found = _grouped(docs, k, percent)
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     linked = (
         rows.where("n > 0")
-        .join(classes, "k")
+        .join(found, "k")
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
     return linked.unionByName(alone)

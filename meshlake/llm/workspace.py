@@ -34,12 +34,14 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: set[str] = set()
         atexit.register(self._quiet_drop)
 
     def save(self, df: DataFrame, name: str | None = None) -> DataFrame:
         self._n += 1
         path = f"{self.path}/{self._n:03d}-{name or 'table'}"
         df.write.parquet(path)
+        self._paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._meshlake_path = path
         return out
@@ -48,6 +50,15 @@ class Workspace:
         """Delete tables that no later phase reads."""
         for table in tables:
             self._delete(table._meshlake_path)
+            self._paths.discard(table._meshlake_path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        kept = {t._meshlake_path for t in tables}
+        for path in self._paths - kept:
+            self._delete(path)
+        self._paths &= kept
+        self.release()
 
     def release(self) -> None:
         """Let Spark delete shuffle files of finished phases now, not at some later collection."""

@@ -127,7 +127,7 @@ def test_blocks_lose_no_pair():
         own[rng.integers(0, len(own), i % 14)] = rng.integers(0, 2**63, i % 14).astype(np.uint64)
         sets.append(np.unique(own))
     roots = [0 if i % 3 else i for i in range(80)]
-    rows = [(5, 0, 0, i, roots[i], 0, neardup.bitmap(s)) for i, s in enumerate(sets)]
+    rows = [(5, 0, 0, i, roots[i], -1 if roots[i] == 0 else 0, neardup.bitmap(s)) for i, s in enumerate(sets)]
     found = set()
     import pyarrow as pa
 
@@ -142,3 +142,21 @@ def test_blocks_lose_no_pair():
             if roots[i] != roots[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 want.add((i, j))
     assert want and want <= found and len({len(r[6]) for r in rows}) > 1
+
+
+def test_parts_of_large_buckets(spark, monkeypatch):
+    """Small blocks give the links that one block gives."""
+    from meshlake.llm import linking
+
+    rng = random.Random(9)
+    stem = [f"s{i}" for i in range(80)]
+    rows = []
+    for i in range(120):
+        copy = list(stem)
+        for _ in range(rng.randrange(12)):
+            copy[rng.randrange(80)] = f"e{rng.randrange(10**6)}"
+        rows.append((300 + i, " ".join(copy)))
+    monkeypatch.setattr(linking, "BLOCK", 7)
+    monkeypatch.setattr(linking, "SPLIT", 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(docs, 2) == brute(rows, 2)

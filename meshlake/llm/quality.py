@@ -224,10 +224,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABEL_ROWS) -> list[Rul
     )
     found = statistics(docs.join(F.broadcast(sample.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi"))
     joined = found.select(F.col("_doc.doc_id").cast("long").alias("_id"), "_stats").join(F.broadcast(sample), "_id")
-    rows = joined.where(~base_failed(F.col("_stats"))).select(
-        F.xxhash64("_id").alias("order"), "bad", *[F.col(f"_stats.{f}").cast("double").alias(f) for f in FEATURES]
-    )
-    return learn([r.asDict() for r in rows.collect()])  # at most ``limit`` rows for documents with ids of their own
+    # The base rule is a column, not a filter: Spark would move a filter on statistics below
+    # the join and compute them for every document.
+    rows = joined.select(
+        F.xxhash64("_id").alias("order"), "bad", base_failed(F.col("_stats")).alias("failed"), *[F.col(f"_stats.{f}").cast("double").alias(f) for f in FEATURES]
+    ).collect()  # at most ``limit`` rows for documents with ids of their own
+    return learn([r.asDict() for r in rows if not r["failed"]])
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import atmosphere, colour, scalar
-from .operators import codec, contour, flow, grid, mesh, sample, stats, stencil, timeline
+from .operators import box, codec, contour, flow, grid, mesh, sample, stats, stencil, timeline
 from .operators.grid import RegularGrid
 from .plans.catalog import Dataset, Mesh, Variable
 from .plans.registry import Registry
@@ -1010,3 +1010,139 @@ def _(spark, sf):
     out = series.windowed_summary(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", ["event_type"], "1 day", "1 hour")
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return out.select(ntz("start"), ntz("end"), "event_type", "low", "high", r6("mean").alias("mean"), "n")
+
+
+# Derived coordinates, sampling for previews, checks of smaller operators
+
+
+@query("d2_index_coordinate", "SELECT CAST(id AS INT) AS i, CAST(id AS DOUBLE) AS value FROM range(64) r(id)")
+def _(spark, sf):
+    return box.index_coordinate(spark, NI)
+
+
+@query(
+    "d12_span_coordinate",
+    "SELECT CAST(id AS INT) AS i, round(lo + id / 31.0::DOUBLE * (hi - lo), 6) AS value FROM range(32) r(id), (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem)",
+)
+def _(spark, sf):
+    return box.span_coordinate(table(spark, sf, "lineitem").select(F.col("l_quantity").alias("value")), 32).select("i", r6("value").alias("value"))
+
+
+@query(
+    "d1_projected_coordinates",
+    "SELECT c_custkey, round(radians(c_custkey % 360 - 180) * 6370000, 3) AS x, round(radians(c_custkey % 170 - 85) * 6370000, 3) AS y FROM customer",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 360 - 180).alias("lon"), (F.col("c_custkey") % 170 - 85).alias("lat"))
+    return box.projected_coordinates(rows, scalar.equirectangular).select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query(
+    "d5_sorted_times",
+    """SELECT o_orderkey AS file_step, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS INT) AS ts, CAST(epoch(o_orderdate) AS DOUBLE) AS seconds FROM orders WHERE o_orderkey % 50 = 1""",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "orders").where("o_orderkey % 50 = 1").select(
+        F.col("o_orderkey").alias("file_step"), F.date_format("o_orderdate", "yyyy-MM-dd_HH:mm:ss").alias("text")
+    )
+    return box.sorted_times(rows, "text", scalar.parse_model_time).select("file_step", "ts", "seconds")
+
+
+@query(
+    "a8_sampled_histogram",
+    G + """, q AS (SELECT CAST(id % 30 AS INT) AS a, CAST(id // 30 AS INT) AS b FROM range(900) r(id)),
+      p AS (SELECT (a + 0.5) * (63 / 30.0::DOUBLE) AS x, (b + 0.5) * ((nj - 1) / 30.0::DOUBLE) AS y FROM q, n),
+      s AS (SELECT CAST(floor(x) + CASE WHEN x - floor(x) > 0.5 THEN 1 ELSE 0 END AS INT) AS qi, CAST(floor(y) + CASE WHEN y - floor(y) > 0.5 THEN 1 ELSE 0 END AS INT) AS qj FROM p)
+      SELECT 'inside' AS side, CAST(least(15, floor((v + 1) / 2 * 16)) AS INT) AS bin, count(*) AS n FROM s JOIN g ON g.i = qi AND g.j = qj WHERE v BETWEEN -1 AND 1 GROUP BY 2""",
+)
+def _(spark, sf):
+    g = unit_grid(spark, sf)
+    lattice = contour.rake(spark, g.low, g.high, (30, 30))
+    found = sample.sample_nearest(lattice, field(spark, sf), g, "value")
+    return stats.histogram(found, -1.0, 1.0, 16).where("side = 'inside'")
+
+
+@query("a18_largest_component", "SELECT max(greatest(abs(c_acctbal), abs(c_custkey))) AS largest FROM customer")
+def _(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_acctbal").alias("u"), F.col("c_custkey").cast("double").alias("v"))
+    return contour.largest_component(rows, ["u", "v"])
+
+
+@query(
+    "f16_opacity",
+    "SELECT CAST(id AS INT) AS entry, round(least(1, 0.25 * (CASE WHEN id / 255.0 < 0.5 THEN id / 255.0 * 2 ELSE 2 - id / 255.0 * 2 END + 0.5 + sin(2 * pi() * (id / 255.0)) / 2)), 6) AS a FROM range(256) r(id)",
+)
+def _(spark, sf):
+    maps = [colour.opacity_points([(0.0, 0.0), (0.5, 1.0), (1.0, 0.0)]), colour.sine(2.0, 0.0)]
+    lut = colour.table(spark, [(0.0, (0.0, 0.0, 0.0)), (1.0, (0.0, 0.0, 1.0))], maps, scale=0.25)
+    return lut.select("entry", r6("a").alias("a"))
+
+
+@query("f17_discrete_colours", "SELECT CAST(id AS INT) AS entry, CASE WHEN id / 255.0 < 0.5 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS r FROM range(256) r(id)")
+def _(spark, sf):
+    lut = colour.table(spark, [(0.0, (0.0, 0.0, 0.0)), (1.0, (0.0, 0.0, 1.0))], [], colour.discrete)
+    return lut.select("entry", "r")
+
+
+@query(
+    "f20_linear_index",
+    "SELECT p_partkey, CAST(p_size % 4 + 4 * (p_size % 7) + 28 * (p_partkey % 5) AS BIGINT) AS at, CAST(p_size % 7 AS INT) AS j FROM part",
+)
+def _(spark, sf):
+    parts = [F.col("p_size") % 4, F.col("p_size") % 7, F.col("p_partkey") % 5]
+    rows = table(spark, sf, "part").select("p_partkey", box.linear_index(parts, (4, 7, 5)).alias("at"))
+    return rows.select("p_partkey", "at", box.index_of(F.col("at"), (4, 7, 5))[1].alias("j"))
+
+
+@query(
+    "l3_inside_volume",
+    "SELECT event_id, value BETWEEN 100 AND 300 AND user_id BETWEEN 5 AND 40 AS inside FROM events",
+)
+def _(spark, sf):
+    g = RegularGrid((2, 2), (100.0, 5.0), (300.0, 40.0))
+    rows = table(spark, sf, "events").select("event_id", F.col("value").alias("x"), F.col("user_id").alias("y"))
+    return rows.select("event_id", g.inside().alias("inside"))
+
+
+@query(
+    "k3_export_rows",
+    STREAMS + """, e AS (SELECT stream, step, x, y, z, row_number() OVER (PARTITION BY stream ORDER BY step) AS n FROM s WHERE NOT special)
+      SELECT stream AS "ID", step, x, y, z FROM e WHERE n <= 4""",
+)
+def _(spark, sf):
+    return flow.export_rows(_streams(spark, sf), steps=3)
+
+
+@query(
+    "k4_export_until",
+    STREAMS + """SELECT stream AS "ID", step, x, y, z, strftime(make_timestamp(CAST(step * 86400 AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS date FROM s WHERE NOT special AND step * 86400 <= 300000""",
+)
+def _(spark, sf):
+    return flow.export_rows(_streams(spark, sf).withColumn("time", F.col("step") * 86400.0), until=300000.0)
+
+
+@query("o4_merged_timeline", "SELECT ts FROM events WHERE event_type = 'view' UNION ALL SELECT ts FROM events WHERE user_id % 2 = 0")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    return timeline.merge_timelines([e.where("event_type = 'view'"), e.where("user_id % 2 = 0")], "ts")
+
+
+@query(
+    "c7_significance",
+    HAAR + """, r AS (SELECT i, j, row_number() OVER (PARTITION BY j ORDER BY abs(detail) DESC, i) AS rank FROM s)
+      SELECT j, list_sort(list(CAST(32 + i AS BIGINT))) AS places FROM r WHERE rank <= 5 GROUP BY j""",
+)
+def _(spark, sf):
+    kept = codec.compress(codec.decompose(field(spark, sf), "i", 1), ["j"], 5).where("level = 1")
+    return codec.significance(kept, ["j"], 32)
+
+
+@query("c5_finish", G + "SELECT i, j, CASE WHEN abs(greatest(-0.1, least(0.1, v))) < 0.02 THEN 0 ELSE greatest(-0.1, least(0.1, v)) END AS value FROM g")
+def _(spark, sf):
+    return codec.finish(field(spark, sf), -0.1, 0.1, 0.02)
+
+
+@query("l13_seeded_draws")
+def _(spark, sf):
+    """Random seeds are the same for the same seed number: rows only."""
+    return flow.random_rake(spark, (0.0,), (1.0,), 500, seed=7)

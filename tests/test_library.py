@@ -214,3 +214,21 @@ def test_streams(spark, tmp_path, sf_dir):
         running.stop()
         got, want = (sorted(map(str, d.withColumn("mean", F.round("mean", 6)).collect() if "mean" in d.columns else d.collect())) for d in (spark.table(name), make(events)))
         assert got == want
+
+
+def test_boxes():
+    from meshlake.operators import box
+
+    unit = ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
+    assert box.crop(((-1.0, 0.5, 0.5), (0.5, 2.0, 0.7)), unit) == ((0.0, 0.5, 0.5), (0.5, 1.0, 0.7))
+    assert box.intersect(unit, ((0.5, 0.5, 0.5), (2.0, 2.0, 2.0))) == ((0.5,) * 3, (1.0,) * 3)
+    assert box.intersect(unit, ((2.0,) * 3, (3.0,) * 3)) is None
+    low, high = box.rotated_extents(unit, (0.0, 0.0, 45.0))
+    assert high[0] - low[0] == pytest.approx(math.sqrt(2)) and high[2] - low[2] == pytest.approx(1.0)
+    assert box.normal((90.0, 0.0, 0.0)) == pytest.approx((0.0, -1.0, 0.0))
+    base, u, v = box.plane_patch(unit, (0.5, 0.5, 0.5), (0.0, 0.0, 2.0))
+    size = lambda a: math.sqrt(sum(c * c for c in a))
+    assert base[2] == pytest.approx(0.5) and size(u) == pytest.approx(1.0) and size(v) == pytest.approx(1.0)
+    base, u, v = box.plane_patch(unit, (0.5, 0.5, 0.5), (1.0, 1.0, 0.0))
+    assert size(u) * size(v) == pytest.approx(math.sqrt(2))
+    assert box.plane_patch(unit, (5.0, 5.0, 5.0), (0.0, 0.0, 1.0)) is None

@@ -112,25 +112,46 @@ def slice_points(spark, origin: Sequence[float], u: Sequence[float], v: Sequence
     return cells.withColumns({COORDS[d]: F.lit(float(origin[d])) + a * F.lit(float(u[d])) + b * F.lit(float(v[d])) for d in range(len(origin))})
 
 
-def nearest_neighbour(points: DataFrame, targets: DataFrame, key: Sequence[str], target: str, width: float, rings: int = 1) -> DataFrame:
-    """(key, nearest, distance): nearest target in the plane within ``rings * width``.
-
-    Targets are in square buckets of ``width``; a point looks at its bucket and the
-    rings around it.  A target further off than that is not found (null), so a result
-    is always the true nearest.
+def nearest_neighbour(
+    points: DataFrame, targets: DataFrame, key: Sequence[str], target: str, width: float, within: float | None = None
+) -> DataFrame:
+    """(key, nearest, distance): nearest target in the plane, the least ``target`` of equally
+    near ones; null only for points or targets without coordinates, without any targets, or
+    with none ``within`` that distance, if it is given.
+
+    Targets are in square buckets of ``width``; a point looks at its bucket and the ring
+    around it, where a target up to ``width`` away is the true nearest.  Points that find
+    none go on with twice the width, until all have one.
     """
-    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
-    around = [F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-rings, rings + 1) for dy in range(-rings, rings + 1)]
-    asked = points.select(*key, "x", "y", F.explode(F.array(*around)).alias("_o")).select(
-        *key, "x", "y", (bucket("x") + F.col("_o.dx")).alias("_bx"), (bucket("y") + F.col("_o.dy")).alias("_by")
-    )
-    side = targets.select(F.col(target).alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"), bucket("x").alias("_bx"), bucket("y").alias("_by"))
+    usable = lambda d: d.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    side = usable(targets).select(F.col(target).alias("_t"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    left = usable(points).select(*key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     distance = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
-    found = (
-        asked.join(side, ["_bx", "_by"])
-        .withColumn("_d", distance)
-        .where(F.col("_d") <= rings * width)
-        .groupBy(*key)
-        .agg(F.min(F.struct("_d", "_t")).alias("_n"))
-    )
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    some, found = not side.isEmpty(), None
+    while some:
+        reach = width if within is None else min(width, within)
+        bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")  # noqa: B023, E731
+        asked = left.select(*key, "x", "y", F.explode(around).alias("_o")).select(
+            *key, "x", "y", (bucket("x") + F.col("_o.dx")).alias("_bx"), (bucket("y") + F.col("_o.dy")).alias("_by")
+        )
+        near = (
+            asked.join(side.withColumns({"_bx": bucket("_x"), "_by": bucket("_y")}), ["_bx", "_by"])
+            .withColumn("_d", distance)
+            .where(F.col("_d") <= reach)
+            .groupBy(*key)
+            .agg(F.min(F.struct("_d", "_t")).alias("_n"))
+        )
+        if within is None:
+            near = near.localCheckpoint()
+        found = near if found is None else found.union(near)
+        if within is not None and width >= within:
+            break
+        left = left.join(near, list(key), "left_anti").localCheckpoint()
+        if left.isEmpty():
+            break
+        width *= 2
+    if found is None:
+        kind = side.schema["_t"].dataType.simpleString()
+        return points.select(*key, F.lit(None).cast(kind).alias("nearest"), F.lit(None).cast("double").alias("distance"))
     return points.select(*key).join(found, list(key), "left").select(*key, F.col("_n._t").alias("nearest"), F.col("_n._d").alias("distance"))

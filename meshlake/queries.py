@@ -241,7 +241,7 @@ def _(spark, sf):
 def _(spark, sf):
     a = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 997).cast("double").alias("y"))
     b = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("t"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") * 13 % 997).cast("double").alias("y"))
-    return sample.nearest_neighbour(a, b, ["k"], "t", 500.0).select("k", "nearest", r6("distance").alias("distance"))
+    return sample.nearest_neighbour(a, b, ["k"], "t", 500.0, within=500.0).select("k", "nearest", r6("distance").alias("distance"))
 
 
 @query(

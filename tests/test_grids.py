@@ -265,3 +265,17 @@ def test_field_from_tables_and_barbs(spark):
     assert len(ends) == 4 and all(r.x_end == r.x + 0.5 and r.y_end == r.y - 1 for r in ends)
     assert contour.largest_component(u.withColumnRenamed("value", "u"), ["u"]).first().largest == 1.0
     assert contour.displaced(u, v).first().z == -2.0
+
+
+def test_nearest_neighbour_at_any_distance(spark):
+    rng = np.random.default_rng(3)
+    a = np.r_[rng.normal(0, 1, (60, 2)), rng.normal(5000, 900, (20, 2)), [[-40000.0, 7.0]]]
+    b = np.r_[rng.normal(0, 1, (9, 2)), [[300.0, -200.0]]]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(a)] + [(99, None, 1.0)], "k long, x double, y double")
+    targets = spark.createDataFrame([(t, float(x), float(y)) for t, (x, y) in enumerate(b)], "t long, x double, y double")
+    got = {r.k: (r.nearest, r.distance) for r in sample.nearest_neighbour(points, targets, ["k"], "t", 1.0).collect()}
+    apart = np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1))
+    assert got.pop(99) == (None, None) and len(got) == len(a)
+    assert all(got[k][0] == apart[k].argmin() and np.isclose(got[k][1], apart[k].min()) for k in got)
+    none = sample.nearest_neighbour(points, targets.limit(0), ["k"], "t", 1.0).collect()
+    assert len(none) == len(a) + 1 and all(r.nearest is None for r in none)

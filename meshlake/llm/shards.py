@@ -151,7 +151,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
         "text_crc32",
         F.lit("rows").alias("law"),
         (F.col("_p") % shards).cast("int").alias("shard"),
-        _div(F.col("_p"), shards).cast("int").alias("slot"),
+        _div(F.col("_p"), shards).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "row_no",
     )

@@ -201,3 +201,7 @@ def test_no_labels(spark, odd):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.fit(odd, empty) == []
     assert quality.learn([]) == []
+
+
+def test_slot_is_long(docs):
+    assert dict(shards.shard(docs).dtypes)["slot"] == "bigint"

@@ -5,8 +5,9 @@ without special tokens; decoding joins the ids' bytes.  Ranks are read from the
 vocabulary file on the driver once and travel with the tasks' closure.
 
 Cases: a null text counts as empty and has no ids; repeated rows get equal ids; an
-empty table gives no rows; further columns pass through ``encode`` untouched
-(a clash with ``ids`` is an error of the caller, who names the output).
+empty table gives no rows; further columns pass through ``encode`` and ``decode``
+untouched, but for a column of the name that the output has: it is replaced, as
+``withColumn`` would.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import Encoder
-from .textnum import Prefix, _symbol_table, mix, runs
+from .textnum import code_points, mix, proposals, runs
 
 _models: dict = {}
 
@@ -152,9 +153,8 @@ class Model:
 
 def _hashes(texts: list[str]) -> np.ndarray:
     """The hash that ``PreTokens`` gives a pre-token of this text."""
-    cp = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    return Prefix(_symbol_table(False)[cp]).piece(np.cumsum(size) - size, size)
+    return proposals(code_points("".join(texts)), np.cumsum(size) - size, size)
 
 
 def model(tokens: list[bytes]) -> Model:
@@ -183,22 +183,24 @@ def encode(docs: DataFrame, tokens: list[bytes], output: str = "ids") -> DataFra
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
     kind = packed.schema["doc"].dataType.simpleString()
     out = packed.mapInArrow(_encode(tokens), f"doc {kind}, ids array<int>")
-    return out.select("doc.*", F.col("ids").alias(output))
+    return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c.lower() != output.lower()], F.col("ids").alias(output))
 
 
-def _decode(tokens: list[bytes], column: int):
+def _decode(tokens: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else b"".join(map(tokens.__getitem__, ids)) for ids in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+            texts = [None if ids is None else b"".join(map(tokens.__getitem__, ids)) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary())], ["row", "decoded"])
 
     return run
 
 
-def decode(rows: DataFrame, tokens: list[bytes], ids: str = "ids") -> DataFrame:
-    """The rows with ``decoded``, the bytes of their ids (null for null)."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_decode(tokens, rows.columns.index(ids)), f"{kinds}, decoded binary")
+def decode(rows: DataFrame, tokens: list[bytes], ids: str = "ids", output: str = "decoded") -> DataFrame:
+    """The rows with the bytes of their ids (null for null)."""
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{ids}`").alias("ids"))
+    kind = packed.schema["row"].dataType.simpleString()
+    out = packed.mapInArrow(_decode(tokens), f"row {kind}, decoded binary")
+    return out.select(*[F.col(f"row.`{c}`") for c in rows.columns if c.lower() != output.lower()], F.col("decoded").alias(output))
 
 
 def _digest(tokens: list[bytes]):

@@ -4,7 +4,7 @@ The pre-token pattern (``public_tokenizers.PATTERN``) is a union of runs of one
 character class with an optional space before, contractions, and white space that
 leaves its last character to what follows.  So pre-token starts follow from the
 classes of neighbouring characters and are found for a whole batch with array
-operations; equal pre-tokens of a batch are looked up once.
+operations; equal pre-tokens of a batch, compared by their text, are looked up once.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import tiktoken
 
-from .textnum import Prefix, _symbol_table
+from .textnum import code_points, numbered, proposals
 
 #: Pre-tokens a worker remembers; later ones are looked up again in each batch.
 REMEMBERED = 250_000
@@ -45,7 +44,7 @@ class PreTokens:
 
     def __init__(self, texts: list[str]):
         self.text = "".join(texts)
-        cp = np.frombuffer(self.text.encode("utf-32-le"), "<u4")
+        cp = code_points(self.text)
         doc = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=doc[1:])
         n = len(cp)
@@ -65,7 +64,9 @@ class PreTokens:
         self.start = np.flatnonzero(start)
         self.end = np.append(self.start[1:], n) if len(self.start) else self.start
         self.first = np.searchsorted(self.start, doc)
-        self.hash = Prefix(_symbol_table(False)[cp]).piece(self.start, self.end - self.start)
+        self.code, self.where = numbered(cp, self.start, self.end)
+        #: A hash of each distinct pre-token, to be confirmed by its text.
+        self.hash = proposals(cp, self.start, self.end - self.start)[self.where]
 
     @staticmethod
     def _contractions(cp, kind, edge, start, free) -> None:
@@ -106,16 +107,14 @@ class Encoder:
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the place where each text's begin (and the last one's end)."""
         pre = PreTokens(texts)
-        code, distinct = pd.factorize(pre.hash)
-        if not len(distinct):
+        code, where = pre.code, pre.where
+        if not len(where):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        where = np.empty(len(distinct), np.int64)
-        where[code[::-1]] = np.arange(len(code))[::-1]
         text = pre.text
         pieces = [text[s:e] for s, e in zip(pre.start[where].tolist(), pre.end[where].tolist())]
         found: list = [None] * len(pieces)
         if self._whole is not None:
-            for i, rank in enumerate(self._whole(distinct, pieces)):
+            for i, rank in enumerate(self._whole(pre.hash, pieces)):
                 if rank >= 0:
                     found[i] = (rank,)
         known = self._known

@@ -1,25 +1,29 @@
-"""Substring dedup: a relative Lempel-Ziv parse of documents against their corpus.
-
-The corpus cuts itself into phrases: in every window of ``WINDOW`` words the least
-hash of its ``GRAM``-word pieces is an anchor, and the windows with one anchor make
-a phrase, ``WINDOW`` words or longer.  Anchors depend on the words alone, so equal
-windows have equal anchors wherever they stand.  Phrases are indexed in reference
-blocks by their anchor (the hash partitions of the index); each block keeps the
-first occurrence of every phrase.  A document is then factored greedily:
-
-* whole phrases: a phrase that the index has from an earlier place is a factor,
-  copied from there;
-* at factor boundaries: where an anchor is known in several surroundings, a phrase
-  that is not itself known can still share some of its windows with them.  Those
-  windows are looked up one by one; first occurrences of distinct phrases suffice,
-  as every later occurrence of a phrase is a factor already.
-
-Touching factors with one source are merged; what they cover are the duplicate
-spans.  Anchors that occur once, most of a corpus, drop out after one count.
-
-Keys are 128 bits of word hashes.  No step gathers a group: repeated phrases meet
-their index entry in a join whose large side Spark can split, and first occurrences
-are partial minima.
+"""Substring dedup: documents factored against the first occurrences in their corpus.
+
+The method is a variant of relative Lempel-Ziv parsing.  A literal parse, which seeks the
+longest match of a document at every place of every reference block, would put each
+document beside the whole corpus.  Here the corpus cuts itself into phrases, and phrases
+are matched as a whole:
+
+* In every window of ``WINDOW`` words the least hash of its ``GRAM``-word pieces is an
+  anchor, and the windows with one anchor make a phrase, ``WINDOW`` words or longer.
+  Anchors depend on the words alone, so equal windows have equal anchors wherever they
+  stand.  Phrases are indexed in reference blocks by their anchor (the hash partitions of
+  the index); each block keeps the first occurrence of every phrase.
+* A phrase that the index has from an earlier place is copied from there.
+* At phrase boundaries: where an anchor is known in several surroundings, a phrase that is
+  not itself known can still share some of its windows with them.  Those windows are
+  looked up one by one; first occurrences of distinct phrases suffice, as every later
+  occurrence of a phrase is copied already.
+
+Left to right, what touches and runs on in one source is one factor: the longest that
+these copies give, not the longest match of the corpus.  What the factors cover is exactly
+what the windows of the definition cover.  Anchors that occur once, most of a corpus, drop
+out after one count.
+
+Phrases and windows are compared by 128 bits made of their words' characters
+(``textnum``).  No step gathers a group: repeated phrases meet their index entry in a join
+whose large side Spark can split, and first occurrences are partial minima.
 
 Cases: a null text has no words; a document of fewer than ``WINDOW`` words has no
 window; of equal windows the first by (doc_id, start) stays, null ids before all
@@ -40,132 +44,118 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import Prefix, Words, runs, signed
+from .textnum import Sequence, Words, runs, signed
 from .workspace import Workspace
 
 WINDOW = 20
 GRAM = 8
-#: A place packs start, 26 bits of the text's hash and the phrase's length in words.
-_SPAN_BITS, _TEXT_BITS = 6, 26
+#: A place packs start and the phrase's length in words.
+_SPAN_BITS = 6
 _NULL_ID = -(1 << 63)
-_BASE = 0xA0761D6478BD642F | 1
 
 
-def _phrases(words: Words) -> tuple[np.ndarray, ...]:
-    """Anchor hash, phrase hash, first word and length in words of all phrases, and the text each is in."""
-    n, span = len(words.hash), WINDOW - GRAM + 1
+def _phrases(words: Words, first_lane: Sequence) -> tuple[np.ndarray, ...]:
+    """Anchor hash, first word and length in words of all phrases, and the text each is in."""
+    n, span = len(words.code), WINDOW - GRAM + 1
     empty = np.zeros(0, np.int64)
     if n < WINDOW:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
-    prefix = Prefix(words.hash, _BASE)
-    gram = prefix.piece(np.arange(n - GRAM + 1), GRAM)
+        return empty.astype(np.uint64), empty, empty, empty
+    gram = first_lane.runs(np.arange(n - GRAM + 1), GRAM)
     best = np.lib.stride_tricks.sliding_window_view(gram, span).argmin(axis=1) + np.arange(n - WINDOW + 1)
     text = np.searchsorted(words.first, np.arange(n - WINDOW + 1), side="right") - 1
     inside = np.arange(n - WINDOW + 1) + WINDOW <= words.first[text + 1]
     at, best, text = np.flatnonzero(inside), best[inside], text[inside]
     if not len(at):
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+        return empty.astype(np.uint64), empty, empty, empty
     new = np.ones(len(at), bool)
     new[1:] = (best[1:] != best[:-1]) | (text[1:] != text[:-1])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(at)) - 1
     length = at[tail] - at[head] + WINDOW
-    return gram[best[head]], prefix.piece(at[head], length, salt=1), at[head], length, text[head]
+    return gram[best[head]], at[head], length, text[head]
 
 
-def _text_tags(texts: list[str]) -> np.ndarray:
-    """A few bits of each text, to tell apart texts that share a doc_id."""
-    digest = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=4).digest(), "big") >> (32 - _TEXT_BITS) for t in texts]
-    return np.array(digest, np.int64)
-
-
-def _pack(start: np.ndarray, tag: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return (start << (_TEXT_BITS + _SPAN_BITS)) | (tag << _SPAN_BITS) | length
+def _sequences(words: Words) -> list[Sequence]:
+    return [Sequence(lane, salt=11 + i) for i, lane in enumerate(words.lanes())]
 
 
 def _emit_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("d").to_numpy()
+        ids, tags = batch.column("d").to_numpy(), batch.column("t").to_numpy()
         for row, texts in runs(batch):
             words = Words(texts)
-            anchor, phrase, first, length, text = _phrases(words)
+            lanes = _sequences(words)
+            anchor, first, length, text = _phrases(words, lanes[0])
             if len(anchor):
-                q = _pack(first - words.first[text], _text_tags(texts)[text], length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(anchor)), pa.array(signed(phrase)), pa.array(ids[row + text]), pa.array(q)], ["h", "u", "d", "q"]
-                )
+                yield _places(anchor, *[x.piece(first, length) for x in lanes], ids[row + text], tags[row + text], (first - words.first[text]) << _SPAN_BITS | length)
+
+
+def _places(h, u, w, d, t, q) -> pa.RecordBatch:
+    columns = [pa.array(signed(x)) for x in (h, u, w)] + [pa.array(x, pa.int64()) for x in (d, t, q)]
+    return pa.RecordBatch.from_arrays(columns, ["h", "u", "w", "d", "t", "q"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both halves of the key of every window of the listed phrases, with its place."""
+    """The key of every window of the listed phrases, with its place."""
     for batch in batches:
-        ids, asked = batch.column("d").to_numpy(), batch.column("qs").to_pylist()
+        ids, tags, asked = batch.column("d").to_numpy(), batch.column("t").to_numpy(), batch.column("qs")
         for row, texts in runs(batch):
-            words = Words(texts)
-            tags, starts, owner, place = _text_tags(texts), [], [], []
-            for i, tag in enumerate(tags.tolist()):
-                for q in asked[row + i]:
-                    if (q >> _SPAN_BITS) & ((1 << _TEXT_BITS) - 1) == tag:
-                        at, length = q >> (_TEXT_BITS + _SPAN_BITS), q & ((1 << _SPAN_BITS) - 1)
-                        own = np.arange(at, at + length - WINDOW + 1)
-                        place.append(_pack(own, np.int64(tag), np.int64(WINDOW)))
-                        starts.append(own + words.first[i])
-                        owner.append(np.full(len(own), ids[row + i]))
-            if starts:
-                prefix, at = Prefix(words.hash, _BASE), np.concatenate(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(prefix.piece(at, WINDOW, salt=2))),
-                        pa.array(signed(prefix.piece(at, WINDOW, salt=3))),
-                        pa.array(np.concatenate(owner)),
-                        pa.array(np.concatenate(place)),
-                    ],
-                    ["h", "u", "d", "q"],
-                )
-
-
-_PLACES = "h long, u long, d long, q long"
+            words, starts, owner, place = Words(texts), [], [], []
+            for i in range(len(texts)):
+                q = np.asarray(asked[row + i].values)
+                many = (q & ((1 << _SPAN_BITS) - 1)) - WINDOW + 1
+                own = np.repeat((q >> _SPAN_BITS) - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                own = own[own + WINDOW <= words.first[i + 1] - words.first[i]]
+                starts.append(own + words.first[i])
+                place.append(own << _SPAN_BITS | WINDOW)
+                owner.append(np.full(len(own), row + i))
+            at, rows = np.concatenate(starts), np.concatenate(owner)
+            if len(at):
+                u, w = (x.runs(at, WINDOW) for x in _sequences(words))
+                yield _places(np.zeros(len(at), np.uint64), u, w, ids[rows], tags[rows], np.concatenate(place))
+
+
+_PLACES = "h long, u long, w long, d long, t long, q long"
 
 
 def _key(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID).cast("long"))
 
 
+def _text_hash() -> Column:
+    """Tells apart texts that share a doc_id."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def _copied(occurrences: DataFrame, first: DataFrame) -> DataFrame:
-    """(d, q, rd, rq): occurrences and the earlier place they repeat."""
-    index = first.select("h", "u", F.col("first.d").alias("rd"), F.col("first.q").alias("rq"))
-    start = lambda q: F.shiftright(q, _TEXT_BITS + _SPAN_BITS)
+    """(d, t, q, rd, rq): occurrences and the earlier place they repeat."""
+    index = first.select("u", "w", F.col("first.d").alias("rd"), F.col("first.q").alias("rq"))
+    start = lambda q: F.shiftright(q, _SPAN_BITS)
     later = (F.col("d") > F.col("rd")) | (start("q") > start("rq"))
-    return occurrences.select("h", "u", "d", "q").join(index, ["h", "u"]).where(later).select("d", "q", "rd", "rq")
+    return occurrences.select("u", "w", "d", "t", "q").join(index.hint("merge"), ["u", "w"]).where(later).select("d", "t", "q", "rd", "rq")
 
 
 def _first(occurrences: DataFrame, *more: Column) -> DataFrame:
-    return occurrences.groupBy("h", "u").agg(F.min(F.struct("d", "q")).alias("first"), F.count("*").alias("n"), *more)
+    return occurrences.groupBy("u", "w").agg(F.min(F.struct("d", "q", "t")).alias("first"), F.count("*").alias("n"), *more)
 
 
 def factors(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
-    """(d, q, rd, rq): the repeated phrases and windows of every document and their sources."""
+    """(d, t, q, rd, rq): the repeated phrases and windows of every document and their sources."""
     ws = ws or Workspace(docs.sparkSession, "substrings")
-    texts = docs.select(_key(docs).alias("d"), F.col("text"))
+    texts = docs.select(_key(docs).alias("d"), _text_hash().alias("t"), F.col("text"))
     phrases = texts.mapInArrow(_emit_phrases, _PLACES)
-    anchors = ws.save(
-        phrases.select("h", "u")
-        .groupBy("h")
-        .agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"))
-        .where("n > 1")
-        .select(F.col("h"), (F.col("low") != F.col("high")).alias("mixed")),
-        "anchors",
-    )
+    several = (F.min("u") != F.max("u")) | (F.min("w") != F.max("w"))
+    anchors = ws.save(phrases.groupBy("h").agg(F.count("*").alias("n"), several.alias("mixed")).where("n > 1").select("h", "mixed"), "anchors")
     ws.release()
-    known = ws.save(phrases.join(anchors, "h").select("h", "u", "d", "q", "mixed"), "repeated")
+    known = ws.save(phrases.join(anchors.hint("merge"), "h").select("u", "w", "d", "t", "q", "mixed"), "repeated")
     ws.release()
     ws.drop(anchors)
     index = ws.save(_first(known, F.max("mixed").alias("mixed")), "index")
     whole = ws.save(_copied(known, index.where("n > 1")), "whole")
     ws.release()
     ws.drop(known)
-    asked = index.where("mixed").groupBy(F.col("first.d").alias("d")).agg(F.collect_set("first.q").alias("qs"))
-    windows = ws.save(texts.join(asked, "d").select("d", "text", "qs").mapInArrow(_emit_windows, _PLACES), "windows")
+    asked = index.where("mixed").groupBy(F.col("first.d").alias("d"), F.col("first.t").alias("t")).agg(F.collect_set("first.q").alias("qs"))
+    windows = ws.save(texts.join(asked.hint("merge"), ["d", "t"]).select("d", "t", "text", "qs").mapInArrow(_emit_windows, _PLACES).drop("h"), "windows")
     ws.release()
     firsts = ws.save(_first(windows).where("n > 1"), "window-index")
     edges = ws.save(_copied(windows, firsts), "edges")
@@ -174,13 +164,10 @@ def factors(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     return whole.unionByName(edges)
 
 
-def _decode(found: list[dict] | None, tag: int) -> list[tuple[int, int, int, int]]:
+def _decode(found: list[dict] | None) -> list[tuple[int, int, int, int]]:
     """Start, length and source of a document's factors, merged where they run on."""
     out: list[list[int]] = []
-    own = []
-    for f in found or ():
-        if (f["q"] >> _SPAN_BITS) & ((1 << _TEXT_BITS) - 1) == tag:
-            own.append((f["q"] >> (_TEXT_BITS + _SPAN_BITS), f["q"] & ((1 << _SPAN_BITS) - 1), f["rd"], f["rq"] >> (_TEXT_BITS + _SPAN_BITS)))
+    own = [(f["q"] >> _SPAN_BITS, f["q"] & ((1 << _SPAN_BITS) - 1), f["rd"], f["rq"] >> _SPAN_BITS) for f in found or ()]
     for start, length, doc, source in sorted(own):
         last = out[-1] if out else None
         if last and last[2] == doc and start <= last[0] + last[1] and source - start == last[3] - last[0]:
@@ -193,23 +180,23 @@ def _decode(found: list[dict] | None, tag: int) -> list[tuple[int, int, int, int
 def _covered(parse: list[tuple[int, int, int, int]], n: int) -> np.ndarray:
     step = np.zeros(n + 1, np.int64)
     for start, length, _, _ in parse:
-        step[start] += 1
-        step[start + length] -= 1
+        step[min(start, n)] += 1
+        step[min(start + length, n)] -= 1
     return np.cumsum(step)[:n] > 0
 
 
 def _with_factors(docs: DataFrame, extra: list[Column]) -> DataFrame:
     ws = Workspace(docs.sparkSession, "substrings")
-    found = factors(docs, ws).groupBy("d").agg(F.collect_set(F.struct("q", "rd", "rq")).alias("found"))
-    return docs.select(_key(docs).alias("d"), F.col("text"), *extra).join(found, "d", "left")
+    found = factors(docs, ws).groupBy("d", "t").agg(F.collect_set(F.struct("q", "rd", "rq")).alias("found"))
+    return docs.select(_key(docs).alias("d"), _text_hash().alias("t"), F.col("text"), *extra).join(found.hint("merge"), ["d", "t"], "left")
 
 
 def _removed(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, int, list, np.ndarray]]:
     found = batch.column("found")
     for row, texts in runs(batch):
-        words, tags = Words(texts), _text_tags(texts)
+        words = Words(texts)
         for i in range(len(texts)):
-            parse = _decode(found[row + i].as_py(), int(tags[i]))
+            parse = _decode(found[row + i].as_py())
             yield row + i, words, i, parse, _covered(parse, int(words.first[i + 1] - words.first[i]))
 
 

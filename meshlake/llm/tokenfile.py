@@ -46,20 +46,42 @@ MAX_LENGTH = 20
 STRIDE = 128
 BLOCK_IDS = 1 << 17
 END_ID = 0
-_encoders: dict[str, Encoder] = {}
+_encoders: dict = {}
 _tables: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
 
 # Tokens
 
 
-def _encoder(spec: str) -> Encoder:
-    """The library's ids of distinct pre-tokens; BPE never crosses a pre-token."""
+class _Tokens:
+    """The library's ids of texts.  BPE never crosses a pre-token, so distinct pre-tokens are
+    encoded once; a text that spells an added token goes to the library whole."""
+
+    def __init__(self, spec: str):
+        tokenizer = Tokenizer.from_str(spec)
+        self.library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.encoder = Encoder(self.library)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row and the place where each text's begin (and the last one's end)."""
+        whole = [i for i, text in enumerate(texts) if any(a in text for a in self.added)]
+        if not whole:
+            return self.encoder.ids(texts)
+        rest = list(texts)
+        for i in whole:
+            rest[i] = ""
+        flat, first = self.encoder.ids(rest)
+        pieces = np.split(flat, first[1:-1])
+        for i, ids in zip(whole, self.library([texts[i] for i in whole])):
+            pieces[i] = np.array(ids, np.uint32)
+        return np.concatenate(pieces), np.append(0, np.cumsum([len(p) for p in pieces]))
+
+
+def _encoder(spec: str) -> _Tokens:
     key = str(hash(spec))
     if key not in _encoders:
-        tokenizer = Tokenizer.from_str(spec)
-        tokenizer.encode_special_tokens = True
-        _encoders[key] = Encoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        _encoders[key] = _Tokens(spec)
     return _encoders[key]
 
 

@@ -23,12 +23,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnum import Prefix, _symbol_table, runs
+from .textnum import code_points, numbered, runs
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -94,7 +93,7 @@ class Counter:
     def texts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; equal pieces of a batch are counted once."""
         joined = "".join(texts)
-        cp = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        cp = code_points(joined)
         doc = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=doc[1:])
         begins = np.zeros(len(cp) + 1, bool)
@@ -102,9 +101,7 @@ class Counter:
         begins[doc] = True
         start = np.flatnonzero(begins[:-1])
         end = np.append(start[1:], len(cp))
-        code, distinct = pd.factorize(Prefix(_symbol_table(False)[cp]).piece(start, end - start))
-        where = np.empty(len(distinct), np.int64)
-        where[code[::-1]] = np.arange(len(code))[::-1]
+        code, where = numbered(cp, start, end)
         counts = []
         for s, e in zip(start[where].tolist(), end[where].tolist()):
             piece = joined[s:e]

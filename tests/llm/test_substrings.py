@@ -6,9 +6,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from hard_texts import thue_morse
 
 from meshlake.llm import substrings
-from meshlake.llm.textnum import Words, runs
+from meshlake.llm.textnum import Sequence, Words, runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -38,7 +39,8 @@ def test_words():
     words = Words(texts)
     assert [words.words(i) for i in range(len(texts))] == [WORD.findall(t) for t in texts]
     same = Words(["aB c", "ab C c"], lower=True)
-    h = same.hash.tolist()
+    h = same.lanes()[0].tolist()
+    assert same.code.tolist() == [0, 1, 0, 1, 1]
     assert h[0] == h[2] and h[1] == h[3] == h[4] and h[0] != h[1]
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 5, None, "b" * 9, "c"])], ["text"])
     assert [(r, len(t)) for r, t in runs(batch, limit=6)] == [(0, 2), (2, 1), (3, 1)]
@@ -93,10 +95,29 @@ def test_spans_and_texts(spark):
     assert left[1].text == f"x  y {a}" and left[3].text == "few  words"
 
 
-def test_hash_pieces():
+def test_run_hashes():
     words = Words(["the same words here", "here the same words"])
-    from meshlake.llm.textnum import Prefix
-
-    prefix = Prefix(words.hash)
-    a = prefix.piece(np.array([0, 5]), 3)
-    assert a[0] == a[1] and a[0] != prefix.piece(np.array([1]), 3)[0]
+    for n in (1, 2, 3):
+        runs_of = Sequence(words.lanes()[0]).runs(np.array([0, 5]), n)
+        assert runs_of[0] == runs_of[1] != Sequence(words.lanes()[0]).runs(np.array([1]), n)[0]
+    mixed = Sequence(words.lanes()[1]).piece(np.array([0, 5, 0]), np.array([2, 2, 3]))
+    assert mixed[0] == mixed[1] != mixed[2]
+
+
+def test_no_hash_decides(spark):
+    """Words and word sequences that polynomial hashes take for one stay apart."""
+    one, other = thue_morse(11, "a", "b")
+    rows = [(1, " ".join(["w"] * 0 + [f"x{i}" for i in range(19)] + [one])), (2, " ".join([f"x{i}" for i in range(19)] + [other]))]
+    rows += [(i + 3, t) for i, t in enumerate(thue_morse(6, "a ", "b "))]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_null_ids(spark):
+    """Texts without an id are met by their text: each gets its own result."""
+    rng = random.Random(3)
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = [" ".join(f"{rng.randrange(10**6)}" for _ in range(30)) + (" " + shared if i % 3 else "") for i in range(60)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(5, shared)], "doc_id long, text string").repartition(4)
+    result = substrings.report(docs).collect()
+    assert sorted(r.n_words for r in result) == sorted(len(t.split()) for t in [*texts, shared])
+    assert {r.n_removed for r in result if r.doc_id == 5} == {40} and all(r.n_removed <= 40 for r in result)

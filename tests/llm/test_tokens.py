@@ -50,8 +50,7 @@ def want(docs, tokenizer):
 
 def test_files(spark, sf_dir, tmp_path, monkeypatch):
     tokenizer = Tokenizer.from_str(SPEC)
-    tokenizer.encode_special_tokens = True
-    odd = [(None, "first"), (1, None), (2, ""), (3, "!!! <|endoftext|> !"), (4, "é" * 3000 + " 😀" * 300), (-5, "x")]
+    odd = [(None, "first"), (1, None), (2, ""), (3, "!!! <|endoftext|> !"), (7, "<|endoftext|>"), (8, "a <|endoftext|>b<|endoftext|><|endoftext|> c <|endoftext|"), (4, "é" * 3000 + " 😀" * 300), (-5, "x")]
     odd_docs = spark.createDataFrame(odd, "doc_id long, text string").repartition(3)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (table, limit) in enumerate([(docs, 1 << 17), (docs, 1000), (odd_docs, 1 << 17), (odd_docs.where("doc_id = 1"), 10)]):

@@ -11,7 +11,8 @@ Sketches never rule out a link, so no link that joins two classes is lost.  A la
 bucket is compared in blocks of ``BLOCK`` nodes against ``BLOCK`` nodes.
 
 Joins that carry texts, buckets or nodes of the corpus ask for a sort-merge join: they are
-planned alike at every size, and nothing that grows with the corpus is broadcast.
+planned alike at every size, and nothing that grows with the corpus is broadcast.  Their
+sides are read from tables, so that Spark splits the partition of a hot key.
 """
 
 from __future__ import annotations
@@ -20,57 +21,49 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, placed, tops
 from .workspace import Workspace
 
-#: Pairs of one centre that a task compares.
-SPLIT = 1000
 BLOCK = 1000
 
 
 def crowded_members(ws: Workspace, rows: DataFrame) -> DataFrame:
-    """Distinct (bucket, k, about) of the buckets with two nodes or more."""
-    crowded = ws.save(
-        rows.groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low != high").select("bucket"), "buckets"
+    """(bucket, k, about, crowd, head) of the buckets with two nodes or more.  ``rows`` has every
+    (bucket, k) once; ``crowd`` is the size of all buckets of k, ``head`` marks one row of each k."""
+    crowded = ws.save(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    own = Window.partitionBy("k")
+    members = rows.join(crowded.hint("merge"), "bucket").select(
+        "bucket", "k", "about", F.sum("size").over(own).alias("crowd"), (F.row_number().over(own.orderBy("bucket")) == 1).alias("head")
     )
-    members = ws.save(rows.join(crowded.hint("merge"), "bucket").groupBy("bucket", "k", "about").agg(F.count("*")).select("bucket", "k", "about"), "members")
+    members = ws.save(members, "members")
     ws.release()
     return members
 
 
-def confirm(ws: Workspace, pairs: DataFrame, texts: DataFrame, check: Callable) -> DataFrame:
-    """The pairs (a, b) that ``check`` lets pass, given a, b, a_text, b_text.  A centre b
-    with many pairs is copied to as many places as it has ``SPLIT`` pairs; a is met by key."""
-    spread = ws.save(pairs.groupBy("b").agg(F.floor((F.count("*") - 1) / SPLIT).alias("parts")), "centres")
-    centres = (
-        texts.withColumnsRenamed({"k": "b", "text": "b_text"})
-        .join(spread.hint("merge"), "b")
-        .select("b", "b_text", F.explode(F.sequence(F.lit(0).cast("long"), "parts")).alias("part"))
-    )
-    asked = pairs.join(spread, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts") + 1).alias("part"))
-    with_centre = asked.join(centres.hint("merge"), ["b", "part"]).select("a", "b", "b_text")
-    full = with_centre.join(texts.withColumnsRenamed({"k": "a", "text": "a_text"}).hint("merge"), "a").select("a", "b", "a_text", "b_text")
-    return ws.save(full.mapInArrow(check, "a long, b long"), "links")
+def _confirmed(ws: Workspace, pairs: DataFrame, texts: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (a, b, ra, rb) with ``ok``, as ``check`` says, given a_text and b_text too."""
+    with_b = pairs.join(texts.withColumnsRenamed({"k": "b", "text": "b_text"}).hint("merge"), "b")
+    full = with_b.join(texts.withColumnsRenamed({"k": "a", "text": "a_text"}).hint("merge"), "a")
+    out = ws.save(check(full.select("a", "b", "ra", "rb", "a_text", "b_text")).select("a", "b", "ra", "rb", "ok"), "checked")
+    ws.release()
+    return out
 
 
 def _centres(ws: Workspace, members: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
-    """(a, b): for every node the centre it is compared with."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    crowd = members.join(sizes, "bucket").groupBy("k").agg(F.sum("size").alias("crowd"))
-    ranked = ws.save(members.join(crowd.hint("merge"), "k"), "ranked")
-    top = ws.save(ranked.groupBy("bucket").agg(F.max(F.struct("crowd", "k", "about")).alias("c")), "tops")
-    asked = ranked.join(top, "bucket").where((F.col("k") != F.col("c.k")) & near(F.col("about"), F.col("c.about")))
+    """(a, b): for every node the centre it is compared with, crowded as b or more than a."""
+    top = ws.save(members.groupBy("bucket").agg(F.max(F.struct("crowd", "k", "about")).alias("c")), "tops")
+    asked = members.join(top.hint("merge"), "bucket").where((F.col("k") != F.col("c.k")) & near(F.col("about"), F.col("c.about")))
     shared = asked.groupBy(F.col("k").alias("a"), F.col("c.k").alias("b")).agg(F.count("*").alias("n"))
     return shared.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
 
 
 def _pairs_in_blocks(matches: Callable, forest: bool):
-    """Pairs of the rows of a block that ``matches`` gives and whose classes differ."""
+    """Pairs of the rows of a block that ``matches`` gives, whose classes differ and that weren't asked before."""
 
-    def block(rows: list[tuple]) -> list[tuple[int, int]]:
+    def block(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
         _, _, j, *_ = rows[0]
         # Rows of the bucket's main class go last: they needn't be compared with each other.
         rows = sorted(rows, key=lambda r: r[5] < 0)
@@ -86,25 +79,33 @@ def _pairs_in_blocks(matches: Callable, forest: bool):
             return r
 
         out = []
-        for x, ys in matches([r[6] for r in rows], others):
-            for y in ys:
-                # Pairs outside the main class belong to the block of its first part, or,
-                # from two parts, to a block of their own.
-                if roots[x] == roots[y] or (j > 0 and max(x, y) < others) or (j < 0 and own[x] == own[y]):
+        root_of, own_of = np.array(roots), np.array(own)
+        for x, ys in matches([r[7] for r in rows], others):
+            # Pairs outside the main class belong to the block of its first part, or,
+            # from two parts, to a block of their own.
+            keep = root_of[ys] != root_of[x]
+            if j > 0:
+                keep &= np.maximum(ys, x) >= others
+            elif j < 0:
+                keep &= own_of[ys] != own_of[x]
+            for y in ys[keep].tolist():
+                if rows[x][6] == rows[y][3] or rows[y][6] == rows[x][3]:
                     continue
                 if forest:
                     p, q = find(roots[x]), find(roots[y])
                     if p == q:
                         continue
                     joined[max(p, q)] = min(p, q)
-                a, b = rows[x][3], rows[y][3]
-                out.append((max(a, b), min(a, b)))
+                if rows[x][3] < rows[y][3]:
+                    out.append((rows[y][3], rows[x][3], roots[y], roots[x]))
+                else:
+                    out.append((rows[x][3], rows[y][3], roots[x], roots[y]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        found: list[tuple[int, int]] = []
-        names = ["bucket", "i", "j", "k", "root", "own", "sketch"]
+        found: list[tuple] = []
+        names = ["bucket", "i", "j", "k", "root", "own", "asked", "sketch"]
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if held and held[0][:3] != row[:3]:
@@ -120,21 +121,19 @@ def _pairs_in_blocks(matches: Callable, forest: bool):
     return run
 
 
-def _as_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _as_batch(pairs: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in range(4)], ["a", "b", "ra", "rb"])
 
 
-def _open(ws: Workspace, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, k, root, main, m, r): the rows of buckets with more than one class, the class
-    that most rows are in, and the number of rows inside and outside it."""
-    placed = ws.save(
-        members.join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("root", "k").alias("root")), "placed"
-    )
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+def _open(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """(bucket, k, root, asked, main, m, r): the rows of buckets with more than one class, the
+    class that most rows are in, and the number of rows inside and outside it."""
+    rows = ws.save(rows.select("bucket", "k", "root", "asked"), "placed")
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     still = sizes.groupBy("bucket").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("m"), (F.sum("n") - F.max("n")).alias("r")
     )
-    return ws.save(placed.join(ws.save(still.where("r > 0"), "open"), "bucket"), "left")
+    return ws.save(rows.join(ws.save(still.where("r > 0"), "open").hint("merge"), "bucket"), "left")
 
 
 def _candidates(left: DataFrame, sketches: DataFrame, matches: Callable, forest: bool) -> DataFrame:
@@ -152,12 +151,10 @@ def _candidates(left: DataFrame, sketches: DataFrame, matches: Callable, forest:
     of_main = F.transform(F.sequence(zero, "_rp"), lambda q: place(q, F.col("_mo")))
     blocks = F.when(is_main, of_main).otherwise(F.concat(with_main, with_others))
     own = F.when(is_main, F.lit(-1).cast("long")).otherwise(F.col("_ro"))
-    keyed = left.select("bucket", "k", "root", own.alias("own"), F.explode(blocks).alias("at")).select(
-        "bucket", "at.i", "at.j", "k", "root", "own"
-    )
-    rows = keyed.join(sketches.hint("merge"), "k").select("bucket", "i", "j", "k", "root", "own", "sketch")
+    keyed = left.select("bucket", "k", "root", "asked", own.alias("own"), F.explode(blocks).alias("at"))
+    rows = keyed.join(sketches.hint("merge"), "k").select("bucket", F.col("at.i"), F.col("at.j"), "k", "root", "own", "asked", "sketch")
     ordered = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "k")
-    return ordered.mapInArrow(_pairs_in_blocks(matches, forest), "a long, b long").distinct()
+    return ordered.mapInArrow(_pairs_in_blocks(matches, forest), "a long, b long, ra long, rb long").distinct()
 
 
 def classes(
@@ -167,35 +164,50 @@ def classes(
     near: Callable[[Column, Column], Column],
     sketch: Callable,
     matches: Callable,
-    check: Callable,
+    check: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """(node, root) of the nodes that have a link.
+    """(node, root): the class of every node of ``members``.
 
     ``near`` is a necessary condition on two nodes' ``about``.  ``sketch`` maps batches of
     (k, text) to (k, sketch); ``matches`` gives for a list of sketches (x, places that may be
-    linked with x), pairs with a place below ``stop`` once each; ``check`` confirms pairs by
-    their texts.
+    linked with x), pairs with a place below ``stop`` once each; ``check`` adds ``ok`` to
+    pairs with their texts.
     """
-    asked = ws.save(_centres(ws, members, near), "pairs")
-    links = confirm(ws, asked, texts, check)
-    tested = asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    roots = ws.save(components(ws, links), "roots")
-    sketches = None
-    for forest in (True, False):
-        ws.release()
-        left = _open(ws, members, roots)
-        if left.isEmpty():
-            return roots
-        if sketches is None:
-            wanted = left.select("k").distinct()
-            sketches = ws.save(texts.join(wanted.hint("merge"), "k", "left_semi").mapInArrow(sketch, "k long, sketch binary"), "sketches")
-        asked = ws.save(_candidates(left, sketches, matches, forest).join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = confirm(ws, asked, texts, check)
-        if not more.isEmpty():
-            links = links.union(more)
-            roots = ws.save(components(ws, links), "roots")
-        tested = tested.union(asked)
-    return roots
+    pairs = ws.save(_centres(ws, members, near).select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")), "pairs")
+    asked = _confirmed(ws, pairs, texts, check)
+    # A centre is more crowded than its node, so the confirmed pairs are a forest.
+    forest = asked.select(F.col("a").alias("node"), F.when(F.col("ok"), F.col("b")).otherwise(F.col("a")).alias("root"), F.col("b").alias("asked"))
+    maps = [tops(ws, forest)]
+    start = members.join(maps[0].hint("merge"), F.col("k") == F.col("node"), "left")
+    left = _open(ws, start.select("bucket", "k", F.coalesce("root", "k").alias("root"), "asked"))
+    maps += _inside(ws, left, texts, sketch, matches, check)
+    nodes = members.where("head").select(F.col("k").alias("node"))
+    return ws.save(placed(nodes, "node", maps), "classes")
+
+
+def _inside(ws: Workspace, left: DataFrame, texts: DataFrame, sketch: Callable, matches: Callable, check: Callable) -> list[DataFrame]:
+    """Maps that join the classes linked inside open buckets."""
+    maps: list[DataFrame] = []
+    if left.isEmpty():
+        return maps
+    wanted = left.select("k").distinct()
+    sketches = ws.save(texts.join(wanted.hint("merge"), "k", "left_semi").mapInArrow(sketch, "k long, sketch binary"), "sketches")
+    tested = None
+    for forest_only in (True, False):
+        pairs = _candidates(left, sketches, matches, forest_only)
+        if tested is not None:
+            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
+        found = _confirmed(ws, ws.save(pairs, "pairs"), texts, check)
+        good = found.where("ok")
+        if not good.isEmpty():
+            step = components(ws, good.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            maps.append(step)
+            if forest_only:
+                left = _open(ws, placed(left.select("bucket", "k", "asked", F.col("root").alias("_was")), "_was", [step]))
+                if left.isEmpty():
+                    break
+        tested = found.select("a", "b")
+    return maps
 
 
 def bit_matches(matrix: np.ndarray, stop: int, most: Callable[[int, slice], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from hard_texts import thue_morse
 
 from meshlake.llm import neardup
 from meshlake.llm.graph import components
@@ -127,12 +128,12 @@ def test_blocks_lose_no_pair():
         own[rng.integers(0, len(own), i % 14)] = rng.integers(0, 2**63, i % 14).astype(np.uint64)
         sets.append(np.unique(own))
     roots = [0 if i % 3 else i for i in range(80)]
-    rows = [(5, 0, 0, i, roots[i], -1 if roots[i] == 0 else 0, neardup.bitmap(s)) for i, s in enumerate(sets)]
+    rows = [(5, 0, 0, i, roots[i], -1 if roots[i] == 0 else 0, None, neardup.bitmap(s)) for i, s in enumerate(sets)]
     found = set()
     import pyarrow as pa
 
-    names = ["bucket", "i", "j", "k", "root", "own", "sketch"]
-    batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows]) for c in range(7)], names)
+    names = ["bucket", "i", "j", "k", "root", "own", "asked", "sketch"]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows]) for c in range(8)], names)
     for out in linking._pairs_in_blocks(neardup._may_link(80), False)(iter([batch.slice(0, 30), batch.slice(30)])):
         found |= set(zip(out.column("a").to_pylist(), out.column("b").to_pylist()))
     want = set()
@@ -141,7 +142,7 @@ def test_blocks_lose_no_pair():
             both = len(np.intersect1d(sets[i], sets[j]))
             if roots[i] != roots[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 want.add((i, j))
-    assert want and want <= found and len({len(r[6]) for r in rows}) > 1
+    assert want and want <= found and len({len(r[7]) for r in rows}) > 1
 
 
 def test_parts_of_large_buckets(spark, monkeypatch):
@@ -157,6 +158,22 @@ def test_parts_of_large_buckets(spark, monkeypatch):
             copy[rng.randrange(80)] = f"e{rng.randrange(10**6)}"
         rows.append((300 + i, " ".join(copy)))
     monkeypatch.setattr(linking, "BLOCK", 7)
-    monkeypatch.setattr(linking, "SPLIT", 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(docs, 2) == brute(rows, 2)
+
+
+def test_no_hash_decides(spark):
+    one, other = thue_morse(11, "a", "b")
+    x, y = thue_morse(11, "a ", "b ")
+    rows = [(1, one), (2, other), (3, x), (4, y), (5, one), (6, f"{one} {other}"), (7, f"{other} {one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, 2) == brute(rows, 2)
+    assert got(docs, 5) == brute(rows, 5)
+
+
+def test_null_ids_and_repeats(spark):
+    """Null ids and a repeated id with many texts are met by their text, not by their id alone."""
+    texts = [" ".join(f"w{(7 * i + j) % 50}" for j in range(30)) for i in range(4)]
+    rows = [(None, t) for t in texts for _ in range(5)] + [(3, t + " more") for t in texts for _ in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert got(docs, 2) == brute(rows, 2)

@@ -4,15 +4,16 @@ Statistics of a document are DataFrame expressions.  From the statistics of
 labelled documents, sequential covering learns an ordered list of threshold
 conjunctions that describe bad documents: a rule is grown condition by condition
 (information gain) on two thirds of the labels, pruned on the rest, kept if it is
-precise enough there, and the documents it covers are taken out before the next
-one.  The list becomes one ordered ``CASE`` expression.
+precise enough both there and on all labels left, and the documents it covers are taken
+out before the next one.  The list becomes one ordered ``CASE`` expression; it has at most
+``MAX_RULES`` rules of ``MAX_CONDITIONS`` conditions.
 
 The list is learned from at most ``LABEL_ROWS`` labelled documents, those with the
 least hash of their id; everything else covers all documents.
 
 Cases: a null or blank text has no words and fails the base rule; labels that are
-null, or without a document, teach nothing; without labels of both kinds the list
-is empty and the base rule decides; equal rows get equal verdicts; an empty table
+null, or without a document, teach nothing; of documents that share a labelled id the
+text that sorts first teaches; without labels of both kinds the list is empty and the base rule decides; equal rows get equal verdicts; an empty table
 gives no rows; further columns pass through ``keep_good`` untouched.
 """
 
@@ -154,6 +155,8 @@ def _best_condition(bad: list[dict], good: list[dict]) -> Condition | None:
             if value == following:
                 continue
             cut = (value + following) / 2
+            if cut >= following:  # the two are neighbouring numbers
+                cut = value
             for above, p, n in ((False, below_bad, below_good), (True, len(bad) - below_bad, len(good) - below_good)):
                 if (gain := _gain(len(bad), len(good), p, n)) > best:
                     best, found = gain, Condition(feature, above, cut)
@@ -181,6 +184,11 @@ def _prune(rule: Rule, bad: list[dict], good: list[dict]) -> Rule:
     return max((rule[:k] for k in range(1, len(rule) + 1)), key=lambda r: (_worth(r, bad, good), -len(r)), default=rule)
 
 
+def _precise(rule: Rule, bad: list[dict], good: list[dict], least: int) -> bool:
+    p, n = sum(_covers(rule, r) for r in bad), sum(_covers(rule, r) for r in good)
+    return p >= least and p / (p + n) >= MIN_PRECISION
+
+
 def learn(rows: list[dict]) -> list[Rule]:
     """Sequential covering.  Rows have the features and ``bad`` (bool); their order doesn't matter."""
     rows = sorted(rows, key=lambda r: (r["order"], [r[f] for f in FEATURES]))
@@ -189,8 +197,7 @@ def learn(rows: list[dict]) -> list[Rule]:
     while bad and good and len(rules) < MAX_RULES:
         parts = [[r for i, r in enumerate(x) if (i % 3 == 2) == held] for held in (False, True) for x in (bad, good)]
         rule = _prune(_grow(parts[0], parts[1]), parts[2], parts[3])
-        p, n = sum(_covers(rule, r) for r in bad), sum(_covers(rule, r) for r in good)
-        if not rule or p < 2 or p / (p + n) < MIN_PRECISION:
+        if not rule or not _precise(rule, parts[2], parts[3], 1) or not _precise(rule, bad, good, 2):
             break
         rules.append(rule)
         bad = [r for r in bad if not _covers(rule, r)]
@@ -222,13 +229,19 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABEL_ROWS) -> list[Rul
         .orderBy(F.xxhash64("_id"), "_id", "bad")
         .limit(limit)
     )
-    found = statistics(docs.join(F.broadcast(sample.select("_id").distinct()), F.col("doc_id") == F.col("_id"), "left_semi"))
-    joined = found.select(F.col("_doc.doc_id").cast("long").alias("_id"), "_stats").join(F.broadcast(sample), "_id")
+    # One text for each labelled id, at most ``limit``; ids are few, so their broadcast is bounded too.
+    texts = (
+        docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(sample.select("_id").distinct()), "_id", "left_semi")
+        .groupBy("_id")
+        .agg(F.min("text").alias("text"))
+    )
+    found = statistics(texts).select("_doc._id", "_stats").join(F.broadcast(sample), "_id")
     # The base rule is a column, not a filter: Spark would move a filter on statistics below
     # the join and compute them for every document.
-    rows = joined.select(
+    rows = found.select(
         F.xxhash64("_id").alias("order"), "bad", base_failed(F.col("_stats")).alias("failed"), *[F.col(f"_stats.{f}").cast("double").alias(f) for f in FEATURES]
-    ).collect()  # at most ``limit`` rows for documents with ids of their own
+    ).collect()  # at most ``limit`` rows
     return learn([r.asDict() for r in rows if not r["failed"]])
 
 

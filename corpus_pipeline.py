@@ -28,9 +28,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokens = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    both = bytebpe.decode(bytebpe.encode(docs, tokens), tokens)
+    name = "decoded"
+    while name in docs.columns:
+        name = f"_{name}"
+    both = bytebpe.decode(bytebpe.encode(docs, tokens), tokens, output=name)
     # The text goes on as its ids decode; a null text has no ids and stays null.
-    return both.withColumn("text", F.when(F.col("text").isNotNull(), F.col("decoded").cast("string"))).drop("decoded")
+    return both.withColumn("text", F.when(F.col("text").isNotNull(), F.col(name).cast("string"))).drop(name)
 
 
 STAGES = [

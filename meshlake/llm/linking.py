@@ -39,6 +39,7 @@ def crowded_members(ws: Workspace, rows: DataFrame) -> DataFrame:
         "bucket", "k", "about", F.sum("size").over(own).alias("crowd"), (F.row_number().over(own.orderBy("bucket")) == 1).alias("head")
     )
     members = ws.save(members, "members")
+    ws.drop(crowded)
     ws.release()
     return members
 

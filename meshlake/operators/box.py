@@ -9,6 +9,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import numbered
+
 Box = tuple[tuple[float, ...], tuple[float, ...]]
 
 
@@ -136,11 +138,8 @@ def span_coordinate(values: DataFrame, n: int, axis: str = "i") -> DataFrame:
 
 def sorted_times(times: DataFrame, text: str, parse) -> DataFrame:
     """(file_step, ts, seconds): times of a file in order, with the step each has in the file."""
-    from pyspark.sql import Window
-
     parsed = times.select("file_step", parse(F.col(text)).alias("seconds"))
-    order = Window.orderBy("seconds", "file_step")  # one row for each time step
-    return parsed.withColumn("ts", F.row_number().over(order) - 1)
+    return numbered(parsed, [F.col("seconds"), F.col("file_step")], "ts").withColumn("ts", F.col("ts").cast("int"))
 
 
 def projected_coordinates(coordinates: DataFrame, project) -> DataFrame:

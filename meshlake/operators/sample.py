@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
 from .grid import AXES, COORDS, RegularGrid
 
 
@@ -143,11 +144,11 @@ def nearest_neighbour(
             .agg(F.min(F.struct("_d", "_t")).alias("_n"))
         )
         if within is None:
-            near = near.localCheckpoint()
+            near = written(near, "nearest")
         found = near if found is None else found.union(near)
         if within is not None and width >= within:
             break
-        left = left.join(near, list(key), "left_anti").localCheckpoint()
+        left = written(left.join(near, list(key), "left_anti"), "left")
         if left.isEmpty():
             break
         width *= 2

@@ -23,26 +23,26 @@ def summary(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def upper_median(values: DataFrame, accuracy: int = 20_000) -> DataFrame:
+def upper_median(values: DataFrame, accuracy: int = 20_000, limit: int = 100_000) -> DataFrame:
     """(median): element n div 2, from 0, of the sorted samples.
 
     Exact without sorting everything: approximate quantiles bracket the middle, samples
-    below the bracket are counted, and only those inside are ranked.
+    below the bracket are counted, and so on inside it, until at most ``limit`` samples
+    are left to be ranked.
     """
     present = values.where("value is not null").select("value")
-    slack = 3.0 / accuracy
-    ends = present.agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("value", [max(0.0, 0.5 - slack), min(1.0, 0.5 + slack)], accuracy).alias("q"),
-    )
-    flagged = present.crossJoin(F.broadcast(ends)).select("value", "n", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    below = flagged.agg(F.sum(F.when(F.col("value") < F.col("lo"), 1).otherwise(0)).alias("below"))
-    inside = (
-        flagged.where("value between lo and hi").groupBy("value", "n").agg(F.count("*").alias("m"))
-    )
+    n = present.count()
+    rows, target, below, left = present, n // 2, 0, n
+    while left > limit:
+        share, slack = (target - below + 0.5) / left, 3.0 / accuracy
+        lo, hi = rows.agg(F.percentile_approx("value", [max(0.0, share - slack), min(1.0, share + slack)], accuracy)).first()[0]
+        inside = F.col("value").between(lo, hi)
+        counted = present.agg(F.count_if(F.col("value") < lo).alias("below"), F.count_if(inside).alias("inside")).first()
+        if counted["inside"] == left:  # ties: few distinct values are left
+            break
+        rows, below, left = present.where(inside), counted["below"], counted["inside"]
     running = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.crossJoin(F.broadcast(below)).withColumn("upto", F.col("below") + F.sum("m").over(running))
-    target = F.floor(F.col("n") / 2)
+    ranked = rows.groupBy("value").agg(F.count("*").alias("m")).withColumn("upto", F.lit(below) + F.sum("m").over(running))
     return ranked.where(F.col("upto") > target).agg(F.min("value").alias("median"))
 
 

@@ -4,10 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of one series that one sort should hold, about.
+ROWS = 50_000
+
+
+def _around(rows: DataFrame, by: Sequence[str], time: str, step: Column) -> DataFrame:
+    """Adds ``_b`` and ``_a``: the last ``step`` at or before each row's time and the first at or after it.
+
+    A series is cut into stretches of equal duration, so that no task sorts a long one
+    whole; ``step`` is carried forwards and backwards inside a stretch, and each stretch
+    gets the nearest steps outside it.  Both passes are running aggregates.
+    """
+    seconds = F.col(time).cast("double")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(seconds).alias("lo"), F.max(seconds).alias("hi"))
+    most = sizes.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    many = max(1, (most["n"] or 0) // ROWS)
+    span = (most["hi"] - most["lo"]) / many if most["n"] and most["lo"] is not None else 0.0
+    stretch = F.floor((seconds - F.lit(most["lo"])) / F.lit(span)).cast("long") if span > 0 else F.lit(0).cast("long")
+    cut = rows.withColumns({"_step": step, "_cut": stretch})
+    own = Window.partitionBy(*by, "_cut")
+    so_far = lambda order: own.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = cut.withColumns(
+        {
+            "_b": F.last("_step", ignorenulls=True).over(so_far(F.col(time).asc())),
+            "_a": F.last("_step", ignorenulls=True).over(so_far(F.col(time).desc())),
+        }
+    )
+    if span <= 0:
+        return inside.drop("_step", "_cut")
+    names = [f"_by{i}" for i in range(len(by))]
+    ends = cut.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_cut").alias("_of")).agg(F.min("_step").alias("_first"), F.max("_step").alias("_last"))
+    other = lambda order: Window.partitionBy(*names).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        *names,
+        "_of",
+        F.last("_last", ignorenulls=True).over(other(F.col("_of").asc())).alias("_before"),
+        F.last("_first", ignorenulls=True).over(other(F.col("_of").desc())).alias("_after"),
+    )
+    same = F.col("_cut").eqNullSafe(F.col("_of"))
+    for c, n in zip(by, names):
+        same &= F.col(c).eqNullSafe(F.col(n))
+    return (
+        inside.join(ends, same, "left")
+        .withColumns({"_b": F.coalesce("_b", "_before"), "_a": F.coalesce("_a", "_after")})
+        .drop("_step", "_cut", "_of", "_before", "_after", *names)
+    )
+
+
 def as_of_linear(points: DataFrame, series: DataFrame, by: Sequence[str], time: str, value: str) -> DataFrame:
     """Points with the series value at their time, linear between the steps around it; null outside.
 
@@ -17,11 +64,7 @@ def as_of_linear(points: DataFrame, series: DataFrame, by: Sequence[str], time:
     steps = series.select(*by, F.col(time).alias("_t"), F.col(value).alias("_v"), F.lit(None).alias("_p"))
     asked = points.select(*by, F.col(time).alias("_t"), F.lit(None).cast(series.schema[value].dataType).alias("_v"), F.struct(*points.columns).alias("_p"))
     merged = asked.unionByName(steps.withColumn("_p", F.col("_p").cast(asked.schema["_p"].dataType)))
-    order = Window.partitionBy(*by).orderBy("_t")
-    step = F.when(F.col("_p").isNull(), F.struct("_t", "_v"))
-    before = F.last(step, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(step, ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    found = merged.withColumns({"_b": before, "_a": after}).where("_p is not null")
+    found = _around(merged, by, "_t", F.when(F.col("_p").isNull(), F.struct("_t", "_v"))).where("_p is not null")
     weight = (F.col("_t") - F.col("_b._t")) / (F.col("_a._t") - F.col("_b._t"))
     at = F.when(F.col("_b").isNull() | F.col("_a").isNull(), None).when(F.col("_a._t") == F.col("_b._t"), F.col("_b._v")).otherwise(
         F.col("_b._v") * (1 - weight) + F.col("_a._v") * weight
@@ -46,11 +89,8 @@ def nearest_step(timeline: DataFrame, steps: DataFrame, time: str, by: Sequence[
     merged = timeline.select(*by, F.col(time), F.lit(None).cast("long").alias("_s")).unionByName(
         steps.select(*by, F.col(time), F.col("step").cast("long").alias("_s"))
     )
-    order = Window.partitionBy(*by).orderBy(time) if by else Window.orderBy(time)
     step = F.when(F.col("_s").isNotNull(), F.struct(F.col(time).alias("t"), "_s"))
-    before = F.last(step, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(step, ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    found = merged.withColumns({"_b": before, "_a": after}).where("_s is null")
+    found = _around(merged, by, time, step).where("_s is null")
     later = F.col("_b").isNull() | (F.col("_a.t") - F.col(time) < F.col(time) - F.col("_b.t"))
     return found.select(*by, time, F.when(later & F.col("_a").isNotNull(), F.col("_a._s")).otherwise(F.col("_b._s")).alias("step"))
 

@@ -59,13 +59,22 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
+class Prefix:
+    """64-bit hashes of pieces of some characters: equal for equal pieces, seldom for others.  Never proof of equality."""
+
+    def __init__(self, cp: np.ndarray):
+        n = len(cp)
+        self.sums = np.zeros(n + 1, U64)
+        np.cumsum(_symbol_table()[cp] * _powers(_BASE, n), out=self.sums[1:])
+        self.inverse = _powers(pow(_BASE, -1, 1 << 64), n + 1)
+
+    def piece(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        many = np.asarray(size).astype(U64) * U64(0x632BE59BD9B4E019)
+        return mix((self.sums[start + size] - self.sums[start]) * self.inverse[start] + many)
+
+
 def proposals(cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every piece: equal for equal pieces, seldom for others.  Never proof of equality."""
-    n = len(cp)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_symbol_table()[cp] * _powers(_BASE, n), out=sums[1:])
-    inverse = _powers(pow(_BASE, -1, 1 << 64), n + 1)
-    return mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(U64) * U64(0x632BE59BD9B4E019))
+    return Prefix(cp).piece(start, size)
 
 
 def positions(start: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -96,9 +96,9 @@ def field_from_tables(grid: RegularGrid, parts: Sequence[DataFrame], times: Sequ
     for table in parts:
         out = np.full(shape, np.nan)
         has_time = "ts" in table.columns
-        for row in table.select(*(["ts"] if has_time else []), *grid.axes, "value").collect():
-            index = tuple(row[a] for a in reversed(grid.axes))
-            out[(row["ts"] if has_time else 0, *index)] = np.nan if row["value"] is None else row["value"]
+        found = table.select(*(["ts"] if has_time else []), *grid.axes, F.col("value").cast("double").alias("value")).toArrow()
+        index = [found.column(a).to_numpy() for a in (*(["ts"] if has_time else []), *reversed(grid.axes))]
+        out[tuple(index) if has_time else (0, *index)] = found.column("value").to_numpy()
         arrays.append(out)
     return Field(grid, times, arrays, multiplier)
 
@@ -139,7 +139,9 @@ def trace(field: Field, seeds: np.ndarray, start: float, dt: float, steps: int |
     number, count, alive = np.zeros(n, int), np.zeros(n, int), np.ones(n, bool)
     rows = [(np.arange(n), number.copy(), place.copy(), time.copy(), np.zeros(n, bool))]
     low, high = np.array(field.grid.low), np.array(field.grid.high)
-    for _ in range(RUNAWAY):
+    taken = 0
+    while steps is not None or taken < RUNAWAY:  # a run until a time may never get there
+        taken += 1
         if steps is not None:
             alive &= count < steps
         if until is not None:

@@ -6,22 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows, written to ``spark.checkpoint.dir`` and read back: a lost executor costs a
-    re-read, and a loop over tables keeps short plans.  Where that folder is unset, in local
-    mode only, a temporary one serves."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in local mode only, in a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="meshlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows, written to the shared folder and read back: a lost executor costs a re-read,
+    and a loop over tables keeps short plans."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -127,12 +127,12 @@ def _(spark, sf):
 
 @query(
     "l5_turn",
-    TRACE_SEEDS + """ SELECT seed AS stream, CAST(s.range AS INT) AS step, round(50 + (x - 50) * cos(s.range * 0.05) - (y - 50) * sin(s.range * 0.05), 3) AS x,
-      round(50 + (x - 50) * sin(s.range * 0.05) + (y - 50) * cos(s.range * 0.05), 3) AS y FROM seeds, range(41) s""",
+    TRACE_SEEDS + """ SELECT seed AS stream, CAST(s.range AS INT) AS step, round(50 + (x - 50) * cos(s.range * 0.01::DOUBLE) - (y - 50) * sin(s.range * 0.01::DOUBLE), 3) AS x,
+      round(50 + (x - 50) * sin(s.range * 0.01::DOUBLE) + (y - 50) * cos(s.range * 0.01::DOUBLE), 3) AS y FROM seeds, range(41) s""",
 )
 def _(spark, sf):
     """Fourth order steps around a circle against the exact turn."""
-    out = flow.advect(_seeds(spark, sf), _stream(True), 0.05, steps=40, fixed=True)
+    out = flow.advect(_seeds(spark, sf), _stream(True), 0.01, steps=40, fixed=True)
     return out.select("stream", "step", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Encoder
+from .pretokens import TOGETHER, Encoder
 from .textnum import code_points, mix, proposals, runs
 
 _models: dict = {}
@@ -142,7 +142,8 @@ class Model:
 
     def _find(self, hashes: np.ndarray, pieces: list[str]) -> list[int]:
         found, whole = self.table.find(hashes), self.whole
-        return [int(self.rank[f]) if f >= 0 and whole[f] == p else -1 for f, p in zip(found.tolist(), pieces)]
+        ranks = np.where(found >= 0, self.rank[found], -1)
+        return [r if f >= 0 and whole[f] == p else -1 for r, f, p in zip(ranks.tolist(), found.tolist(), pieces)]
 
     def _rest(self, pieces: list[str]) -> list[list[int]]:
         return [merge(p.encode(), self.ranks) for p in pieces]
@@ -170,7 +171,7 @@ def _encode(tokens: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(tokens)
         for batch in batches:
-            for row, texts in runs(batch):
+            for row, texts in runs(batch, limit=TOGETHER):
                 flat, first = own.encoder.ids(texts)
                 ids = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc").slice(row, len(texts)), ids], ["doc", "ids"])
@@ -208,7 +209,7 @@ def _digest(tokens: list[bytes]):
         own = model(tokens)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for _, texts in runs(batch):
+            for _, texts in runs(batch, limit=TOGETHER):
                 flat, first = own.encoder.ids(texts)
                 flat, first = flat.tolist(), first.tolist()
                 for a, b in zip(first, first[1:]):

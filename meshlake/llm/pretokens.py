@@ -10,6 +10,7 @@ operations; equal pre-tokens of a batch, compared by their text, are looked up o
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import tiktoken
@@ -18,6 +19,8 @@ from .textnum import code_points, numbered, proposals
 
 #: Pre-tokens a worker remembers; later ones are looked up again in each batch.
 REMEMBERED = 250_000
+#: Characters whose pre-tokens are looked up together: the more, the fewer distinct ones.
+TOGETHER = 1_200_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _classes: list[np.ndarray] = []
 
@@ -112,18 +115,12 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         text = pre.text
         pieces = [text[s:e] for s, e in zip(pre.start[where].tolist(), pre.end[where].tolist())]
-        found: list = [None] * len(pieces)
-        if self._whole is not None:
-            for i, rank in enumerate(self._whole(pre.hash, pieces)):
-                if rank >= 0:
-                    found[i] = (rank,)
         known = self._known
-        missing = []
-        for i, piece in enumerate(pieces):
-            if found[i] is None:
-                found[i] = known.get(piece)
-                if found[i] is None:
-                    missing.append(i)
+        if self._whole is None:
+            found = list(map(known.get, pieces))
+        else:
+            found = [known.get(piece) if rank < 0 else (rank,) for rank, piece in zip(self._whole(pre.hash, pieces), pieces)]
+        missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
             asked = [pieces[i] for i in missing]
             for i, piece, ids in zip(missing, asked, self._rest(asked)):
@@ -132,7 +129,7 @@ class Encoder:
                     known[piece] = ids
         first = np.zeros(len(found) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=first[1:])
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(first[-1]))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(first[-1]))
         out, stop = expand(flat, first, code)
         bounds = np.append(0, stop)
         return out, bounds[pre.first]

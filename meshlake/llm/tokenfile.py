@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .pretokens import Encoder
+from .pretokens import TOGETHER, Encoder
 from .textnum import runs
 from .workspace import Workspace
 
@@ -92,7 +92,7 @@ def _tokenise(spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine's cores already
         encoder = _encoder(spec)
         for batch in batches:
-            for row, texts in runs(batch):
+            for row, texts in runs(batch, limit=TOGETHER):
                 flat, first = encoder.ids(texts)
                 full = np.insert(flat, first[1:], END_ID).astype("<u4")
                 first = first + np.arange(len(first))

@@ -163,3 +163,9 @@ def index_of(linear: Column, n: Sequence[int]) -> list[Column]:
         out.append((linear % m).cast("int"))
         linear = F.floor(linear / m)
     return out
+
+
+def fixed_coordinate(spark, rows: Sequence[Sequence[float]]) -> DataFrame:
+    """(i, j, value): a 2-D coordinate given as rows of numbers, j by j."""
+    cells = [(i, j, float(v)) for j, row in enumerate(rows) for i, v in enumerate(row)]
+    return spark.createDataFrame(cells, "i int, j int, value double")

@@ -170,3 +170,39 @@ def transform_lines(values: DataFrame, axis: str, name: str, inverse: bool = Fal
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(done, pa.list_(pa.float64()))], batch.schema.names)
 
     return lines.mapInArrow(run, schema).select(*others, F.posexplode("line").alias(axis, "value"))
+
+
+def pad_axis(values: DataFrame, axis: str, n: int, block: int, mode: str = "symmetric") -> DataFrame:
+    """Samples with the axis filled up to whole blocks: ``symmetric`` mirrors the end with its
+    last sample repeated, ``reflect`` without, ``periodic`` goes on at the start, ``smooth``
+    repeats the last sample, ``zero`` fills with 0.  Meant for padding shorter than the axis."""
+    end = -(-n // block) * block
+    at = F.col(axis)
+    if mode in ("smooth", "zero"):
+        more = F.when(at == n - 1, F.sequence(F.lit(n), F.lit(end - 1)))
+    elif mode in ("symmetric", "reflect", "periodic"):
+        place = {"symmetric": 2 * n - 1 - at, "reflect": 2 * n - 2 - at, "periodic": n + at}[mode]
+        more = F.when((place >= n) & (place < end), F.array(place))
+    else:
+        raise ValueError(f"unknown padding {mode}")
+    if end == n:
+        return values
+    added = values.withColumn("_at", F.explode(more)).withColumn(axis, F.col("_at").cast(values.schema[axis].dataType)).drop("_at")
+    if mode == "zero":
+        added = added.withColumn("value", F.lit(0.0))
+    return values.unionByName(added)
+
+
+def cut_axis(values: DataFrame, axis: str, n: int) -> DataFrame:
+    """Samples without their padding."""
+    return values.where(F.col(axis) < n)
+
+
+def blocks(values: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Adds the block of each sample along the axes of ``sizes`` (``b`` and the axis) and its place there (``o`` and the axis)."""
+    return values.withColumns({f"b{a}": F.floor(F.col(a) / n).cast("int") for a, n in sizes.items()} | {f"o{a}": (F.col(a) % n).cast("int") for a, n in sizes.items()})
+
+
+def unblock(values: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """The index of each sample from its block and place."""
+    return values.withColumns({a: F.col(f"b{a}") * n + F.col(f"o{a}") for a, n in sizes.items()}).drop(*[f"{p}{a}" for p in "bo" for a in sizes])

@@ -6,7 +6,7 @@ is a lazy DataFrame: time step and box become filters on the variable's table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -197,6 +197,16 @@ class Dataset:
             table = subset(table, box) if exact else block_superset(table, box, block)
         return table
 
+    def steps(self, name: str, first: int, last: int) -> range:
+        """The steps that a statistic over first to last has to read: one for a variable that doesn't vary."""
+        return range(first, last + 1) if self.variables[name].time_varying else range(first, first + 1)
+
+    def hyper_slices(self, name: str, ts: int = 0) -> Iterator[tuple[int, DataFrame]]:
+        """A variable slice by slice along its last axis, each a request of its own."""
+        shape, axes = self.shape(name), AXES[: self.topology(name)]
+        for n in range(shape[-1]):
+            yield n, self.variable(name, ts).where(F.col(axes[-1]) == n)
+
     def together(self, names: Sequence[str], ts: int = 0, box=None) -> DataFrame:
         """Variables on one mesh side by side, a column each."""
         if len({self.variables[n].mesh for n in names}) > 1:

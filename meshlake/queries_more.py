@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from .functions import atmosphere, scalar
-from .operators import contour, flow, mesh, sample
+from .operators import box, codec, contour, flow, mesh, sample
 from .operators.grid import RegularGrid
 from .plans.catalog import Dataset, Mesh, Variable
 from .plans.scratch import fresh_path
@@ -338,3 +340,47 @@ def _(spark, sf):
     i = F.col("i")
     air = field(spark, sf).select("j", i.alias("k"), F.lit(0.0).alias("p"), (100000.0 - i * 1300).alias("pb"), (F.col("value") - i * 0.1).alias("t"), F.lit(0.01).alias("q"), (50 + i * 120.0).alias("height"))
     return atmosphere.sea_level_pressure(air, ["j"]).select("j", F.round("slp", 4).alias("slp"))
+
+
+# Padding and blocks, statistics as text
+
+
+def _padded(mode: str, place: str):
+    @query(f"c9_pad_{mode}", G + f"SELECT i, j, v AS value FROM g UNION ALL SELECT CAST(p.range AS INT), j, {'0.0::DOUBLE' if mode == 'zero' else 'v'} FROM g, range(64, 72) p WHERE i = {place}")
+    def _(spark, sf):
+        return codec.pad_axis(field(spark, sf), "i", NI, 24, mode)
+
+
+for _mode, _place in {"symmetric": "127 - p.range", "reflect": "126 - p.range", "periodic": "p.range - 64", "smooth": "63", "zero": "63"}.items():
+    _padded(_mode, _place)
+
+
+@query("c9_blocks", G + "SELECT CAST(i // 24 AS INT) AS bi, CAST(j // 10 AS INT) AS bj, CAST(i % 24 AS INT) AS oi, CAST(j % 10 AS INT) AS oj, v AS value FROM g")
+def _(spark, sf):
+    sizes = {"i": 24, "j": 10}
+    there = codec.unblock(codec.blocks(field(spark, sf), sizes), sizes)
+    return codec.blocks(there, sizes).drop("i", "j")
+
+
+@query("k6_statistics_text", "SELECT event_type, count(value) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
+def _(spark, sf):
+    path = fresh_path(spark, "statistics")
+    rows = table(spark, sf, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    tables.write_statistics(rows, path)
+    return spark.read.option("header", True).schema("event_type string, n long, low double, high double").csv(path)
+
+
+@query("d3_fixed_coordinate", "SELECT CAST(i.range AS INT) AS i, CAST(j.range AS INT) AS j, CAST(i.range * 10 + j.range AS DOUBLE) / 4 AS value FROM range(7) i, range(5) j")
+def _(spark, sf):
+    return box.fixed_coordinate(spark, [[(10 * i + j) / 4 for i in range(7)] for j in range(5)])
+
+
+@query("p13_hyper_slices", STEPS + "SELECT j AS slice, count(*) AS n, min(v) AS low FROM t WHERE ts = 1 GROUP BY j HAVING j < 3")
+def _(spark, sf):
+    """The first three slices, each from a request of its own."""
+    found = [(n, part) for n, part in itertools.islice(_timed(spark, sf).hyper_slices("wind", 1), 3)]
+    out = None
+    for n, part in found:
+        one = part.agg(F.lit(n).alias("slice"), F.count("*").alias("n"), F.min("value").alias("low"))
+        out = one if out is None else out.unionByName(one)
+    return out

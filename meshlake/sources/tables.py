@@ -46,6 +46,11 @@ def write_flow_lines(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange("ID", "step").sortWithinPartitions("ID", "step").drop("step").write.option("header", True).csv(path)
 
 
+def write_statistics(rows: DataFrame, path: str) -> None:
+    """Aggregated rows, few by nature, as one CSV file with a header."""
+    rows.coalesce(1).write.option("header", True).csv(path)
+
+
 def write_variable(values: DataFrame, path: str, blocks: int = 64) -> None:
     """A variable in the native store: Parquet by time step, sorted by block and index so that
     a box request skips row groups."""

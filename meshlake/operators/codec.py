@@ -22,7 +22,7 @@ def haar_step(values: DataFrame, axis: str) -> DataFrame:
 
     An unpaired last sample is paired with itself.
     """
-    others = [c for c in ("ts", *AXES) if c in values.columns and c != axis]
+    others = [c for c in values.columns if c not in (axis, "value")]
     pair = values.groupBy(*others, F.floor(F.col(axis) / 2).cast("int").alias("_m")).agg(
         F.max(F.when(F.col(axis) % 2 == 0, F.col("value"))).alias("_a"), F.max(F.when(F.col(axis) % 2 == 1, F.col("value"))).alias("_b")
     )
@@ -69,6 +69,41 @@ def reconstruct(coefficients: DataFrame, axis: str, levels: int, upto: int | Non
     return current
 
 
+def decompose_nd(values: DataFrame, axes: Sequence[str], levels: int) -> DataFrame:
+    """Coefficients of ``levels`` Haar steps along several axes: (…, axes, level, band, value).
+
+    Each level splits along all axes; ``band`` has a bit for each axis along which a
+    coefficient is a detail, and the part without any is split on.  Levels as in ``decompose``.
+    """
+    out, current = None, values.withColumn("band", F.lit(0))
+    for step in range(levels):
+        for bit, axis in enumerate(axes):
+            split = haar_step(current, axis)
+            rest = [c for c in split.columns if c not in ("approx", "detail", "band")]
+            both = F.array(F.struct("band", F.col("approx").alias("value")), F.struct((F.col("band") + (1 << bit)).alias("band"), F.col("detail").alias("value")))
+            current = split.select(*rest, F.explode(both).alias("_s")).select(*rest, "_s.band", "_s.value")
+        details = current.where("band > 0").withColumn("level", F.lit(levels - step))
+        out = details if out is None else out.unionByName(details)
+        current = current.where("band = 0")
+    current = current.withColumn("level", F.lit(0))
+    return current if out is None else current.unionByName(out)
+
+
+def reconstruct_nd(coefficients: DataFrame, axes: Sequence[str], levels: int, upto: int | None = None) -> DataFrame:
+    """Samples from coefficients along several axes; missing details count as 0."""
+    current = coefficients.where("level = 0").drop("level")
+    for level in range(1, (levels if upto is None else upto) + 1):
+        current = current.unionByName(coefficients.where(F.col("level") == level).drop("level"))
+        for bit, axis in reversed(list(enumerate(axes))):
+            others = [c for c in current.columns if c not in ("band", "value")]
+            high = F.col("band").bitwiseAND(F.lit(1 << bit)) != 0
+            pairs = current.groupBy(*others, (F.col("band") - F.when(high, 1 << bit).otherwise(0)).alias("band")).agg(
+                F.coalesce(F.max(F.when(~high, F.col("value"))), F.lit(0.0)).alias("approx"), F.coalesce(F.max(F.when(high, F.col("value"))), F.lit(0.0)).alias("detail")
+            )
+            current = haar_inverse_step(pairs, axis)
+    return current.drop("band")
+
+
 def rank_by_size(coefficients: DataFrame, block: Sequence[str]) -> DataFrame:
     """Adds ``rank``, from 1, of the absolute coefficient inside its block; ties by place."""
     place = [c for c in ("level", *AXES) if c in coefficients.columns and c not in block]

@@ -384,3 +384,28 @@ def _(spark, sf):
         one = part.agg(F.lit(n).alias("slice"), F.count("*").alias("n"), F.min("value").alias("low"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# Wavelets along several axes
+
+
+@query(
+    "c1_haar_2d",
+    G + """, q AS (SELECT CAST(i // 2 AS INT) AS i, CAST(j // 2 AS INT) AS j, sum(v) FILTER (i % 2 = 0 AND j % 2 = 0) AS a, sum(v) FILTER (i % 2 = 1 AND j % 2 = 0) AS b,
+        sum(v) FILTER (i % 2 = 0 AND j % 2 = 1) AS c, sum(v) FILTER (i % 2 = 1 AND j % 2 = 1) AS d FROM g GROUP BY 1, 2)
+      SELECT i, j, CAST(CASE band WHEN 0 THEN 0 ELSE 1 END AS INT) AS level, CAST(band AS INT) AS band,
+        round(CASE band WHEN 0 THEN a + b + c + d WHEN 1 THEN a - b + c - d WHEN 2 THEN a + b - c - d ELSE a - b - c + d END / 2, 6) AS value FROM q, (VALUES (0), (1), (2), (3)) AS x(band)""",
+)
+def _(spark, sf):
+    """The number of vectors is even in all tables."""
+    out = codec.decompose_nd(field(spark, sf), ["i", "j"], 1)
+    return out.select("i", F.col("j").cast("int").alias("j"), "level", "band", r6("value").alias("value"))
+
+
+@query("c2_round_trip_3d", CUBE + "SELECT i, j, k, round(v, 6) AS value FROM c, n WHERE j < nj - nj % 4")
+def _(spark, sf):
+    """Two levels along three axes and back; the vectors that fill whole groups of four."""
+    nj = table(spark, sf, "embeddings").count()
+    cube = _cube(spark, sf).where(F.col("j") < nj - nj % 4)
+    back = codec.reconstruct_nd(codec.decompose_nd(cube, ["i", "j", "k"], 2), ["i", "j", "k"], 2)
+    return back.select(*[F.col(a).cast("int").alias(a) for a in ("i", "j", "k")], r6("value").alias("value"))

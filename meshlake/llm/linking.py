@@ -45,10 +45,12 @@ def crowded_members(ws: Workspace, rows: DataFrame) -> DataFrame:
 
 
 def _confirmed(ws: Workspace, pairs: DataFrame, texts: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The pairs (a, b, ra, rb) with ``ok``, as ``check`` says, given a_text and b_text too."""
+    """The pairs (a, b, ra, rb) with ``ok``, as ``check`` says, given a_text and b_text too.
+    Their table goes afterwards."""
     with_b = pairs.join(texts.withColumnsRenamed({"k": "b", "text": "b_text"}).hint("merge"), "b")
     full = with_b.join(texts.withColumnsRenamed({"k": "a", "text": "a_text"}).hint("merge"), "a")
     out = ws.save(check(full.select("a", "b", "ra", "rb", "a_text", "b_text")).select("a", "b", "ra", "rb", "ok"), "checked")
+    ws.drop(pairs)
     ws.release()
     return out
 

@@ -280,6 +280,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     )
     nodes = ws.save(nodes, "nodes")
     roots = _classes(ws, nodes, docs, k, percent)
+    ws.keep_only(sketches, nodes, roots)
     found = nodes.join(roots.hint("merge"), F.col("k") == F.col("node"), "left").select("k1", "k2", "d", F.coalesce("root", "k").alias("root"))
     found = ws.save(found, "nodes-in-classes")
     least = ws.save(found.groupBy("root").agg(F.min("d").alias("component_id")), "components")

@@ -19,12 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import TOGETHER, Encoder
-from .textnum import code_points, mix, proposals, runs
+from .textnum import code_points, mix, positions, proposals, runs
 
+#: Ids that are decoded together.
+DECODED = 500_000
 _models: dict = {}
 
 
@@ -188,10 +191,25 @@ def encode(docs: DataFrame, tokens: list[bytes], output: str = "ids") -> DataFra
 
 
 def _decode(tokens: list[bytes]):
+    """Adds the bytes of ids, cut from the tokens in a row, for some ``DECODED`` ids at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blob = np.frombuffer(b"".join(tokens), np.uint8)
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        start = np.cumsum(size) - size
         for batch in batches:
-            texts = [None if ids is None else b"".join(map(tokens.__getitem__, ids)) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary())], ["row", "decoded"])
+            many = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy()
+            upto, first = np.cumsum(many), 0
+            while first < len(many):
+                last = max(first + 1, int(np.searchsorted(upto, upto[first] - many[first] + DECODED, side="right")))
+                part = batch.column("ids").slice(first, last - first)
+                ids = part.flatten().to_numpy()
+                ends = np.append(0, np.cumsum(size[ids]))[np.append(0, np.cumsum(many[first:last]))]
+                data = blob[positions(start[ids], size[ids])]
+                texts = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                texts = pc.if_else(part.is_valid(), texts, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, last - first), texts], ["row", "decoded"])
+                first = last
 
     return run
 

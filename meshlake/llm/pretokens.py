@@ -20,7 +20,7 @@ from .textnum import code_points, numbered, proposals
 #: Pre-tokens a worker remembers; later ones are looked up again in each batch.
 REMEMBERED = 250_000
 #: Characters whose pre-tokens are looked up together: the more, the fewer distinct ones.
-TOGETHER = 1_200_000
+TOGETHER = 800_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _classes: list[np.ndarray] = []
 

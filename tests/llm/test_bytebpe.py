@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -78,6 +79,21 @@ def test_queries(spark, sf_dir, tokens, library):
     assert bytebpe.report(docs.limit(0), tokens).count() == 0
 
 
+def test_decode_in_parts(spark, tokens, monkeypatch):
+    rows = [(i, None if i % 5 == 0 else list(range(i * 7, i * 7 + i % 13)) if i % 11 else []) for i in range(200)]
+    for limit in (1, 20, 10**6):
+        own = list(bytebpe._decode(tokens)(iter(batches(rows, limit, monkeypatch))))
+        found = [v for b in own for v in b.column("decoded").to_pylist()]
+        assert found == [None if ids is None else b"".join(tokens[t] for t in ids) for _, ids in rows]
+        assert [v for b in own for v in b.column("row").to_pylist()] == [i for i, _ in rows]
+
+
+def batches(rows, limit, monkeypatch):
+    monkeypatch.setattr(bytebpe, "DECODED", limit)
+    whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["row", "ids"])
+    return [whole.slice(0, 90), whole.slice(90)]
+
+
 def test_merge_order(tokens, library):
     rng = random.Random(2)
     ranks = {t: i for i, t in enumerate(tokens)}

@@ -27,6 +27,7 @@ class Variable:
     axis: int | None = None
     uniform: bool = True
     levels: int = 1
+    block: int = 64  # samples of a block of the native store along each axis
     ratios: tuple[int, ...] = (1,)
     attributes: dict = field(default_factory=dict)
     inputs: tuple[str, ...] = ()
@@ -69,6 +70,11 @@ def normal_level(level: int, n: int) -> int:
     return max(min(level, -1), -n)
 
 
+def length_at_level(n: int, block: int, down: int) -> int:
+    """Samples of an axis ``down`` levels below the best, whole blocks and the rest halved apart (``codec.dims_at_level``)."""
+    return max(1, n // block * max(1, -(-block // (1 << down))) + (n % block >> down))
+
+
 class Dataset:
     def __init__(self, spark: SparkSession, name: str = "data"):
         self.spark, self.name = spark, name
@@ -121,7 +127,7 @@ class Dataset:
     def shape(self, name: str, level: int = -1) -> tuple[int, ...]:
         v = self.variables[name]
         down = -1 - normal_level(level, v.levels)
-        return tuple(max(1, -(-self.dimensions[d] // (1 << down))) for d in self.meshes[v.mesh].dimensions)
+        return tuple(length_at_level(self.dimensions[d], v.block, down) for d in self.meshes[v.mesh].dimensions)
 
     def inputs(self, name: str) -> list[str]:
         """All variables that one depends on, itself last."""

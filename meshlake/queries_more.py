@@ -409,3 +409,13 @@ def _(spark, sf):
     cube = _cube(spark, sf).where(F.col("j") < nj - nj % 4)
     back = codec.reconstruct_nd(codec.decompose_nd(cube, ["i", "j", "k"], 2), ["i", "j", "k"], 2)
     return back.select(*[F.col(a).cast("int").alias(a) for a in ("i", "j", "k")], r6("value").alias("value"))
+
+
+@query(
+    "m9_length_at_level",
+    """SELECT CAST(l.range AS INT) AS down, CAST(greatest(1, n // 64 * (64 >> l.range) + ((n % 64) >> l.range)) AS INT) AS length FROM (SELECT count(*) // 3 AS n FROM embeddings), range(3) l""",
+)
+def _(spark, sf):
+    data = _timed(spark, sf)
+    data.variables["wind"].levels = 3
+    return spark.createDataFrame([(down, data.shape("wind", -1 - down)[1]) for down in range(3)], "down int, length int")

@@ -126,6 +126,32 @@ def polygon_weights(polygon: np.ndarray, point: np.ndarray, epsilon: float = 1e-
     return weight / weight.sum()
 
 
+def polygon_weights_of(polygons: np.ndarray, points: np.ndarray, epsilon: float = 1e-9) -> np.ndarray:
+    """``polygon_weights`` of many points in as many polygons of n corners each (P x n x 2); NaN outside."""
+    rel = polygons - points[:, None, :]
+    nxt = np.roll(rel, -1, axis=1)
+    area = rel[..., 0] * nxt[..., 1] - rel[..., 1] * nxt[..., 0]
+    turn = np.sign(area.sum(axis=1))
+    turn[turn == 0] = 1.0
+    area = area * turn[:, None]
+    scale = np.abs(area).max(axis=1, initial=0.0)
+    scale[scale == 0] = 1.0
+    edge = (np.abs(area) <= epsilon * scale[:, None]).any(axis=1)
+    out = np.full(area.shape, np.nan)
+    for i in np.flatnonzero(edge).tolist():
+        one = polygon_weights(polygons[i], points[i], epsilon)
+        if one is not None:
+            out[i] = one
+    free = ~edge & (area >= 0).all(axis=1)
+    if free.any():
+        p, area = polygons[free], area[free]
+        before, after = p - np.roll(p, 1, axis=1), np.roll(p, -1, axis=1) - p
+        corner = turn[free, None] * (before[..., 0] * after[..., 1] - before[..., 1] * after[..., 0])
+        weight = corner / (np.roll(area, 1, axis=1) * area)
+        out[free] = weight / weight.sum(axis=1, keepdims=True)
+    return out
+
+
 def _faces_with_corners(nodes: DataFrame, face_nodes: DataFrame) -> DataFrame:
     joined = valid_slots(face_nodes).join(nodes.select("node", "x", "y", "value"), "node")
     corner = F.struct("slot", "node", "x", "y", "value")
@@ -136,29 +162,38 @@ def _faces_with_corners(nodes: DataFrame, face_nodes: DataFrame) -> DataFrame:
 
 
 def _sampler(policy: str):
+    """Samples of points in the faces beside them, all faces of one number of corners at once."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = zip(batch.column("px").to_pylist(), batch.column("py").to_pylist(), batch.column("corners").to_pylist())
-            hit, linear, nearest = [], [], []
-            for x, y, corners in rows:
-                w = polygon_weights(np.array([(c["x"], c["y"]) for c in corners]), np.array([x, y]))
-                hit.append(w is not None)
-                if w is None:
-                    linear.append(None)
-                    nearest.append(None)
-                    continue
-                values = [c["value"] for c in corners]
-                nearest.append(values[int(w.argmax())])
-                known = np.array([v is not None for v in values])
-                if policy == "strict" and (w[~known] > 0).any() or not known.any() or w[known].sum() == 0:
-                    linear.append(None)
+            lists = batch.column("corners")
+            size = lists.value_lengths().to_numpy()
+            first = np.cumsum(size) - size
+            flat = lists.flatten()
+            x, y, v = (flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y", "value"))
+            points = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("px", "py")], axis=1)
+            linear, nearest, hit = np.full(len(size), np.nan), np.full(len(size), np.nan), np.zeros(len(size), bool)
+            for n in np.unique(size).tolist():
+                rows = np.flatnonzero(size == n)
+                at = first[rows, None] + np.arange(n)
+                weight, value = polygon_weights_of(np.stack([x[at], y[at]], axis=2), points[rows]), v[at]
+                inside = ~np.isnan(weight).any(axis=1)
+                rows, weight, value = rows[inside], weight[inside], value[inside]
+                hit[rows] = True
+                nearest[rows] = value[np.arange(len(rows)), weight.argmax(axis=1)]
+                known = ~np.isnan(value)
+                share = np.where(known, weight, 0.0)
+                total = share.sum(axis=1)
+                bad = ~known.any(axis=1) | (total == 0)
+                if policy == "strict":
+                    bad |= (~known & (weight > 0)).any(axis=1)
                 else:
-                    share = w[known] / (w[known].sum() if policy == "renormalise" else 1.0)
-                    linear.append(float(share @ np.array([v for v in values if v is not None], float)))
+                    share = share / np.where(total == 0, 1.0, total)[:, None]
+                linear[rows] = np.where(bad, np.nan, (share * np.where(known, value, 0.0)).sum(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_k"), batch.column("face"), pa.array(hit), pa.array(linear, pa.float64()), pa.array(nearest, pa.float64())],
+                [batch.column("_k"), batch.column("face"), pa.array(hit), pa.array(linear, from_pandas=True), pa.array(nearest, from_pandas=True)],
                 ["_k", "face", "hit", "linear", "nearest"],
             )
 

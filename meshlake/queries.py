@@ -968,9 +968,16 @@ def _(spark, sf):
     return flow.reinjected(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("seed")), steps, 6)
 
 
-@query("l6_trace_in_rotation")
+@query(
+    "l6_trace_in_rotation",
+    """WITH seeds AS (SELECT s_suppkey AS stream, (s_suppkey % 17) / 20.0::DOUBLE AS x, (s_suppkey % 5) / 10.0::DOUBLE AS y FROM supplier),
+      t AS (SELECT CAST(range AS INT) AS step, CASE WHEN range <= 2 THEN range * 0.05::DOUBLE ELSE 0.1::DOUBLE + (range - 2) * 0.0625::DOUBLE END AS a FROM range(41))
+      SELECT stream, step, round(x * cos(a) - y * sin(a), 4) AS x, round(x * sin(a) + y * cos(a), 4) AS y, round(a, 6) AS time, false AS special FROM seeds, t WHERE step = 0 OR x <> 0 OR y <> 0
+      UNION ALL SELECT stream, CAST(1 AS INT), 0, 0, 0, true FROM seeds WHERE x = 0 AND y = 0""",
+)
 def _(spark, sf):
-    """Traces of supplier seeds in a solid rotation: rows only, tested against circles."""
+    """Traces of supplier seeds in a solid rotation: a turn of less than 3 degrees a step makes
+    the third step longer by a quarter, which turns by more; the middle stands still."""
     import numpy as np
 
     g = RegularGrid((33, 33), (-1.0, -1.0), (1.0, 1.0))
@@ -978,7 +985,8 @@ def _(spark, sf):
     rotation = flow.Field(g, [0.0], [-y[None], x[None]])
     key = F.col("s_suppkey")
     seeds = table(spark, sf, "supplier").select(key.alias("seed"), ((key % 17) / 20.0).alias("x"), ((key % 5) / 10.0).alias("y"))
-    return flow.advect(seeds, rotation, 0.05, steps=40)
+    out = flow.advect(seeds, rotation, 0.05, steps=40)
+    return out.select("stream", "step", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), r6("time").alias("time"), "special")
 
 
 @query("l13_random_rake")

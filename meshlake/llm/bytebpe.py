@@ -170,43 +170,75 @@ def model(tokens: list[bytes]) -> Model:
     return _models[key]
 
 
-def _encode(tokens: list[bytes]):
+class Speller:
+    """Bytes of ids, cut from the tokens in a row."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start = np.cumsum(self.size) - self.size
+
+    def texts(self, ids: np.ndarray, first: np.ndarray) -> pa.Array:
+        """The bytes of each of the lists that begin at ``first`` (and where the last one ends)."""
+        ends = np.append(0, np.cumsum(self.size[ids]))[first]
+        data = self.blob[positions(self.start[ids], self.size[ids])]
+        return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _encode(tokens: list[bytes], spelled: list[bytes] | None = None):
+    """Rows with ids and, given the tokens to spell them with, their bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(tokens)
+        speller = None if spelled is None else Speller(spelled)
         for batch in batches:
             for row, texts in runs(batch, limit=TOGETHER):
                 flat, first = own.encoder.ids(texts)
                 ids = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(row, len(texts)), ids], ["doc", "ids"])
+                columns = [batch.column("doc").slice(row, len(texts)), ids]
+                if speller is not None:
+                    columns.append(speller.texts(flat, first))
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "ids", "decoded"][: len(columns)])
 
     return run
 
 
+def _packed(docs: DataFrame) -> tuple[DataFrame, str]:
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
+    return packed, packed.schema["doc"].dataType.simpleString()
+
+
 def encode(docs: DataFrame, tokens: list[bytes], output: str = "ids") -> DataFrame:
     """The rows with the ids of their text, an array of int."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
-    kind = packed.schema["doc"].dataType.simpleString()
+    packed, kind = _packed(docs)
     out = packed.mapInArrow(_encode(tokens), f"doc {kind}, ids array<int>")
     return out.select(*[F.col(f"doc.`{c}`") for c in docs.columns if c.lower() != output.lower()], F.col("ids").alias(output))
 
 
+def round_trip(docs: DataFrame, tokens: list[bytes], output: str = "ids", spelled: list[bytes] | None = None) -> DataFrame:
+    """The rows with the ids of their text and, as ``text``, what these ids spell (null stays null).
+
+    Encoding and decoding share a worker; ``spelled`` are the tokens to decode with, if they differ.
+    """
+    packed, kind = _packed(docs)
+    out = packed.mapInArrow(_encode(tokens, spelled or tokens), f"doc {kind}, ids array<int>, decoded binary")
+    text = F.when(F.col("doc.text").isNotNull(), F.col("decoded").cast("string")).alias("text")
+    columns = [text if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns if c.lower() != output.lower()]
+    return out.select(*columns, F.col("ids").alias(output))
+
+
 def _decode(tokens: list[bytes]):
-    """Adds the bytes of ids, cut from the tokens in a row, for some ``DECODED`` ids at a time."""
+    """Adds the bytes of ids, of some ``DECODED`` ids at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob = np.frombuffer(b"".join(tokens), np.uint8)
-        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        start = np.cumsum(size) - size
+        speller = Speller(tokens)
         for batch in batches:
             many = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy()
             upto, first = np.cumsum(many), 0
             while first < len(many):
                 last = max(first + 1, int(np.searchsorted(upto, upto[first] - many[first] + DECODED, side="right")))
                 part = batch.column("ids").slice(first, last - first)
-                ids = part.flatten().to_numpy()
-                ends = np.append(0, np.cumsum(size[ids]))[np.append(0, np.cumsum(many[first:last]))]
-                data = blob[positions(start[ids], size[ids])]
-                texts = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                texts = speller.texts(part.flatten().to_numpy(), np.append(0, np.cumsum(many[first:last])))
                 texts = pc.if_else(part.is_valid(), texts, pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, last - first), texts], ["row", "decoded"])
                 first = last

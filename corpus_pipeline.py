@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meshlake.llm import bytebpe, exact, mixing, neardup, quality
 from meshlake.llm.workspace import Workspace
@@ -28,12 +27,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokens = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    name = "decoded"
-    while name in docs.columns:
-        name = f"_{name}"
-    both = bytebpe.decode(bytebpe.encode(docs, tokens), tokens, output=name)
-    # The text goes on as its ids decode; a null text has no ids and stays null.
-    return both.withColumn("text", F.when(F.col("text").isNotNull(), F.col(name).cast("string"))).drop(name)
+    # The text goes on as its ids decode.
+    return bytebpe.round_trip(docs, tokens)
 
 
 STAGES = [

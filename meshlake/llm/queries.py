@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, exact, lines, mixing, neardup, quality, shards, substrings, tokenfile, unigram
+from . import bytebpe, exact, lines, merkle, mixing, neardup, quality, shards, substrings, tokenfile, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
@@ -70,10 +74,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+# The remainders of all bytes, which CRC-32 is made from, and the CRC-32 of an ASCII text by them.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda s, n: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)) AS t)"
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda c: ascii(c)::BIGINT)), lambda s, c: xor(s >> 8, t[(xor(s, c) & 255) + 1])), 4294967295)"
+
+
+def _merkle_sql(levels: int = 7) -> str:
+    """Trees of up to 8 ** levels leaves, built and climbed a level at a time."""
+
+    def leaf(text: str) -> str:
+        parts = {c: c for c in merkle.FIELDS} | {"text": text}
+        return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({v}::VARCHAR) || ':' || {v}::VARCHAR END" for c, v in parts.items()) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = [
+        CRC_TABLE,
+        f"""d AS (SELECT doc_id, lang AS g, {leaf("text")} AS h, CASE WHEN {CRC.format("doc_id::VARCHAR")} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS f,
+              row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM documents, crc)""",
+        "a0 AS (SELECT g, pos, h, n FROM d)",
+        "c0 AS (SELECT doc_id, g, h AS leaf, pos, f, '' AS s FROM d)",
+    ]
+
+    def climb(tree: str, way: str) -> None:
+        for k in range(levels):
+            out.append(f"{tree}r{k} AS (SELECT g, pos // 8 AS pos, list(h ORDER BY pos) AS r, any_value(n) AS n FROM {tree}{k} WHERE n > 1 GROUP BY ALL)")
+            out.append(f"{tree}{k + 1} AS (SELECT g, pos, sha256(array_to_string(r, '')) AS h, (n + 7) // 8 AS n FROM {tree}r{k})")
+            left, right = "array_to_string(r[1:w.pos % 8], '')", "array_to_string(r[w.pos % 8 + 2:], '')"
+            out.append(f"""{way}{k + 1} AS (SELECT w.* REPLACE (w.pos // 8 AS pos, CASE WHEN r IS NULL THEN f ELSE sha256({left} || f || {right}) END AS f, CASE WHEN r IS NULL THEN s ELSE s || {left} || {right} END AS s)
+              FROM {way}{k} w LEFT JOIN {tree}r{k} x ON w.g IS NOT DISTINCT FROM x.g AND w.pos // 8 = x.pos)""")
+
+    climb("a", "c")
+    ends = " UNION ALL ".join(f"SELECT g, h FROM a{k} WHERE n = 1" for k in range(levels + 1))
+    out.append(f"e AS ({ends})")
+    out.append("t AS (SELECT g AS lang, 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, h, count(*) OVER () AS n FROM e)")
+    out.append("b0 AS (SELECT g, pos, h, n FROM t)")
+    out.append(f"v0 AS (SELECT doc_id, leaf, t.h AS subroot, t.g, t.pos, f, s FROM c{levels} c JOIN t ON c.g IS NOT DISTINCT FROM t.lang)")
+    climb("b", "v")
+    tops = " UNION ALL ".join(f"SELECT h AS root FROM b{k} WHERE n = 1" for k in range(levels + 1))
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, root, sha256(s) AS proof_sha256, f AS folded_root, f = root AS verified FROM v{levels}, ({tops})"
+
+
 # Documents have ids of their own in these tables.
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": f"""
@@ -103,4 +148,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op13_merkle_manifest": _merkle_sql(),
 }

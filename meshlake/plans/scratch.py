@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -9,16 +11,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Temporary folders of local applications without ``spark.checkpoint.dir``, by application.
+_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where it is unset, in local mode only, a temporary
+    folder for each application, deleted at its end."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _FOLDERS:
+        made = _FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="meshlake-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return _FOLDERS[context.applicationId]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, wherever it is stored."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _delete_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # the session may be gone at exit
+        pass
+
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset, in local mode only, in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="meshlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there goes when Python ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_quietly, spark, path)
+    return path
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -26,7 +56,15 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     and a loop over tables keeps short plans."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._meshlake_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for table in tables:
+        _delete_quietly(table.sparkSession, table._meshlake_path)
 
 
 def numbered(rows: DataFrame, order: Sequence[Column], output: str) -> DataFrame:

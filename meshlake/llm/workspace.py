@@ -10,23 +10,11 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder where it is unset, in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="meshlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..plans.scratch import delete, shared_folder
 
 
 class Workspace:
@@ -51,14 +39,14 @@ class Workspace:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later phase reads."""
         for table in tables:
-            self._delete(table._meshlake_path)
+            delete(self.spark, table._meshlake_path)
             self._paths.discard(table._meshlake_path)
 
     def keep_only(self, *tables: DataFrame) -> None:
         """Delete all tables but these."""
         kept = {t._meshlake_path for t in tables}
         for path in self._paths - kept:
-            self._delete(path)
+            delete(self.spark, path)
         self._paths &= kept
         self.release()
 
@@ -67,13 +55,8 @@ class Workspace:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def _delete(self, path: str) -> None:
-        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-
     def _quiet_drop(self) -> None:
         try:
-            self._delete(self.path)
+            delete(self.spark, self.path)
         except Exception:  # the session may be gone at exit
             pass

@@ -24,7 +24,7 @@ def one_based(face_nodes: DataFrame, counts: DataFrame) -> DataFrame:
     """1-based connectivity to 0-based; slots beyond a face's count become -1, a 0 marks the whole face -2."""
     faces = Window.partitionBy("face")
     broken = F.max(F.when((F.col("node") == 0) & (F.col("slot") < F.col("n_nodes")), 1).otherwise(0)).over(faces)
-    node = F.when(F.col("slot") >= F.col("n_nodes"), -1).when(broken == 1, -2).otherwise(F.col("node") - 1)
+    node = F.when(broken == 1, -2).when(F.col("slot") >= F.col("n_nodes"), -1).otherwise(F.col("node") - 1)
     return face_nodes.join(counts.select("face", "n_nodes"), "face").withColumn("node", node).drop("n_nodes")
 
 

@@ -82,7 +82,9 @@ class Dataset:
         self.meshes: dict[str, Mesh] = {}
         self.variables: dict[str, Variable] = {}
         self.times: list[float] = [0.0]
-        self._tables: dict[str, DataFrame] = {}
+        self.time_coordinate: str | None = None
+        self.faces: dict[str, DataFrame] = {}  # (face, slot, node) of unstructured meshes
+        self._tables: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self._derived: dict[str, Callable[[Dataset], DataFrame]] = {}
         self._ranges: dict = {}
         self._stored: dict[str, set] = {}
@@ -93,9 +95,9 @@ class Dataset:
         self.dimensions |= sizes
         self.meshes[mesh.name] = mesh
 
-    def add_variable(self, variable: Variable, table: DataFrame, available: Sequence[tuple[int, int, int]] | None = None) -> None:
-        """``table`` has index columns, value and, if time-varying, ts; ``available`` lists the
-        (ts, level, detail) that are stored (None: all)."""
+    def add_variable(self, variable: Variable, table: DataFrame | Callable[[], DataFrame], available: Sequence[tuple[int, int, int]] | None = None) -> None:
+        """``table`` has index columns, value and, if time-varying, ts, or makes such a table when it is asked for
+        first; ``available`` lists the (ts, level, detail) that are stored (None: all)."""
         if variable.mesh not in self.meshes:
             raise ValueError(f"unknown mesh {variable.mesh}")
         self.variables[variable.name] = variable
@@ -103,6 +105,14 @@ class Dataset:
         if available is not None:
             self._stored[variable.name] = set(available)
 
+    def table(self, name: str) -> DataFrame:
+        """All samples of a variable."""
+        if name in self._derived:
+            return self._derived[name](self)
+        if not isinstance(self._tables[name], DataFrame):
+            self._tables[name] = self._tables[name]()
+        return self._tables[name]
+
     def add_derived(self, variable: Variable, make: Callable[[Dataset], DataFrame]) -> None:
         """A variable that is made from others when it is read."""
         variable.derived = True
@@ -196,7 +206,7 @@ class Dataset:
     def variable(self, name: str, ts: int = 0, box: Sequence[tuple[int, int]] | None = None, exact: bool = True, block: int = 64) -> DataFrame:
         """A variable at a step, cut to an index box (or the blocks that touch it)."""
         v = self.variables[name]
-        table = self._derived[name](self) if name in self._derived else self._tables[name]
+        table = self.table(name)
         if v.time_varying and "ts" in table.columns:
             table = table.where(F.col("ts") == ts)
         if box is not None:

@@ -75,7 +75,7 @@ class Registry:
         keys = (["ts"] if varying else []) + axes
         for n in function.inputs:
             v = self.dataset.variables[n]
-            table = self.dataset._derived[n](self.dataset) if n in self.dataset._derived else self.dataset._tables[n]
+            table = self.dataset.table(n)
             on = keys if v.time_varying else axes
             one = table.select(*on, F.col("value").alias(n))
             inputs = one if inputs is None else inputs.join(one, [c for c in on if c in inputs.columns])

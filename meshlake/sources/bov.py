@@ -1,21 +1,21 @@
 """Bricks of values: a text header and raw binary data.
 
-Headers and bricks are read with Spark's ``binaryFile`` source, so they may lie in any
-store that Spark reads; a brick is decoded in slabs on the executors.
+Headers are small; bricks are read in byte ranges (``ranges``), each variable as one table
+whatever the number of files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import Index, Layout, list_files, open_range
+
 FORMATS = {"INT": "i4", "FLOAT": "f4", "DOUBLE": "f8"}
-SLAB = 1 << 18
+#: Bytes of a header at most.
+LONGEST = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -65,39 +65,33 @@ def parse_header(text: str) -> Header:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(variable, ts, i, j, k, x, y, z, value) of all headers that ``path`` matches.
 
-    Headers must agree on size, origin and brick; time steps are the sorted distinct times.
+    Headers must agree on size, origin and brick; time steps are the sorted distinct times.  Of
+    headers with the same variable and time the first, in order of paths, counts.
     """
-    texts = spark.read.format("binaryFile").load(path).select("path", "content").collect()  # headers are small text files
-    headers = [(r["path"], parse_header(bytes(r["content"]).decode())) for r in texts]
-    if not headers:
-        raise ValueError(f"no header at {path}")
+    headers = []
+    for where in list_files(spark, path):
+        with open_range(where) as file:
+            headers.append((where, parse_header(file.read_at(min(file.size(), LONGEST), 0).decode())))
     if len({(h.size, h.origin, h.brick) for _, h in headers}) > 1:
         raise ValueError("headers disagree on size or place")
     times = sorted({h.time for _, h in headers})
     out = None
-    for where, h in headers:
-        folder = where.rsplit("/", 1)[0]
-        target = h.data_file if "/" in h.data_file[:1] or "://" in h.data_file else f"{folder}/{h.data_file}"
-        one = spark.read.format("binaryFile").load(target).select("content").mapInPandas(_decode(h), "at long, value double")
-        one = one.select(F.lit(h.variable).alias("variable"), F.lit(times.index(h.time)).alias("ts"), "at", "value")
-        out = one if out is None else out.union(one)
-    (ni, nj, nk), h = headers[0][1].size, headers[0][1]
-    i, j, k = F.col("at") % ni, F.floor(F.col("at") / ni) % nj, F.floor(F.col("at") / (ni * nj))
+    for name in sorted({h.variable for _, h in headers}):
+        paths: list[str] = []
+        layouts: list[Layout] = []
+        steps: dict[int, tuple[int, int, int]] = {}
+        for where, h in headers:
+            ts = times.index(h.time)
+            if h.variable != name or ts in steps:
+                continue
+            paths.append(h.data_file if h.data_file.startswith("/") or "://" in h.data_file else f"{where.rsplit('/', 1)[0]}/{h.data_file}")
+            layout = Layout(list(reversed(h.size)), ("<" if h.little else ">") + FORMATS[h.format], h.offset)
+            if layout not in layouts:
+                layouts.append(layout)
+            steps[ts] = (len(paths) - 1, layouts.index(layout), 0)
+        one = Index(paths, layouts, [(ts, *steps[ts]) for ts in sorted(steps)]).table(spark)
+        one = one.select(F.lit(name).alias("variable"), *one.columns)
+        out = one if out is None else out.unionByName(one)
+    h = headers[0][1]
     place = [F.lit(h.origin[a]) + F.col("ijk"[a]) * F.lit(h.brick[a] / (h.size[a] - 1)) for a in range(3)]
-    return out.select("variable", "ts", i.cast("int").alias("i"), j.cast("int").alias("j"), k.cast("int").alias("k"), "value").select(
-        "variable", "ts", "i", "j", "k", place[0].alias("x"), place[1].alias("y"), place[2].alias("z"), "value"
-    )
-
-
-def _decode(h: Header):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kind = np.dtype(("<" if h.little else ">") + FORMATS[h.format])
-        n = h.size[0] * h.size[1] * h.size[2]
-        for batch in batches:
-            for content in batch["content"]:
-                values = np.frombuffer(content, kind, count=n, offset=h.offset)
-                for at in range(0, n, SLAB):
-                    part = values[at : at + SLAB].astype(float)
-                    yield pd.DataFrame({"at": np.arange(at, at + len(part)), "value": part})
-
-    return run
+    return out.select("variable", "ts", "i", "j", "k", place[0].alias("x"), place[1].alias("y"), place[2].alias("z"), "value")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators.grid import AXES
 
+#: Samples that a region in the driver's memory may have.
+MOST_RAW = 10_000_000
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -53,13 +55,14 @@ def write_statistics(rows: DataFrame, path: str) -> None:
 
 def write_variable(values: DataFrame, path: str, blocks: int = 64) -> None:
     """A variable in the native store: Parquet by time step, sorted by block and index so that
-    a box request skips row groups."""
+    a box request skips row groups.  Steps that the store has already are replaced, others stay,
+    so that a second run gives the same store."""
     axes = [a for a in AXES if a in values.columns]
     keys = [F.floor(F.col(a) / blocks).alias(f"b{a}") for a in axes]
     table = values if "ts" in values.columns else values.withColumn("ts", F.lit(0))
     table = table.select("*", *keys)
     order = ["ts", *[f"b{a}" for a in axes]]
-    table.repartitionByRange(*order).sortWithinPartitions(*order, *axes).write.mode("append").partitionBy("ts").parquet(path)
+    table.repartitionByRange(*order).sortWithinPartitions(*order, *axes).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts").parquet(path)
 
 
 def read_variable(spark: SparkSession, path: str, ts: int | None = None, box: Sequence[tuple[int, int]] | None = None, blocks: int = 64) -> DataFrame:
@@ -113,7 +116,9 @@ def particles(rows: DataFrame, position: Sequence[str]) -> DataFrame:
 
 
 def raw_bytes(values: DataFrame, grid_n: Sequence[int], kind: str = "f4") -> bytes:
-    """A region as raw little-endian binary, first axis fastest.  Meant for a box that fits the driver."""
+    """A region as raw little-endian binary, first axis fastest; larger ones go to files (``ranges.write_raw``)."""
+    if int(np.prod(grid_n, dtype=np.int64)) > MOST_RAW:
+        raise ValueError("the region is too large for the driver; write it with ranges.write_raw")
     axes = [a for a in AXES if a in values.columns]
     rows = values.orderBy(*reversed(axes)).select("value").toPandas()["value"].to_numpy(float)
     if len(rows) != int(np.prod(grid_n)):

@@ -1,7 +1,7 @@
 """Wavelet codec on tables of samples: levels, level-of-detail bands, compression.
 
 One transform step along an axis pairs samples 2m and 2m + 1; Haar coefficients are
-window-free group sums.  Other filters run on blocks of a line in Arrow batches.
+window-free group sums.  Other filters and lifting families run on whole lines in Arrow batches.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lifting
 from .grid import AXES
 
 ROOT_HALF = math.sqrt(0.5)
@@ -174,35 +175,60 @@ FILTERS = {
 }
 
 
-def filter_line(line: Sequence[float], name: str, inverse: bool = False):
-    """One periodic step of an orthogonal filter over a line of even length (NumPy)."""
+def filter_line(line, name: str, inverse: bool = False):
+    """One periodic step of an orthogonal filter over lines of even length (NumPy, along the last axis)."""
     import numpy as np
 
     low = np.array(FILTERS[name])
     high = low[::-1] * np.array([1, -1] * (len(low) // 2))
     x = np.asarray(line, float)
-    n = len(x)
-    if not inverse:
-        places = (2 * np.arange(n // 2)[:, None] + np.arange(len(low))[None, :]) % n
-        return np.concatenate([x[places] @ low, x[places] @ high])
-    out = np.zeros(n)
+    n = x.shape[-1]
     places = (2 * np.arange(n // 2)[:, None] + np.arange(len(low))[None, :]) % n
-    np.add.at(out, places, x[: n // 2, None] * low + x[n // 2 :, None] * high)
+    if not inverse:
+        return np.concatenate([x[..., places] @ low, x[..., places] @ high], axis=-1)
+    out = np.zeros_like(x)
+    parts = x[..., : n // 2, None] * low + x[..., n // 2 :, None] * high
+    for tap in range(len(low)):
+        out[..., places[:, tap]] += parts[..., tap]  # a tap meets each place once
     return out
 
 
+def step_of_lines(lines, name: str, inverse: bool = False):
+    """One step of any family over stacked lines: approximations, then details; or back."""
+    import numpy as np
+
+    if name not in lifting.FAMILIES or name in FILTERS:
+        return filter_line(lines, name, inverse)
+    if not inverse:
+        return np.concatenate(lifting.forward(lines, name), axis=-1)
+    half = -(-lines.shape[-1] // 2)
+    return lifting.inverse(lines[..., :half], lines[..., half:], name)
+
+
 def transform_lines(values: DataFrame, axis: str, name: str, inverse: bool = False) -> DataFrame:
-    """One filter step along each line of a grid, in Arrow batches of whole lines."""
+    """One filter step along each line of a grid, in Arrow batches of whole lines; those of equal length together.
+
+    Families with lifting steps (``lifting.FAMILIES``) take lines of any length, orthogonal filters even ones.
+    """
     others = [c for c in ("ts", *AXES) if c in values.columns and c != axis]
     lines = values.groupBy(*others).agg(F.transform(F.array_sort(F.collect_list(F.struct(axis, "value"))), lambda s: s["value"]).alias("line"))
     schema = lines.schema
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            done = [filter_line(x, name, inverse).tolist() for x in batch.column("line").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(done, pa.list_(pa.float64()))], batch.schema.names)
+            column = batch.column("line")
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+            offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+            length = np.diff(offsets)
+            done = np.empty(len(flat))
+            for n in np.unique(length).tolist():
+                places = offsets[:-1][length == n][:, None] + np.arange(n)
+                done[places] = step_of_lines(flat[places], name, inverse)
+            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(done))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], batch.schema.names)
 
     return lines.mapInArrow(run, schema).select(*others, F.posexplode("line").alias(axis, "value"))
 

@@ -86,6 +86,7 @@ class Dataset:
         self.faces: dict[str, DataFrame] = {}  # (face, slot, node) of unstructured meshes
         self._tables: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self._derived: dict[str, Callable[[Dataset], DataFrame]] = {}
+        self._progressive: dict[str, Callable[..., DataFrame]] = {}
         self._ranges: dict = {}
         self._stored: dict[str, set] = {}
 
@@ -105,8 +106,17 @@ class Dataset:
         if available is not None:
             self._stored[variable.name] = set(available)
 
+    def add_progressive(self, variable: Variable, path: str, available: Sequence[tuple[int, int, int]] | None = None) -> None:
+        """A variable of the store by level and detail (``sources.progressive``), whose levels and ratios it takes."""
+        from ..sources import progressive
+
+        layout = progressive.layout_of(path)
+        variable.levels, variable.ratios, variable.block = layout.steps + 1, layout.ratios, layout.block
+        self._progressive[variable.name] = lambda ts, level, lod, box: progressive.read(self.spark, path, ts, level, lod, box)
+        self.add_variable(variable, lambda: progressive.read(self.spark, path), available)
+
     def table(self, name: str) -> DataFrame:
-        """All samples of a variable."""
+        """All samples of a variable, at the best level and detail."""
         if name in self._derived:
             return self._derived[name](self)
         if not isinstance(self._tables[name], DataFrame):
@@ -203,9 +213,20 @@ class Dataset:
 
     # Requests
 
-    def variable(self, name: str, ts: int = 0, box: Sequence[tuple[int, int]] | None = None, exact: bool = True, block: int = 64) -> DataFrame:
-        """A variable at a step, cut to an index box (or the blocks that touch it)."""
+    def variable(
+        self, name: str, ts: int = 0, box: Sequence[tuple[int, int]] | None = None, exact: bool = True, block: int = 64, level: int = -1, lod: int = -1
+    ) -> DataFrame:
+        """A variable at a step, level and detail, cut to an index box of that level (or the blocks that touch it).
+
+        Variables of the store by level and detail read only what these need; others have one of each.
+        """
         v = self.variables[name]
+        if name in self._progressive:
+            step = ts if v.time_varying else 0
+            if not self.exists(name, ts, level, lod):
+                raise ValueError(f"{name} isn't stored at step {ts}, level {level}, detail {lod}")
+            wide = box if exact or box is None else [(lo // block * block, hi // block * block + block - 1) for lo, hi in box]
+            return self._progressive[name](step, level, lod, wide)
         table = self.table(name)
         if v.time_varying and "ts" in table.columns:
             table = table.where(F.col("ts") == ts)

@@ -48,13 +48,16 @@ def _weights(grid: RegularGrid) -> Column:
     return F.filter(F.array(*corners), lambda c: c["_w"] != 0)
 
 
-def sample_linear(points: DataFrame, values: DataFrame, grid: RegularGrid, key: Sequence[str], name: str = "sampled") -> DataFrame:
-    """(key, name): multilinear samples of the points with these key columns; null outside."""
+def sample_linear(points: DataFrame, values: DataFrame, grid: RegularGrid, key: Sequence[str], name: str = "sampled", also: Sequence[str] = ()) -> DataFrame:
+    """(key, name): multilinear samples of the points with these key columns; null outside.
+
+    ``also`` names key columns that the values have too, such as a step, and that must be equal.
+    """
     keys = [f"_{a}" for a in grid.axes]
     wanted = points.where(grid.inside()).select(*key, F.explode(_weights(grid)).alias("_c")).select(*key, "_c.*")
-    side = values.select(*[F.col(a).alias(f"_{a}") for a in grid.axes], "value")
+    side = values.select(*[F.col(a).alias(f"_{a}") for a in grid.axes], *also, "value")
     found = (
-        wanted.join(side, keys, "left")
+        wanted.join(side, [*keys, *also], "left")
         .groupBy(*key)
         .agg(F.sum(F.col("_w") * F.col("value")).alias("_s"), F.bool_or(F.col("value").isNull()).alias("_gap"))
         .select(*key, F.when(~F.col("_gap"), F.col("_s")).alias(name))

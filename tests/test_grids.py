@@ -248,11 +248,83 @@ def test_unsteady_field_and_integral(spark):
     assert total == pytest.approx(3.0)
 
 
-def test_field_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(flow, "MAX_FIELD_VALUES", 10)
-    g = RegularGrid((4, 4), (0.0, 0.0), (1.0, 1.0))
-    with pytest.raises(ValueError):
-        flow.field_from_tables(g, [from_numpy(spark, np.zeros((4, 4)))])
+def smooth(grid, times, seed):
+    """Arrays (time, k, j, i) of smooth random vectors, with some samples missing."""
+    rng = np.random.default_rng(seed)
+    index = np.indices(tuple(reversed(grid.n)))
+    parts = []
+    for _ in grid.n:
+        waves = [sum(rng.normal() * np.sin(index[a] * rng.uniform(0.1, 0.4) + rng.uniform(0, 6)) for a in range(len(grid.n))) for _ in times]
+        parts.append(np.stack(waves))
+    parts[0][(0, *[3] * len(grid.n))] = np.nan
+    return parts
+
+
+def component(spark, array):
+    """(ts, i, j, k, value) of an array, missing samples left out."""
+    axes = "ijk"[: array.ndim - 1]
+    rows = [(p[0], *reversed(p[1:]), float(v)) for p, v in np.ndenumerate(array) if not np.isnan(v)]
+    return spark.createDataFrame(rows, "ts int, " + ", ".join(f"{a} int" for a in axes) + ", value double")
+
+
+def outcome(rows):
+    return {(r.stream, r.step): tuple(r)[2:] for r in rows.collect()}
+
+
+@pytest.mark.parametrize("case", ["steady", "adaptive", "backward", "unsteady", "periodic", "euler"])
+def test_traces_in_a_stored_field_are_those_in_memory(spark, case, monkeypatch):
+    monkeypatch.setattr(flow, "TOGETHER", 3)
+    grid = RegularGrid((12, 9), (0.0, 0.0), (11.0, 16.0)) if case != "unsteady" else RegularGrid((8, 7, 6), (0.0, -1.0, 0.0), (7.0, 5.0, 5.0))
+    times = [0.0, 1.5, 2.0, 4.0] if case == "unsteady" else [0.0]
+    parts = smooth(grid, times, 1)
+    rng = np.random.default_rng(2)
+    places = rng.uniform(grid.low, grid.high, (25, len(grid.n)))
+    places[0] = grid.high
+    places[1] = np.array(grid.low) - 5
+    seeds = spark.createDataFrame([(n, *map(float, p)) for n, p in enumerate(places)], "seed long, " + ", ".join(f"{c} double" for c in grid.coords))
+    options = {
+        "steady": {"dt": 0.7, "steps": 15, "fixed": True}, "adaptive": {"dt": 0.4, "steps": 20}, "backward": {"dt": -0.5, "steps": 12, "fixed": True},
+        "unsteady": {"dt": 0.2, "until": 3.7, "start": 0.1}, "periodic": {"dt": 1.5, "steps": 25, "periodic": (True, True)}, "euler": {"dt": 2.5, "steps": 9, "method": "euler", "fixed": True},
+    }[case]
+    tables = [component(spark, p) for p in parts]
+    if case != "unsteady":
+        tables = [t.drop("ts") for t in tables]
+    stored = flow.StoredField(grid, tables, times, 1.25, block=3)
+    want = outcome(flow.advect(seeds, flow.Field(grid, times, parts, 1.25), **options))
+    got = outcome(flow.advect(seeds, stored, **options))
+    assert len({stored.empty().cells(places)[0][0][n] // 3 for n in range(25)}) > 1 and len(want) > 100
+    assert got == want
+
+
+def test_runs_that_are_given_up_are_marked(spark, monkeypatch):
+    monkeypatch.setattr(flow, "RUNAWAY", 50)
+    _, field = rotation(9)
+    rows, left = zip(*flow.trace(field, flow.Particles.at(np.array([[0.5, 0.0], [0.0, 0.0]]), 0.0, 1e-9), 1e-9, None, 5.0, True, False, (False, False)))
+    who, step, _, _, special, capped = (np.concatenate([r[c] for r in rows]) for c in range(6))
+    assert step[(who == 0) & capped].tolist() == [51] and capped.sum() == 1 and special[capped].all()
+    assert step[(who == 1) & special].tolist() == [1]
+
+
+def test_traces_are_passed_on_in_parts():
+    _, field = rotation(9)
+    made = list(flow.trace(field, flow.Particles.at(np.full((10, 2), 0.3), 0.0, 0.01), 0.01, 100, None, True, False, (False, False), rows=200))
+    assert len(made[-1][1]) == 10 and sum(len(p[0]) for p, _ in made) == 200
+
+
+def test_large_fields_stay_in_tables(spark, monkeypatch):
+    monkeypatch.setattr(flow, "IN_MEMORY", 10)
+    g = RegularGrid((4, 4), (0.0, 0.0), (3.0, 3.0))
+    field = flow.field_from_tables(g, [from_numpy(spark, np.full((4, 4), a)) for a in (3.0, 4.0)])
+    assert isinstance(field, flow.StoredField)
+    assert field.first_step() == pytest.approx(flow.Field(g, [0.0], [np.full((1, 4, 4), a) for a in (3.0, 4.0)]).first_step())
+
+
+def test_property_between_steps(spark):
+    g = RegularGrid((3, 3), (0.0, 0.0), (2.0, 2.0))
+    values = component(spark, np.stack([np.full((3, 3), v) for v in (1.0, 5.0, 6.0)]))
+    streams = spark.createDataFrame([(1, n, 0.5, 1.0, t, False) for n, t in enumerate((0.0, 5.0, 10.0, 30.0, 50.0, 51.0))], "stream long, step int, x double, y double, time double, special boolean")
+    got = flow.attach_property(streams, values, g, "p", [0.0, 10.0, 50.0]).orderBy("step").collect()
+    assert [r.p for r in got] == [1.0, 3.0, 5.0, 5.5, 6.0, None]
 
 
 def test_field_from_tables_and_barbs(spark):

@@ -7,6 +7,7 @@ rounded where sums depend on their order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -978,11 +979,11 @@ def _(spark, sf):
 def _(spark, sf):
     """Traces of supplier seeds in a solid rotation: a turn of less than 3 degrees a step makes
     the third step longer by a quarter, which turns by more; the middle stands still."""
-    import numpy as np
-
-    g = RegularGrid((33, 33), (-1.0, -1.0), (1.0, 1.0))
-    y, x = np.meshgrid(np.linspace(-1, 1, 33), np.linspace(-1, 1, 33), indexing="ij")
-    rotation = flow.Field(g, [0.0], [-y[None], x[None]])
+    nj = table(spark, sf, "embeddings").count()
+    dx, dy = 1 / 32, 0.5 ** math.floor(math.log2(nj / 2))  # exact, so that the middle is a sample
+    g = RegularGrid((NI, nj), (-32 * dx, -(nj // 2) * dy), (31 * dx, (nj - 1 - nj // 2) * dy))
+    places = g.with_coordinates(field(spark, sf))
+    rotation = flow.field_from_tables(g, [places.select("i", "j", w.alias("value")) for w in (-F.col("y"), F.col("x"))])
     key = F.col("s_suppkey")
     seeds = table(spark, sf, "supplier").select(key.alias("seed"), ((key % 17) / 20.0).alias("x"), ((key % 5) / 10.0).alias("y"))
     out = flow.advect(seeds, rotation, 0.05, steps=40)

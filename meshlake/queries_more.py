@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from .functions import atmosphere, scalar
@@ -106,12 +105,17 @@ def _(spark, sf):
 TRACE_SEEDS = "WITH seeds AS (SELECT c_custkey AS seed, CAST(c_custkey % 40 AS DOUBLE) + 10 AS x, CAST(c_custkey % 30 AS DOUBLE) + 20 AS y FROM customer)"
 
 
-def _stream(rotation: bool = False) -> flow.Field:
-    """A uniform wind (1, 0.5), or one that turns about (50, 50) at one radian a second."""
-    g = RegularGrid((121, 121), (-10.0, -10.0), (110.0, 110.0))
-    y, x = np.mgrid[-10:111, -10:111].astype(float)
-    parts = [-(y - 50), x - 50] if rotation else [np.ones_like(x), np.full_like(x, 0.5)]
-    return flow.Field(g, [0.0], [p[None] for p in parts])
+def _plane(spark, sf, low: float, high: float) -> RegularGrid:
+    """The table's grid, laid over a square."""
+    return RegularGrid((NI, table(spark, sf, "embeddings").count()), (low, low), (high, high))
+
+
+def _stream(spark, sf, rotation: bool = False) -> flow.Field | flow.StoredField:
+    """A uniform wind (1, 0.5), or one that turns about (50, 50) at one radian a second, at the samples of the table."""
+    g = _plane(spark, sf, -10.0, 110.0)
+    places = g.with_coordinates(field(spark, sf))
+    wind = [-(F.col("y") - 50), F.col("x") - 50] if rotation else [F.lit(1.0), F.lit(0.5)]
+    return flow.field_from_tables(g, [places.select("i", "j", w.alias("value")) for w in wind])
 
 
 def _seeds(spark, sf):
@@ -124,7 +128,7 @@ def _seeds(spark, sf):
     TRACE_SEEDS + " SELECT seed AS stream, CAST(s.range AS INT) AS step, x + 2.0::DOUBLE * s.range AS x, y + 1.0::DOUBLE * s.range AS y, 2.0::DOUBLE * s.range AS time FROM seeds, range(7) s",
 )
 def _(spark, sf):
-    return flow.advect(_seeds(spark, sf), _stream(), 2.0, steps=6, method="euler", fixed=True).select("stream", "step", "x", "y", "time")
+    return flow.advect(_seeds(spark, sf), _stream(spark, sf), 2.0, steps=6, method="euler", fixed=True).select("stream", "step", "x", "y", "time")
 
 
 @query(
@@ -134,7 +138,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Fourth order steps around a circle against the exact turn."""
-    out = flow.advect(_seeds(spark, sf), _stream(True), 0.01, steps=40, fixed=True)
+    out = flow.advect(_seeds(spark, sf), _stream(spark, sf, True), 0.01, steps=40, fixed=True)
     return out.select("stream", "step", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
@@ -144,7 +148,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """The last step is cut to end at the time asked for."""
-    out = flow.advect(_seeds(spark, sf), _stream(), 3.0, until=10.0, fixed=True)
+    out = flow.advect(_seeds(spark, sf), _stream(spark, sf), 3.0, until=10.0, fixed=True)
     return out.select("stream", "step", r6("x").alias("x"), r6("time").alias("time"))
 
 
@@ -153,7 +157,7 @@ def _(spark, sf):
     TRACE_SEEDS + " SELECT seed AS stream, CAST(s.range - 3 AS INT) AS step, x + 2.0::DOUBLE * (s.range - 3) AS x FROM seeds, range(7) s",
 )
 def _(spark, sf):
-    return flow.bidirectional(_seeds(spark, sf), _stream(), 2.0, steps=3, fixed=True).select("stream", "step", "x")
+    return flow.bidirectional(_seeds(spark, sf), _stream(spark, sf), 2.0, steps=3, fixed=True).select("stream", "step", "x")
 
 
 @query(
@@ -162,19 +166,87 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """A scalar that is linear in space is met exactly."""
-    streams = flow.advect(_seeds(spark, sf), _stream(), 2.0, steps=3, fixed=True)
-    cells = spark.range(101 * 101).select((F.col("id") % 101).cast("int").alias("i"), F.floor(F.col("id") / 101).cast("int").alias("j"))
-    values = cells.withColumn("value", 3.0 * F.col("i") - 2.0 * F.col("j"))
-    out = flow.attach_property(streams, values, RegularGrid((101, 101), (0.0, 0.0), (100.0, 100.0)), "scalar")
+    streams = flow.advect(_seeds(spark, sf), _stream(spark, sf), 2.0, steps=3, fixed=True)
+    g = _plane(spark, sf, 0.0, 100.0)
+    values = g.with_coordinates(field(spark, sf)).select("i", "j", (3 * F.col("x") - 2 * F.col("y")).alias("value"))
+    out = flow.attach_property(streams, values, g, "scalar")
     return out.select("stream", "step", r6("scalar").alias("scalar"))
 
 
 @query(
     "a15_first_step",
-    "SELECT round(sqrt(28800) / (max(sqrt((120 * (a.range + 1) / 11.0::DOUBLE - 60) ** 2 + (120 * (b.range + 1) / 11.0::DOUBLE - 60) ** 2)) * sqrt(2 * 121 * 121)), 6) AS dt FROM range(10) a, range(10) b",
+    "SELECT round(sqrt(28800) / (max(sqrt((120 * (a.range + 1) / 11.0::DOUBLE - 60) ** 2 + (120 * (b.range + 1) / 11.0::DOUBLE - 60) ** 2)) * sqrt(64 * 64 + max(nj) ** 2)), 6) AS dt FROM range(10) a, range(10) b, (SELECT count(*) AS nj FROM embeddings)",
+)
+def _(spark, sf):
+    """From a lattice of samples of a field in tables."""
+    g = _plane(spark, sf, -10.0, 110.0)
+    places = g.with_coordinates(field(spark, sf))
+    stored = flow.StoredField(g, [places.select("i", "j", w.alias("value")) for w in (-(F.col("y") - 50), F.col("x") - 50)])
+    return spark.createDataFrame([(round(float(stored.first_step()), 6),)], "dt double")
+
+
+WINDS = G + """, f AS (SELECT a.i, a.j, 8 * a.v AS u, 8 * b.v AS v FROM g a JOIN g b ON b.i = 63 - a.i AND b.j = a.j),
+  seeds AS (SELECT s_suppkey AS stream, CAST(s_suppkey * 37 % 630 AS DOUBLE) / 10 AS x, CAST(s_suppkey * 91 % 4990 AS DOUBLE) / 10 AS y FROM supplier) """
+
+
+def _winds(spark, sf) -> flow.StoredField:
+    """The table's values as winds, kept in blocks."""
+    values = field(spark, sf)
+    across = [values.select("i", "j", (8 * F.col("value")).alias("value")), values.select((63 - F.col("i")).alias("i"), "j", (8 * F.col("value")).alias("value"))]
+    return flow.StoredField(unit_grid(spark, sf), across, block=16)
+
+
+def _wind_seeds(spark, sf):
+    key = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(key.alias("seed"), ((key * 37 % 630).cast("double") / 10).alias("x"), ((key * 91 % 4990).cast("double") / 10).alias("y"))
+
+
+@query(
+    "l6_trace_in_stored_field",
+    WINDS.replace("WITH g", "WITH RECURSIVE g") + """, t AS (SELECT stream, 0 AS step, x, y FROM seeds UNION ALL
+      SELECT stream, step + 1, x + 0.9::DOUBLE * ((1 - p) * (1 - q) * a.u + p * (1 - q) * b.u + (1 - p) * q * c.u + p * q * d.u), y + 0.9::DOUBLE * ((1 - p) * (1 - q) * a.v + p * (1 - q) * b.v + (1 - p) * q * c.v + p * q * d.v)
+      FROM (SELECT *, x - ci AS p, y - cj AS q FROM (SELECT *, CAST(least(floor(x), 62) AS INT) AS ci, CAST(least(floor(y), nj - 2) AS BIGINT) AS cj FROM t, n WHERE step < 12 AND x BETWEEN 0 AND 63 AND y BETWEEN 0 AND nj - 1))
+      JOIN f a ON a.i = ci AND a.j = cj JOIN f b ON b.i = ci + 1 AND b.j = cj JOIN f c ON c.i = ci AND c.j = cj + 1 JOIN f d ON d.i = ci + 1 AND d.j = cj + 1)
+      SELECT stream, CAST(step AS INT) AS step, round(x, 5) AS x, round(y, 5) AS y FROM t""",
+)
+def _(spark, sf):
+    """Steps of Euler's method in a field that stays in blocks; a trace may leave the grid with its last step."""
+    out = flow.advect(_wind_seeds(spark, sf), _winds(spark, sf), 0.9, steps=12, method="euler", fixed=True)
+    return out.where("not special").select("stream", "step", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+# An unsteady field whose winds grow with time, one step for each third of the table: w(t) linear between the steps.
+
+
+@query(
+    "l7_unsteady_stored_field",
+    WINDS + """SELECT stream, CAST(s.range AS INT) AS step, round(x + 0.25::DOUBLE * s.range + 0.015625::DOUBLE * s.range * s.range, 6) AS x, round(0.25::DOUBLE * s.range, 6) AS time
+      FROM seeds, range(17) s WHERE x < 40""",
+)
+def _(spark, sf):
+    """Winds 1, 3 and 5 along x at times 0, 4 and 8: fourth order steps are exact, x = x0 + t + t * t / 4."""
+    base = field(spark, sf)
+    steps = F.explode(F.array(*[F.lit(n) for n in range(3)]))
+    along = base.withColumn("ts", steps).select("ts", "i", "j", (1.0 + 2.0 * F.col("ts")).alias("value"))
+    stored = flow.StoredField(unit_grid(spark, sf), [along, along.withColumn("value", F.lit(0.0))], [0.0, 4.0, 8.0], block=16)
+    out = flow.advect(_wind_seeds(spark, sf).where("x < 40"), stored, 0.25, until=4.0, fixed=True)
+    return out.where("not special").select("stream", "step", r6("x").alias("x"), r6("time").alias("time"))
+
+
+@query(
+    "l10_property_between_steps",
+    WINDS + """, w AS (SELECT CAST(j % 3 AS INT) AS ts, i, CAST(j // 3 AS INT) AS j, v FROM g), p AS (SELECT stream, 0.25::DOUBLE * s.range AS t, CAST(s.range AS INT) AS step, floor(x) AS i, floor(y / 4) AS j FROM seeds, range(9) s)
+      SELECT stream, step, round(CASE WHEN t <= 1 THEN a.v * (1 - t) + b.v * t ELSE b.v * (1 - (t - 1) / 3) + c.v * ((t - 1) / 3) END, 6) AS scalar
+      FROM p JOIN w a ON a.ts = 0 AND a.i = p.i AND a.j = p.j JOIN w b ON b.ts = 1 AND b.i = p.i AND b.j = p.j JOIN w c ON c.ts = 2 AND c.i = p.i AND c.j = p.j""",
 )
 def _(spark, sf):
-    return spark.createDataFrame([(round(float(_stream(True).first_step()), 6),)], "dt double")
+    """Scalars of three steps at uneven times, on traces that stand at samples."""
+    spots = _wind_seeds(spark, sf).select(F.col("seed").alias("stream"), F.floor("x").cast("double").alias("x"), F.floor(F.col("y") / 4).cast("double").alias("y"))
+    each = spots.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumns({"time": 0.25 * F.col("step"), "special": F.lit(False)})
+    nj = table(spark, sf, "embeddings").count() // 3
+    g = RegularGrid((NI, nj), (0.0, 0.0), (NI - 1.0, nj - 1.0))
+    out = flow.attach_property(each, _steps(spark, sf).where(F.col("j") < nj), g, "scalar", [0.0, 1.0, 4.0])
+    return out.where("y <= %d" % (nj - 1)).select("stream", "step", r6("scalar").alias("scalar"))
 
 
 # Drawing data

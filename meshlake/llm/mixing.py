@@ -10,8 +10,9 @@ its documents in hash order, repeated; a document copy that starts at word c of
 the stream gets the training position at which the demand reaches c.  The
 mixed corpus is range-sorted by position.
 
-The stream of a source ends at its target, so the copy across the end gives only
-the words that remain: taken words of a source equal its target rounded.
+The stream of a source ends at its target, so the copy across the end counts for only
+the words that remain: taken words of a source equal its target rounded.  ``mix``, which
+puts out texts, takes that copy whole or not at all, whichever is nearer.
 
 Cases: a null text has size 0 and is never taken; the null source is a source of
 its own, last in order; empty sources get target 0; rows that tie on doc_id are
@@ -148,24 +149,17 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word, white space as it is."""
-    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    return F.array_join(F.slice(ends, 1, n.cast("int")), "")
-
-
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, a row for each copy taken, in
-    training order.  The copy at a source's end is cut to the words that remain and
-    its ``n_chars``, if there is such a column, follows."""
+    training order.  Texts stay whole: the copy across a source's end is taken if at least half of its words are."""
     none = F.lit(-(1 << 63)).cast("long")
     placed = (
         plan(docs)
-        .select(F.coalesce("doc_id", none).alias("_k"), "_h", F.explode("copies").alias("_c"))
-        .where("_c.take > 0")
+        .select(F.coalesce("doc_id", none).alias("_k"), "_h", F.col("size").alias("_size"), F.explode("copies").alias("_c"))
+        .where((F.col("_c.take") > 0) & (2 * F.col("_c.take") >= F.col("_size")))
     )
     # Rows that repeat id and text are laid out one by one; their copies all come from the first.
-    same = Window.partitionBy("_k", "_h").orderBy("_size")
+    same = Window.partitionBy("_k", "_h", "_size").orderBy("_size")
     full = (
         docs.select(
             F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
@@ -176,14 +170,5 @@ def mix(docs: DataFrame) -> DataFrame:
         .withColumn("_nth", F.row_number().over(same))
         .where("_nth = 1")
     )
-    copies = full.join(placed, ["_k", "_h"])
-    cut = F.when(F.col("_c.take") < F.col("_size"), first_words(F.col("_doc.text"), F.col("_c.take"))).otherwise(F.col("_doc.text"))
-    columns = []
-    for c in docs.columns:
-        col = F.col(f"_doc.`{c}`")
-        if c == "text":
-            col = F.col("_text")
-        elif c == "n_chars":
-            col = F.when(F.col("_c.take") < F.col("_size"), F.length("_text").cast(dict(docs.dtypes)[c])).otherwise(col)
-        columns.append(col.alias(c))
-    return in_order(copies.withColumn("_text", cut).withColumn("_pos", F.col("_c.position")), "_pos").select(*columns)
+    copies = full.join(placed, ["_k", "_h", "_size"])
+    return in_order(copies.withColumn("_pos", F.col("_c.position")), "_pos").select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

@@ -135,10 +135,18 @@ def test_mixing(docs, odd):
         assert sorted(map(str, again)) == sorted(map(str, placed))
         mixed = mixing.mix(table)
         assert mixed.columns == table.columns
-        out = Counter()
+        out, whole = Counter(), Counter()
+        for r in placed:
+            for c in r.copies:
+                if c.take and 2 * c.take >= r["size"]:
+                    whole[r.source] += r["size"]
+        texts = {(r.doc_id, r.text) for r, _ in given}
         for r in mixed.collect():
+            assert (r.doc_id, r.text) in texts
             out[r.source] += len(WORD.findall(r.text))
-        assert +out == +taken
+        assert +out == +whole
+        for s in taken:
+            assert abs(out[s] - taken[s]) <= max(n for r, n in given if r.source == s) / 2
 
 
 def test_curriculum_follows_the_schedule(docs):

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+from .cells import HELD, box_index, dense_stacks, sample_stacks, stacks_of, tetrahedra, weighted
 from .grid import AXES
 
 
@@ -200,26 +202,38 @@ def _sampler(policy: str):
     return run
 
 
-def sample_faces(points: DataFrame, nodes: DataFrame, face_nodes: DataFrame, key: Sequence[str], width: float, policy: str = "strict") -> DataFrame:
+def _candidates(points: DataFrame, faces: DataFrame, key: Sequence[str], width: float | None) -> DataFrame:
+    """(_k, the points' further columns, face, corners): the faces whose boxes hold each point, found through square
+    buckets of a ``width`` or, without one, an index that follows the faces' sizes and crowds."""
+    more = [c for c in points.columns if c not in (*key, "x", "y")]
+    asked = points.select(F.struct(*key).alias("_k"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"), *more)
+    if width is None:
+        faces = written(faces, "faces")
+        boxes = faces.select(F.col("face").alias("id"), F.col("_x0").alias("lo0"), F.col("_x1").alias("hi0"), F.col("_y0").alias("lo1"), F.col("_y1").alias("hi1"))
+        near = box_index(boxes, 2).meet(asked, ["px", "py"]).withColumnRenamed("id", "face").join(faces, "face")
+    else:
+        bucket = lambda c: F.floor(c / width).cast("long")
+        listed = faces.withColumn("_bx", F.explode(F.sequence(bucket(F.col("_x0")), bucket(F.col("_x1"))))).withColumn(
+            "_by", F.explode(F.sequence(bucket(F.col("_y0")), bucket(F.col("_y1"))))
+        )
+        near = asked.withColumns({"_bx": bucket(F.col("px")), "_by": bucket(F.col("py"))}).join(listed, ["_bx", "_by"])
+    return near.where("px between _x0 and _x1 and py between _y0 and _y1").select("_k", "face", "px", "py", "corners", *more)
+
+
+def sample_faces(points: DataFrame, nodes: DataFrame, face_nodes: DataFrame, key: Sequence[str], width: float | None = None, policy: str = "strict") -> DataFrame:
     """(key, face, linear, nearest): samples of points in the faces that hold them.
 
     ``policy`` strict: null if a corner of non-zero weight is missing; renormalise: missing
     corners are left out and the other weights scaled up.  A point on a shared edge belongs
-    to the face of least number; points outside have nulls.
+    to the face of least number; points outside have nulls.  ``width`` is that of the buckets that points and faces
+    meet in; without it an index finds widths of its own.
     """
-    bucket = lambda c: F.floor(c / width).cast("long")
-    faces = _faces_with_corners(nodes, face_nodes)
-    listed = faces.withColumn("_bx", F.explode(F.sequence(bucket(F.col("_x0")), bucket(F.col("_x1"))))).withColumn(
-        "_by", F.explode(F.sequence(bucket(F.col("_y0")), bucket(F.col("_y1"))))
-    )
-    asked = points.select(F.struct(*key).alias("_k"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
-    near = asked.withColumns({"_bx": bucket(F.col("px")), "_by": bucket(F.col("py"))}).join(listed, ["_bx", "_by"])
-    boxed = near.where("px between _x0 and _x1 and py between _y0 and _y1").select("_k", "face", "px", "py", "corners")
+    boxed = _candidates(points.select(*key, "x", "y"), _faces_with_corners(nodes, face_nodes), key, width)
     kind = boxed.schema["_k"].dataType.simpleString()
     face_kind = boxed.schema["face"].dataType.simpleString()
     tested = boxed.mapInArrow(_sampler(policy), f"_k {kind}, face {face_kind}, hit boolean, linear double, nearest double")
     best = tested.where("hit").groupBy("_k").agg(F.min(F.struct("face", "linear", "nearest")).alias("_b"))
-    joined = asked.select("_k").join(best, "_k", "left")
+    joined = points.select(F.struct(*key).alias("_k")).join(best, "_k", "left")
     return joined.select(*[F.col(f"_k.{c}").alias(c) for c in key], F.col("_b.face").alias("face"), F.col("_b.linear").alias("linear"), F.col("_b.nearest").alias("nearest"))
 
 
@@ -238,79 +252,58 @@ def curvilinear_mesh(coordinates: DataFrame, values: DataFrame, n: Sequence[int]
 
 
 def sample_layers(
-    points: DataFrame, layers: DataFrame, face_nodes: DataFrame, key: Sequence[str], width: float, quadratic: bool = False
+    points: DataFrame, layers: DataFrame, face_nodes: DataFrame, key: Sequence[str], width: float | None = None, quadratic: bool = False
 ) -> DataFrame:
     """(key, value): samples in layered meshes; ``layers`` is (node, layer, x, y, z, value).
 
-    Each layer is sampled in the plane for height and value; then the two layers around
-    the point's z (three for ``quadratic``, Lagrange) are combined.
+    A node's layers are a stack, one row; a face carries its corners' stacks, so a point meets its face once, whatever
+    the number of layers.  Heights and values are weighed in the plane, then the two layers around
+    the point's z are combined (three for ``quadratic``, Lagrange).
     """
-    by_layer = None
-    for name in ("z", "value"):
-        nodes = layers.select(
-            F.struct("node", "layer").alias("_n"), "node", "layer", "x", "y", F.col(name).cast("double").alias("value")
-        )
-        one = _sample_each_layer(points, nodes, face_nodes, key, width).withColumnRenamed("linear", f"_{name}")
-        by_layer = one if by_layer is None else by_layer.join(one, [*key, "layer"])
-    at = by_layer.where("_z is not null").join(points.select(*key, F.col("z").alias("_pz")), list(key))
-    order = Window.partitionBy(*key).orderBy("layer")
-    zs = {d: F.lead("_z", d).over(order) if d >= 0 else F.lag("_z", -d).over(order) for d in (-1, 1, 2)}
-    vs = {d: F.lead("_value", d).over(order) if d >= 0 else F.lag("_value", -d).over(order) for d in (-1, 1, 2)}
-    at = at.withColumns({"_z1": zs[1], "_v1": vs[1], "_zb": zs[-1], "_vb": vs[-1], "_z2": zs[2], "_v2": vs[2]})
-    held = at.where("_z1 is not null and _pz between least(_z, _z1) and greatest(_z, _z1)")
-    p = F.col("_pz")
-    linear = F.col("_value") + (F.col("_v1") - F.col("_value")) * (p - F.col("_z")) / (F.col("_z1") - F.col("_z"))
-    if quadratic:
-        zc, vc = F.coalesce("_z2", "_zb"), F.when(F.col("_z2").isNotNull(), F.col("_v2")).otherwise(F.col("_vb"))
-        nodes3 = [(F.col("_z"), F.col("_value")), (F.col("_z1"), F.col("_v1")), (zc, vc)]
-        total = F.lit(0.0)
-        for a, (za, va) in enumerate(nodes3):
-            term = va
-            for b, (zb, _) in enumerate(nodes3):
-                if a != b:
-                    term = term * (p - zb) / (za - zb)
-            total = total + term
-        linear = F.when(zc.isNotNull(), total).otherwise(linear)
-    best = held.groupBy(*key).agg(F.min_by(linear, "layer").alias("value"))
-    return points.select(*key).join(best, list(key), "left")
-
-
-def _sample_each_layer(points, nodes, face_nodes, key, width):
-    """Samples of all layers at a point's place in the plane."""
-    layer_count = nodes.select("layer").distinct()
-    spread = points.select(*key, "x", "y").join(F.broadcast(layer_count))  # layers: one axis of the grid
-    faces = valid_slots(face_nodes)
-    listed = faces.join(nodes, "node").select(
-        F.struct("layer", "face").alias("face"), "slot", F.col("_n").alias("node"), "x", "y", "value"
-    )
-    corner = F.struct("slot", F.col("node.node").alias("node"), "x", "y", "value")
-    grouped = listed.groupBy("face").agg(
-        F.array_sort(F.collect_list(corner)).alias("corners"),
+    places = layers.groupBy("node").agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    nodes = stacks_of(layers, ["node"], "layer").join(places, "node")
+    joined = valid_slots(face_nodes).join(nodes, "node")
+    faces = joined.groupBy("face").agg(
+        F.array_sort(F.collect_list(F.struct("slot", "x", "y", "ls", "zs", "vs"))).alias("corners"),
         F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"),
-    )
-    bucket = lambda c: F.floor(c / width).cast("long")
-    boxes = grouped.select(
-        F.col("face.layer").alias("layer"), F.col("face.face").alias("face"), "corners", "_x0", "_x1", "_y0", "_y1",
-        F.explode(F.sequence(bucket(F.col("_x0")), bucket(F.col("_x1")))).alias("_bx"),
-    ).withColumn("_by", F.explode(F.sequence(bucket(F.col("_y0")), bucket(F.col("_y1")))))
-    asked = spread.select(F.struct(*key, "layer").alias("_k"), "layer", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
-    near = asked.withColumns({"_bx": bucket(F.col("px")), "_by": bucket(F.col("py"))}).join(boxes, ["layer", "_bx", "_by"])
-    boxed = near.where("px between _x0 and _x1 and py between _y0 and _y1").select("_k", "face", "px", "py", "corners")
+    )
+    boxed = _candidates(points.select(*key, "x", "y", F.col("z").cast("double").alias("_z")), faces, key, width)
     kind, face_kind = (boxed.schema[c].dataType.simpleString() for c in ("_k", "face"))
-    tested = boxed.mapInArrow(_sampler("strict"), f"_k {kind}, face {face_kind}, hit boolean, linear double, nearest double")
-    best = tested.where("hit").groupBy("_k").agg(F.min(F.struct("face", "linear")).alias("_b"))
-    return best.select(*[F.col(f"_k.{c}").alias(c) for c in key], F.col("_k.layer").alias("layer"), F.col("_b.linear").alias("linear"))
 
+    def run(batches):
+        import pyarrow as pa
 
-def hexahedron_tetrahedra() -> list[tuple[int, int, int, int]]:
-    """Five tetrahedra that fill a hexahedron; corner number = i + 2 j + 4 k offsets.
+        for batch in batches:
+            lists = batch.column("corners")
+            size = lists.value_lengths().to_numpy()
+            first = np.cumsum(size) - size
+            flat = lists.flatten()
+            x, y = (flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "xy")
+            z, v = dense_stacks(*(flat.field(c) for c in ("ls", "zs", "vs")))
+            points, height = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("px", "py")], axis=1), batch.column("_z").to_numpy(zero_copy_only=False)
+            got, hit = np.full(len(size), np.nan), np.zeros(len(size), bool)
+            for n in np.unique(size).tolist():
+                every = np.flatnonzero(size == n)
+                deep = max(1, HELD // max(1, n * z.shape[1]))
+                for begin in range(0, len(every), deep):
+                    rows = every[begin : begin + deep]
+                    at = first[rows, None] + np.arange(n)
+                    weight = polygon_weights_of(np.stack([x[at], y[at]], axis=2), points[rows])
+                    inside = ~np.isnan(weight).any(axis=1)
+                    rows, at, weight = rows[inside], at[inside], weight[inside]
+                    hit[rows] = True
+                    got[rows] = sample_stacks(weighted(weight, z[at]), weighted(weight, v[at]), height[rows], quadratic)
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("face"), pa.array(hit), pa.array(got, from_pandas=True)], ["_k", "face", "hit", "value"])
+
+    tested = boxed.mapInArrow(run, f"_k {kind}, face {face_kind}, hit boolean, value double")
+    best = tested.where("hit").groupBy("_k").agg(F.min(F.struct("face", "value")).alias("_b"))
+    joined = points.select(F.struct(*key).alias("_k")).join(best, "_k", "left")
+    return joined.select(*[F.col(f"_k.{c}").alias(c) for c in key], F.col("_b.value").alias("value"))
 
-    The middle one joins four corners no two of which share an edge; each other corner
-    closes one more with its three neighbours.
-    """
-    middle = tuple(c for c in range(8) if bin(c).count("1") % 2 == 0)
-    around = [(c, c ^ 1, c ^ 2, c ^ 4) for c in range(8) if bin(c).count("1") % 2]
-    return [middle, *around]
+
+def hexahedron_tetrahedra() -> list[tuple[int, int, int, int]]:
+    """Five tetrahedra that fill a hexahedron; corner number = i + 2 j + 4 k offsets."""
+    return tetrahedra()
 
 
 def handedness(values: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -178,6 +180,66 @@ def lambert_inverse(x: Column, y: Column, lon_0: float, lat_0: float, lat_1: flo
     return F.degrees(theta / n) + lon_0, F.degrees(2 * F.atan(F.pow(F.lit(f) / rho, F.lit(1 / n))) - math.pi / 2)
 
 
+def stereographic(lon: Column, lat: Column, lon_0: float = 0.0, lat_0: float = 90.0, lat_ts: float | None = None, r: float = EARTH_RADIUS) -> tuple[Column, Column]:
+    """The polar aspect, true to scale at ``lat_ts``; ``lat_0`` is the pole, 90 or -90."""
+    pole = math.copysign(1.0, lat_0)
+    k = r * (1 + math.sin(math.radians(abs(lat_0 if lat_ts is None else lat_ts))))
+    rho = F.tan(F.lit(math.pi / 4) - F.radians(lat) * (pole / 2)) * k
+    theta = F.radians(lon - lon_0)
+    return rho * F.sin(theta), rho * F.cos(theta) * -pole
+
+
+def stereographic_inverse(x: Column, y: Column, lon_0: float = 0.0, lat_0: float = 90.0, lat_ts: float | None = None, r: float = EARTH_RADIUS) -> tuple[Column, Column]:
+    pole = math.copysign(1.0, lat_0)
+    k = r * (1 + math.sin(math.radians(abs(lat_0 if lat_ts is None else lat_ts))))
+    lat = F.degrees(F.lit(math.pi / 2) - 2 * F.atan(F.sqrt(x * x + y * y) / k)) * pole
+    return _turned(F.degrees(F.atan2(x, y * -pole)) + lon_0), lat
+
+
+def _turned(lon: Column) -> Column:
+    """A longitude between -180 and 180."""
+    return F.when(lon.between(-180.0, 180.0), lon).otherwise(lon - F.floor((lon + 180.0) / 360.0) * 360.0)
+
+
+def rotated(lon: Column, lat: Column, pole_lat: float, pole_lon: float, lon_0: float = 0.0) -> tuple[Column, Column]:
+    """Longitude and latitude, in degrees, on a sphere turned so that its pole is at ``pole_lat``; ``pole_lon`` is
+    added to turned longitudes, ``lon_0`` is the meridian that is taken from the given ones."""
+    lam, phi, p = F.radians(lon - lon_0), F.radians(lat), math.radians(pole_lat)
+    s, c = math.sin(p), math.cos(p)
+    out = F.atan2(F.cos(phi) * F.sin(lam), F.cos(phi) * F.cos(lam) * s + F.sin(phi) * c)
+    height = F.sin(phi) * s - F.cos(phi) * F.cos(lam) * c
+    return _turned(F.degrees(out) + pole_lon), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), height))))
+
+
+def rotated_inverse(x: Column, y: Column, pole_lat: float, pole_lon: float, lon_0: float = 0.0) -> tuple[Column, Column]:
+    lam, phi, p = F.radians(x - pole_lon), F.radians(y), math.radians(pole_lat)
+    s, c = math.sin(p), math.cos(p)
+    out = F.atan2(F.cos(phi) * F.sin(lam), F.cos(phi) * F.cos(lam) * s - F.sin(phi) * c)
+    height = F.sin(phi) * s + F.cos(phi) * F.cos(lam) * c
+    return _turned(F.degrees(out) + lon_0), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), height))))
+
+
+def projection(text: str) -> tuple[Callable[[Column, Column], tuple[Column, Column]], Callable[[Column, Column], tuple[Column, Column]]]:
+    """Forward and inverse of a PROJ string, on a sphere: eqc, merc, lcc, polar stere, and ob_tran of eqc in degrees."""
+    found = dict(re.findall(r"\+(\w+)(?:=(\S+))?", text))
+    number = lambda name, default=0.0: float(found.get(name) or default)
+    kind = found.get("proj")
+    if kind == "eqc":
+        forward, inverse, args = equirectangular, equirectangular_inverse, (number("lon_0"), number("lat_ts"))
+    elif kind == "merc":
+        forward, inverse, args = mercator, mercator_inverse, (number("lon_0"), number("lat_ts"))
+    elif kind == "lcc":
+        lat_1 = number("lat_1")
+        forward, inverse, args = lambert, lambert_inverse, (number("lon_0"), number("lat_0"), lat_1, number("lat_2", lat_1))
+    elif kind == "stere" and abs(number("lat_0")) == 90:
+        forward, inverse, args = stereographic, stereographic_inverse, (number("lon_0"), number("lat_0"), number("lat_ts", number("lat_0")))
+    elif kind == "ob_tran" and found.get("o_proj") == "eqc":
+        forward, inverse, args = rotated, rotated_inverse, (number("o_lat_p"), number("o_lon_p"), number("lon_0"))
+    else:
+        raise ValueError(f"not a projection that is offered: {text}")
+    return (lambda lon, lat: forward(lon, lat, *args)), (lambda x, y: inverse(x, y, *args))
+
+
 def projection_string(attributes: dict) -> str:
     """A PROJ string from a weather model's global attributes: MAP_PROJ 0 or 6 (lat-lon),
     1 (Lambert), 2 (polar stereographic), 3 (Mercator)."""

@@ -148,6 +148,12 @@ def projected_coordinates(coordinates: DataFrame, project) -> DataFrame:
     return coordinates.withColumns({"x": x, "y": y})
 
 
+def projected_axes(samples: DataFrame, lon: DataFrame, lat: DataFrame, project) -> DataFrame:
+    """Samples (i, j, ...) with x and y in metres, from the axes (i, lon) and (j, lat)."""
+    placed = samples.join(lon.select("i", "lon"), "i").join(lat.select("j", "lat"), "j")
+    return projected_coordinates(placed, project).drop("lon", "lat")
+
+
 def linear_index(indices: Sequence[Column], n: Sequence[int]) -> Column:
     """One number for an index tuple, first axis fastest."""
     out, step = F.lit(0).cast("long"), 1

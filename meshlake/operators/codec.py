@@ -145,9 +145,9 @@ def finish(values: DataFrame, low: float | None = None, high: float | None = Non
     return values.withColumn("value", F.when(F.abs(v) < epsilon, 0.0).otherwise(v))
 
 
-def significance(coefficients: DataFrame, block: Sequence[str], length: int) -> DataFrame:
-    """(block, places): sorted positions that a block keeps; ``level`` and index give the position."""
-    position = (F.lit(length) * F.col("level") + F.col("i")).cast("long")
+def significance(coefficients: DataFrame, block: Sequence[str], length: int, axis: str = "i") -> DataFrame:
+    """(block, places): sorted positions that a block keeps; ``level`` and the index along ``axis`` give the position."""
+    position = (F.lit(length) * F.col("level") + F.col(axis)).cast("long")
     return coefficients.groupBy(*block).agg(F.sort_array(F.collect_set(position)).alias("places"))
 
 
@@ -156,6 +156,90 @@ def invert_significance(maps: DataFrame, total: int) -> DataFrame:
     return maps.withColumn("places", F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long")), "places"))
 
 
+def pack_gaps(places) -> bytes:
+    """Ascending positions as the gaps between them less one, seven bits a byte, the lowest first; a set eighth bit goes on."""
+    import numpy as np
+
+    places = np.asarray(places, np.uint64)
+    gaps = np.diff(places, prepend=np.uint64(0)) - (np.arange(len(places)) > 0).astype(np.uint64)
+    width = np.ones(len(gaps), int)
+    rest = gaps >> np.uint64(7)
+    while rest.any():
+        width += rest > 0
+        rest >>= np.uint64(7)
+    at = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.uint8)
+    for n in range(int(width.max(initial=0))):
+        own = width > n
+        byte = (gaps[own] >> np.uint64(7 * n)) & np.uint64(127)
+        out[at[own] + n] = byte.astype(np.uint8) | np.where(width[own] > n + 1, 128, 0).astype(np.uint8)
+    return out.tobytes()
+
+
+def unpack_gaps(stream: bytes):
+    """The positions of ``pack_gaps``."""
+    import numpy as np
+
+    data = np.frombuffer(stream, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.int64)
+    last = data < 128
+    number = np.cumsum(last) - last
+    start = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+    shift = (np.arange(len(data)) - start[number]) * 7
+    gaps = np.zeros(int(number[-1]) + 1, np.uint64)
+    np.add.at(gaps, number, (data & 127).astype(np.uint64) << shift.astype(np.uint64))
+    gaps[1:] += np.uint64(1)
+    return np.cumsum(gaps).astype(np.int64)
+
+
+def encode_significance(maps: DataFrame) -> DataFrame:
+    """(block, n, stream): maps with their ``places`` as a stream of bytes."""
+    return _streams(maps, "places", lambda places: places)
+
+
+def merge_significance(streams: DataFrame, more: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Streams of the positions that a block has in either table of streams."""
+    both = streams.select(*block, "stream").unionByName(more.select(*block, "stream"))
+    return _streams(both.groupBy(*block).agg(F.collect_list("stream").alias("_streams")), "_streams", lambda all_: _union(all_))
+
+
+def _union(streams: Sequence[bytes]):
+    import numpy as np
+
+    return np.unique(np.concatenate([unpack_gaps(x) for x in streams]))
+
+
+def _streams(rows: DataFrame, column: str, places) -> DataFrame:
+    keys = [c for c in rows.columns if c != column]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [places(x) for x in batch.column(column).to_pylist()]
+            made = [pa.array([len(x) for x in found], pa.int64()), pa.array([pack_gaps(x) for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], *made], [*keys, "n", "stream"])
+
+    return rows.select(*keys, column).mapInArrow(run, f"{kinds}, n long, stream binary")
+
+
+def decode_significance(streams: DataFrame) -> DataFrame:
+    """(block, places) from streams."""
+    keys = [c for c in streams.columns if c not in ("n", "stream")]
+    kinds = ", ".join(f"{c} {streams.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = pa.array([unpack_gaps(x) for x in batch.column("stream").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], found], [*keys, "places"])
+
+    return streams.select(*keys, "stream").mapInArrow(run, f"{kinds}, places array<long>")
+
+
 def dims_at_level(n: Column, block: int, levels_down: int) -> Column:
     """Samples of an axis after halving blocks ``levels_down`` times, at least 1."""
     whole = F.floor(n / block) * max(1, -(-block // (1 << levels_down)))
@@ -205,11 +289,9 @@ def step_of_lines(lines, name: str, inverse: bool = False):
     return lifting.inverse(lines[..., :half], lines[..., half:], name)
 
 
-def transform_lines(values: DataFrame, axis: str, name: str, inverse: bool = False) -> DataFrame:
-    """One filter step along each line of a grid, in Arrow batches of whole lines; those of equal length together.
-
-    Families with lifting steps (``lifting.FAMILIES``) take lines of any length, orthogonal filters even ones.
-    """
+def map_lines(values: DataFrame, axis: str, change) -> DataFrame:
+    """The grid with ``change`` of its lines along an axis: a function of stacked lines of equal length (NumPy, L x n)
+    to as many lines of another length.  Lines are put together by a shuffle and changed in Arrow batches."""
     others = [c for c in ("ts", *AXES) if c in values.columns and c != axis]
     lines = values.groupBy(*others).agg(F.transform(F.array_sort(F.collect_list(F.struct(axis, "value"))), lambda s: s["value"]).alias("line"))
     schema = lines.schema
@@ -223,16 +305,22 @@ def transform_lines(values: DataFrame, axis: str, name: str, inverse: bool = Fal
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
             offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
             length = np.diff(offsets)
-            done = np.empty(len(flat))
-            for n in np.unique(length).tolist():
-                places = offsets[:-1][length == n][:, None] + np.arange(n)
-                done[places] = step_of_lines(flat[places], name, inverse)
-            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(done))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], batch.schema.names)
+            made = {n: change(flat[offsets[:-1][length == n][:, None] + np.arange(n)]) for n in np.unique(length).tolist()}
+            ends = np.concatenate([[0], np.cumsum([made[n].shape[1] for n in length.tolist()])]).astype(np.int32)
+            done = np.empty(ends[-1])
+            for n, lines in made.items():
+                done[ends[:-1][length == n][:, None] + np.arange(lines.shape[1])] = lines
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(done, from_pandas=True))], batch.schema.names)
 
     return lines.mapInArrow(run, schema).select(*others, F.posexplode("line").alias(axis, "value"))
 
 
+def transform_lines(values: DataFrame, axis: str, name: str, inverse: bool = False) -> DataFrame:
+    """One filter step along each line of a grid; families with lifting steps (``lifting.FAMILIES``) take lines of
+    any length, orthogonal filters even ones."""
+    return map_lines(values, axis, lambda lines: step_of_lines(lines, name, inverse))
+
+
 def pad_axis(values: DataFrame, axis: str, n: int, block: int, mode: str = "symmetric") -> DataFrame:
     """Samples with the axis filled up to whole blocks: ``symmetric`` mirrors the end with its
     last sample repeated, ``reflect`` without, ``periodic`` goes on at the start, ``smooth``

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+
 
 def value_range(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return values.groupBy(*by).agg(F.min("value").alias("low"), F.max("value").alias("high"))
@@ -46,15 +49,47 @@ def upper_median(values: DataFrame, accuracy: int = 20_000, limit: int = 100_000
     return ranked.where(F.col("upto") > target).agg(F.min("value").alias("median"))
 
 
-def upper_median_by(values: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Upper median of each group; groups are ranked apart."""
-    groups = Window.partitionBy(*by)
-    ranked = (
-        values.where("value is not null")
-        .withColumn("_r", F.row_number().over(groups.orderBy("value")))
-        .withColumn("_n", F.count("*").over(groups))
-    )
-    return ranked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*by, F.col("value").alias("median"))
+#: Percentages whose values cut a group's samples in parts, and what they may be off by.
+_CUTS, _SLACK = [n / 64 for n in range(65)], 0.001
+
+
+def upper_median_by(values: DataFrame, by: Sequence[str], limit: int = 100_000) -> DataFrame:
+    """Upper median of each group, exact, however large a group is.
+
+    While a group has more than ``limit`` distinct candidates, approximate quantiles of every group (partial aggregates)
+    bracket its middle, samples below the bracket are counted, and those inside stay.  The rest is ranked by value
+    with its counts, so no task holds more of a group than that.
+    """
+    present = values.where("value is not null").select(*by, F.col("value").cast("double").alias("value"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    rows = present
+    state = written(present.groupBy(*by).agg(F.count("*").alias("_left")).select(*[F.col(c).alias(f"_{c}") for c in by], F.floor(F.col("_left") / 2).alias("_target"), F.lit(0).cast("long").alias("_below"), "_left"), "groups")
+    while (state.agg(F.max("_left")).first()[0] or 0) > limit:
+        cuts = rows.groupBy(*by).agg(F.percentile_approx("value", _CUTS, 10_000).alias("_q"))
+        share = (F.col("_target") - F.col("_below") + 0.5) / F.col("_left")
+        at = lambda x: F.get("_q", F.least(F.greatest(x, F.lit(0)), F.lit(64)).cast("int"))
+        bracket = cuts.join(state, on).select(*state.columns, at(F.floor((share - _SLACK) * 64)).alias("_lo"), at(F.ceil((share + _SLACK) * 64)).alias("_hi"))
+        bracket = written(bracket, "brackets")
+        met = rows.join(bracket, on)
+        counted = met.groupBy(*[f"_{c}" for c in by]).agg(
+            *[F.first(c).alias(c) for c in ("_target", "_below", "_left", "_lo", "_hi")],
+            F.count_if(F.col("value") < F.col("_lo")).alias("_under"), F.count_if(F.col("value").between(F.col("_lo"), F.col("_hi"))).alias("_inside"),
+        )
+        sure = (F.col("_below") + F.col("_under") <= F.col("_target")) & (F.col("_target") < F.col("_below") + F.col("_under") + F.col("_inside"))
+        held = [F.when(sure, a).otherwise(b).alias(c) for c, a, b in (("_lo", F.col("_lo"), F.lit(-math.inf)), ("_hi", F.col("_hi"), F.lit(math.inf)), ("_below", F.col("_below") + F.col("_under"), F.col("_below")), ("_left", F.col("_inside"), F.col("_left")))]
+        now = written(counted.select(*[f"_{c}" for c in by], "_target", *held), "groups")
+        before, after = (t.agg(F.sum("_left")).first()[0] for t in (state, now))
+        rows = written(rows.join(now, on).where(F.col("value").between(F.col("_lo"), F.col("_hi"))).select(*by, "value"), "inside")
+        state = now.drop("_lo", "_hi")
+        if after == before:  # ties: few distinct values are left
+            break
+    counts = rows.groupBy(*by, "value").agg(F.count("*").alias("_m"))
+    running = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_upto", F.sum("_m").over(running)).join(state, on).where(F.col("_below") + F.col("_upto") > F.col("_target"))
+    return ranked.groupBy(*by).agg(F.min("value").alias("median"))
 
 
 def bin_index(value: Column, low: float, high: float, bins: int) -> Column:

@@ -109,6 +109,38 @@ def unstagger(values: DataFrame, axis: str) -> DataFrame:
     return values.withColumns({"value": (F.col("value") + after) / 2, "_last": last}).where("not _last").drop("_last")
 
 
+def spline_midpoints(lines):
+    """Cubic splines through lines (NumPy, L x n) without knots at the second and last but one sample, half-way between
+    samples; lines of less than four samples give means."""
+    import numpy as np
+
+    y = np.asarray(lines, float)
+    n = y.shape[1]
+    middle = (y[:, :-1] + y[:, 1:]) / 2
+    if n < 4:
+        return middle
+    right = 6 * (y[:, :-2] - 2 * y[:, 1:-1] + y[:, 2:])  # of the samples 1 to n - 2
+    bend = np.empty_like(y)
+    bend[:, 1], bend[:, n - 2] = right[:, 0] / 6, right[:, -1] / 6
+    if n > 4:  # a tridiagonal system for those between
+        c, d = np.empty(n), np.empty_like(y)
+        c[1], d[:, 1] = 0.0, bend[:, 1]
+        for k in range(2, n - 2):
+            c[k] = 1 / (4 - c[k - 1])
+            d[:, k] = (right[:, k - 1] - d[:, k - 1]) * c[k]
+        for k in range(n - 3, 1, -1):
+            bend[:, k] = d[:, k] - c[k] * bend[:, k + 1]
+    bend[:, 0], bend[:, n - 1] = 2 * bend[:, 1] - bend[:, 2], 2 * bend[:, n - 2] - bend[:, n - 3]
+    return middle - (bend[:, :-1] + bend[:, 1:]) / 16
+
+
+def unstagger_spline(values: DataFrame, axis: str) -> DataFrame:
+    """n - 1 samples half-way between those of each line, by cubic splines."""
+    from .codec import map_lines
+
+    return map_lines(values, axis, spline_midpoints)
+
+
 def downsample(values: DataFrame, axis: str, n_in: int, n_out: int) -> DataFrame:
     """Linear samples at n_out evenly spread places of an axis of n_in."""
     delta = n_in / n_out

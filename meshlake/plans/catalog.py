@@ -86,6 +86,8 @@ class Dataset:
         self.faces: dict[str, DataFrame] = {}  # (face, slot, node) of unstructured meshes
         self._tables: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self._derived: dict[str, Callable[[Dataset], DataFrame]] = {}
+        self._regional: dict[str, Callable[..., DataFrame]] = {}
+        self.attributes: dict = {}
         self._progressive: dict[str, Callable[..., DataFrame]] = {}
         self._ranges: dict = {}
         self._stored: dict[str, set] = {}
@@ -129,9 +131,34 @@ class Dataset:
         self.variables[variable.name] = variable
         self._derived[variable.name] = make
 
+    def add_regional(self, name: str, make: Callable[[int, Sequence[tuple[int, int]] | None], DataFrame]) -> None:
+        """How a part of a derived variable, a step and a box, is made from parts of its inputs."""
+        self._regional[name] = make
+
     def remove_derived(self, name: str) -> None:
         if name in self._derived:
             del self._derived[name], self.variables[name]
+            self._regional.pop(name, None)
+
+    # Attributes
+
+    def attribute(self, name: str, key: str):
+        """An attribute of a variable, or of the dataset for an empty name; None if there is none."""
+        return (self.variables[name].attributes if name else self.attributes).get(key)
+
+    def put_attribute(self, name: str, key: str, value) -> None:
+        (self.variables[name].attributes if name else self.attributes)[key] = value
+
+    def copy_attributes(self, source: Dataset, name: str) -> None:
+        """Takes a variable's attributes from another dataset, all of the same name included, or the dataset's own for an empty name."""
+        own = self.variables[name].attributes if name else self.attributes
+        own |= source.variables[name].attributes if name else source.attributes
+
+    def attribute_table(self) -> DataFrame:
+        """(variable, key, value) of all attributes, the dataset's own with an empty name."""
+        rows = [("", k, str(v)) for k, v in self.attributes.items()]
+        rows += [(n, k, str(x)) for n, v in self.variables.items() for k, x in v.attributes.items()]
+        return self.spark.createDataFrame(rows, "variable string, key string, value string")
 
     # Metadata
 
@@ -227,7 +254,11 @@ class Dataset:
                 raise ValueError(f"{name} isn't stored at step {ts}, level {level}, detail {lod}")
             wide = box if exact or box is None else [(lo // block * block, hi // block * block + block - 1) for lo, hi in box]
             return self._progressive[name](step, level, lod, wide)
-        table = self.table(name)
+        if box is not None and name in self._regional:
+            wide = box if exact else [(lo // block * block, hi // block * block + block - 1) for lo, hi in box]
+            table = self._regional[name](ts, wide)
+        else:
+            table = self.table(name)
         if v.time_varying and "ts" in table.columns:
             table = table.where(F.col("ts") == ts)
         if box is not None:

@@ -175,3 +175,9 @@ def fixed_coordinate(spark, rows: Sequence[Sequence[float]]) -> DataFrame:
     """(i, j, value): a 2-D coordinate given as rows of numbers, j by j."""
     cells = [(i, j, float(v)) for j, row in enumerate(rows) for i, v in enumerate(row)]
     return spark.createDataFrame(cells, "i int, j int, value double")
+
+
+def fixed_rows(table: DataFrame, row: str, numbers: str) -> DataFrame:
+    """(i, j, value): a 2-D coordinate given as a table of rows of numbers, numbered by j."""
+    each = table.select(F.col(row).cast("int").alias("j"), F.posexplode(numbers).alias("i", "_v"))
+    return each.select("i", "j", F.col("_v").cast("double").alias("value"))

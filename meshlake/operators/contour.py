@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import AXES, COORDS, RegularGrid
@@ -110,3 +110,15 @@ def key_frames(spark, frames: Sequence[tuple[int, Sequence[float]]]) -> DataFram
             value = F.when(F.col("frame") < fb, F.lit(float(va[c])) + share * F.lit(float(vb[c] - va[c]))).otherwise(value)
         columns.append(value.alias(f"c{c}"))
     return spark.range(keys[0][0], last + 1).select(F.col("id").cast("int").alias("frame"), *columns)
+
+
+def between_frames(frames: DataFrame) -> DataFrame:
+    """(frame, c0, c1, ...): values linear between the key frames of a table.  Key frames are ordered in one task: there are few
+    of them, the frames between are made in all."""
+    order = Window.orderBy("frame")
+    names = [c for c in frames.columns if c != "frame"]
+    after = {f"_{c}": F.lead(c).over(order) for c in ["frame", *names]}
+    upto = F.coalesce(F.col("_frame") - 1, F.col("frame"))
+    each = frames.withColumns(after).withColumn("_at", F.explode(F.sequence("frame", upto)))
+    share = (F.col("_at") - F.col("frame")) / (F.col("_frame") - F.col("frame"))
+    return each.select(F.col("_at").cast("int").alias("frame"), *[F.coalesce(F.col(c) + (F.col(f"_{c}") - F.col(c)) * share, F.col(c)).alias(c) for c in names])

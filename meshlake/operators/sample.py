@@ -93,6 +93,29 @@ def locate(points: DataFrame, axis: DataFrame, index: str, coord: str, at: str,
     ).drop("_plo", "_phi", "_pb", "_bucket", "_lo", "_hi", "_i", "_a", "_b", "_last")
 
 
+def sample_stretched(points: DataFrame, values: DataFrame, axes: Sequence[DataFrame], key: Sequence[str], name: str = "sampled") -> DataFrame:
+    """(key, name): multilinear samples on a grid whose axes are tables of index and coordinate, (i, x), (j, y), (k, z);
+    null outside, and if a sample of non-zero weight is missing."""
+    placed = points.select(*key, *[F.col(c).cast("double").alias(c) for c in COORDS[: len(axes)]])
+    for n, axis in enumerate(axes):
+        placed = locate(placed, axis.withColumnRenamed(COORDS[n], "_at"), AXES[n], "_at", COORDS[n])
+        placed = placed.withColumnsRenamed({"cell": f"_c{n}", "weight": f"_w{n}"})
+    corners = []
+    for number in range(1 << len(axes)):
+        weight, index = F.lit(1.0), []
+        for n in range(len(axes)):
+            up = number >> n & 1
+            weight = weight * (F.col(f"_w{n}") if up else F.lit(1.0) - F.col(f"_w{n}"))
+            index.append((F.col(f"_c{n}") + up).cast("int").alias(f"_{AXES[n]}"))
+        corners.append(F.struct(weight.alias("_w"), *index))
+    inside = placed.where(" and ".join(f"_c{n} is not null" for n in range(len(axes))))
+    wanted = inside.select(*key, F.explode(F.filter(F.array(*corners), lambda c: c["_w"] != 0)).alias("_c")).select(*key, "_c.*")
+    side = values.select(*[F.col(AXES[n]).alias(f"_{AXES[n]}") for n in range(len(axes))], "value")
+    met = wanted.join(side, [f"_{AXES[n]}" for n in range(len(axes))], "left").groupBy(*key)
+    found = met.agg(F.when(F.count("value") == F.count("*"), F.sum(F.col("_w") * F.col("value"))).alias(name))
+    return points.select(*key).join(found, list(key), "left")
+
+
 def nearest_on_axis(located: DataFrame) -> Column:
     """Index of the nearest node of a located point; half-way points go to the lower one."""
     return F.col("cell") + F.when(F.col("weight") > 0.5, 1).otherwise(0)

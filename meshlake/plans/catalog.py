@@ -275,6 +275,11 @@ class Dataset:
         for n in range(shape[-1]):
             yield n, self.variable(name, ts).where(F.col(axes[-1]) == n)
 
+    def sliced(self, name: str, ts: int = 0) -> DataFrame:
+        """A variable spread by slices along its last axis, each slice in one task and in order: one job serves all slices."""
+        axes = AXES[: self.topology(name)]
+        return self.variable(name, ts).repartition(axes[-1]).sortWithinPartitions(*reversed(axes))
+
     def together(self, names: Sequence[str], ts: int = 0, box=None) -> DataFrame:
         """Variables on one mesh side by side, a column each."""
         if len({self.variables[n].mesh for n in names}) > 1:

@@ -121,20 +121,6 @@ def _(spark, sf):
     return grid.stride(field(spark, sf), 5)
 
 
-@query(
-    "p12_common_accuracy",
-    """WITH a(level, detail) AS (VALUES (-1, -1), (-2, -1)), b(level, detail) AS (VALUES (-2, -1), (-3, -1))
-       SELECT CAST(level AS INT) AS level, CAST(detail AS INT) AS detail FROM a JOIN b USING (level, detail) ORDER BY level DESC, detail DESC LIMIT 1""",
-)
-def _(spark, sf):
-    data = Dataset(spark)
-    rows = field(spark, sf)
-    data.add_mesh(Mesh("m", ("i", "j")), {"i": NI, "j": unit_grid(spark, sf).n[1]})
-    data.add_variable(Variable("a", "m", levels=3), rows, [(0, -1, -1), (0, -2, -1)])
-    data.add_variable(Variable("b", "m", levels=3), rows, [(0, -2, -1), (0, -3, -1)])
-    return spark.createDataFrame([data.common_accuracy(["a", "b"], 0)], "level int, detail int")
-
-
 @query(
     "m13_variables",
     """SELECT 'embedding' AS name, 'data' AS kind, CAST(2 AS INT) AS topology, CAST(64 AS INT) AS length_i, CAST((SELECT max(vec_id) + 1 FROM embeddings) AS INT) AS length_j""",
@@ -195,6 +181,22 @@ def _(spark, sf):
     return sample.locate(points(spark, sf), axis, "i", "a", "x").select("k", "cell", r6("weight").alias("weight"))
 
 
+@query(
+    "g7_stretched_values",
+    G + """, a AS (SELECT CAST(i AS INT) AS i, i * i / 63.0 AS a, (i + 1) * (i + 1) / 63.0 AS b FROM range(63) r(i)),
+      l AS (SELECT k, a.i AS ci, (x - a.a) / (a.b - a.a) AS p, least(floor(y), nj - 2) AS cj, y - least(floor(y), nj - 2) AS q FROM pts JOIN a ON x >= a.a AND (x < a.b OR (a.i = 62 AND x = a.b)), n WHERE y <= nj - 1),
+      w AS (SELECT k, ci + di AS qi, cj + dj AS qj, (CASE di WHEN 1 THEN p ELSE 1 - p END) * (CASE dj WHEN 1 THEN q ELSE 1 - q END) AS w FROM l, (VALUES (0), (1)) AS a(di), (VALUES (0), (1)) AS b(dj)),
+      s AS (SELECT k, CASE WHEN count(v) FILTER (WHERE w <> 0) = count(*) FILTER (WHERE w <> 0) THEN sum(w * v) END AS s FROM w JOIN h ON h.i = qi AND h.j = qj GROUP BY k)
+      SELECT pts.k, round(s, 6) AS sampled FROM pts LEFT JOIN s ON s.k = pts.k""",
+)
+def _(spark, sf):
+    """Linear samples on a grid with a stretched axis and an even one; some samples are missing."""
+    x_axis = spark.range(NI).select(F.col("id").cast("int").alias("i"), (F.col("id") * F.col("id") / 63.0).alias("x"))
+    y_axis = box.index_coordinate(spark, unit_grid(spark, sf).n[1], "j").withColumnRenamed("value", "y")
+    out = sample.sample_stretched(points(spark, sf), gappy(spark, sf), [x_axis, y_axis], ["k"])
+    return out.select("k", r6("sampled").alias("sampled"))
+
+
 @query(
     "g14_cells",
     G + "SELECT k, CAST(least(floor(x), 62) AS INT) AS ci, CAST(least(floor(y), nj - 2) AS INT) AS cj FROM pts, n",
@@ -938,9 +940,16 @@ def _(spark, sf):
     return mesh.wireframe(faces)
 
 
-@query("r10_key_frames", "SELECT CAST(f AS INT) AS frame, round(CASE WHEN f < 10 THEN f / 10.0 * 5 ELSE 5 + (f - 10) / 30.0 * 15 END, 6) AS c0 FROM range(41) r(f)")
+@query(
+    "r10_key_frames",
+    """WITH f AS (SELECT vec_id * 10 AS f, CAST(embedding[1] AS DOUBLE) AS v, lead(CAST(embedding[1] AS DOUBLE)) OVER (ORDER BY vec_id) AS w FROM embeddings)
+       SELECT CAST(f + s.range AS INT) AS frame, round(v + (w - v) * s.range / 10.0, 6) AS c0 FROM f, range(10) s WHERE w IS NOT NULL OR s.range = 0 ORDER BY 1""".replace(
+        "v + (w - v) * s.range / 10.0", "CASE WHEN w IS NULL THEN v ELSE v + (w - v) * s.range / 10.0 END"
+    ),
+)
 def _(spark, sf):
-    return contour.key_frames(spark, [(0, (0.0,)), (10, (5.0,)), (40, (20.0,))]).select("frame", r6("c0").alias("c0"))
+    frames = table(spark, sf, "embeddings").select((F.col("vec_id") * 10).alias("frame"), F.col("embedding")[0].cast("double").alias("c0"))
+    return contour.between_frames(frames).select("frame", r6("c0").alias("c0"))
 
 
 # Flow
@@ -948,10 +957,13 @@ def _(spark, sf):
 
 @query(
     "l12_rake",
-    "SELECT id AS seed, round(1 + (id % 8 + 0.5) * (49 / 8.0), 6) AS x, round(((id // 8) % 4 + 0.5) * (0.1 / 4), 6) AS y FROM range(32) r(id)",
+    """SELECT id AS seed, round(lx + (id % 8 + 0.5) * ((hx - lx) / 8.0), 6) AS x, round(ly + ((id // 8) % 4 + 0.5) * ((hy - ly) / 4.0), 6) AS y
+       FROM range(32) r(id), (SELECT min(l_quantity) AS lx, max(l_quantity) AS hx, min(l_discount) AS ly, max(l_discount) AS hy FROM lineitem)""",
 )
 def _(spark, sf):
-    return contour.rake(spark, (1.0, 0.0), (50.0, 0.1), (8, 4)).select("seed", r6("x").alias("x"), r6("y").alias("y"))
+    """A rake over the box that the particles fill."""
+    ends = table(spark, sf, "lineitem").agg(F.min("l_quantity"), F.min("l_discount"), F.max("l_quantity"), F.max("l_discount")).first()
+    return contour.rake(spark, ends[:2], ends[2:], (8, 4)).select("seed", r6("x").alias("x"), r6("y").alias("y"))
 
 
 @query("l14_biased_seeds", "SELECT c_custkey AS seed, c_acctbal AS value FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40")
@@ -990,9 +1002,13 @@ def _(spark, sf):
     return out.select("stream", "step", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), r6("time").alias("time"), "special")
 
 
-@query("l13_random_rake")
+@query("l13_random_rake", "SELECT count(*) AS n, count(*) AS n_distinct, true AS inside FROM supplier")
 def _(spark, sf):
-    return flow.random_rake(spark, (0.0, 0.0, 0.0), (1.0, 2.0, 3.0), 1000)
+    """As many random seeds as suppliers, in the box that the particles fill: all different, all inside."""
+    ends = table(spark, sf, "lineitem").agg(F.min("l_quantity"), F.min("l_discount"), F.max("l_quantity"), F.max("l_discount")).first()
+    seeds = flow.random_rake(spark, ends[:2], ends[2:], table(spark, sf, "supplier").count())
+    inside = F.col("x").between(ends[0], ends[2]) & F.col("y").between(ends[1], ends[3])
+    return seeds.agg(F.count("*").alias("n"), F.count_distinct("x", "y").alias("n_distinct"), F.bool_and(inside).alias("inside"))
 
 
 @query("u2_user_function", G + "SELECT i, j, round(v + round(v, 2), 6) AS value FROM g")
@@ -1026,9 +1042,9 @@ def _(spark, sf):
 # Derived coordinates, sampling for previews, checks of smaller operators
 
 
-@query("d2_index_coordinate", "SELECT CAST(id AS INT) AS i, CAST(id AS DOUBLE) AS value FROM range(64) r(id)")
+@query("d2_index_coordinate", "SELECT CAST(id AS INT) AS j, CAST(id AS DOUBLE) AS value FROM (SELECT unnest(range(count(*))) AS id FROM embeddings)")
 def _(spark, sf):
-    return box.index_coordinate(spark, NI)
+    return box.index_coordinate(spark, unit_grid(spark, sf).n[1], "j")
 
 
 @query(
@@ -1084,18 +1100,22 @@ def _(spark, sf):
 
 @query(
     "f16_opacity",
-    "SELECT CAST(id AS INT) AS entry, round(least(1, 0.25 * (CASE WHEN id / 255.0 < 0.5 THEN id / 255.0 * 2 ELSE 2 - id / 255.0 * 2 END + 0.5 + sin(2 * pi() * (id / 255.0)) / 2)), 6) AS a FROM range(256) r(id)",
+    """SELECT event_id, round(least(1, 0.25 * (CASE WHEN x < 0.5 THEN x * 2 ELSE 2 - x * 2 END + 0.5 + sin(2 * pi() * x) / 2)), 6) AS a
+       FROM (SELECT event_id, (event_id % 256) / 255.0 AS x FROM events)""",
 )
 def _(spark, sf):
+    """Opacities of a table's rows by the 256 entries of two maps together."""
     maps = [colour.opacity_points([(0.0, 0.0), (0.5, 1.0), (1.0, 0.0)]), colour.sine(2.0, 0.0)]
     lut = colour.table(spark, [(0.0, (0.0, 0.0, 0.0)), (1.0, (0.0, 0.0, 1.0))], maps, scale=0.25)
-    return lut.select("entry", r6("a").alias("a"))
+    rows = table(spark, sf, "events").select("event_id", (F.col("event_id") % 256).cast("int").alias("entry"))
+    return rows.join(F.broadcast(lut), "entry").select("event_id", r6("a").alias("a"))
 
 
-@query("f17_discrete_colours", "SELECT CAST(id AS INT) AS entry, CASE WHEN id / 255.0 < 0.5 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS r FROM range(256) r(id)")
+@query("f17_discrete_colours", "SELECT event_id, CASE WHEN (event_id % 256) / 255.0 < 0.5 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS r FROM events")
 def _(spark, sf):
     lut = colour.table(spark, [(0.0, (0.0, 0.0, 0.0)), (1.0, (0.0, 0.0, 1.0))], [], colour.discrete)
-    return lut.select("entry", "r")
+    rows = table(spark, sf, "events").select("event_id", (F.col("event_id") % 256).cast("int").alias("entry"))
+    return rows.join(F.broadcast(lut), "entry").select("event_id", "r")
 
 
 @query(
@@ -1156,7 +1176,10 @@ def _(spark, sf):
     return codec.finish(field(spark, sf), -0.1, 0.1, 0.02)
 
 
-@query("l13_seeded_draws")
+@query("l13_seeded_draws", "SELECT count(*) AS n, count(*) AS same, CAST(0 AS BIGINT) AS same_by_another FROM customer")
 def _(spark, sf):
-    """Random seeds are the same for the same seed number: rows only."""
-    return flow.random_rake(spark, (0.0,), (1.0,), 500, seed=7)
+    """Random seeds are the same for the same seed number, and others for another."""
+    n = table(spark, sf, "customer").count()
+    draws = [flow.random_rake(spark, (0.0,), (1.0,), n, seed=k).withColumnRenamed("x", f"x{at}") for at, k in enumerate((7, 7, 8))]
+    met = draws[0].join(draws[1], "seed").join(draws[2], "seed")
+    return met.agg(F.count("*").alias("n"), F.count_if(F.col("x0") == F.col("x1")).alias("same"), F.count_if(F.col("x0") == F.col("x2")).alias("same_by_another"))
\ No newline at end of file

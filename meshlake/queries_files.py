@@ -166,3 +166,18 @@ def _(spark, sf):
 def _(spark, sf):
     """The best level from a fourth of the coefficients."""
     return _rounded(_store(spark, sf).variable("v", lod=1))
+
+
+@query(
+    "p12_common_accuracy",
+    LEVELS + ", l1 AS (SELECT i, j, band, v FROM lo WHERE level < 2), " + _back("l1", "m1")
+    + f" SELECT CAST(-2 AS INT) AS level, CAST(-1 AS INT) AS detail, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(v / 2, 6) AS value FROM m1 WHERE j < {CUT_AT.format(s=8, d=1)}",
+)
+def _(spark, sf):
+    """A variable at the best level and detail that two variables have in common."""
+    data = _store(spark, sf)
+    data._stored["v"] = {(0, -1, -1), (0, -2, -1)}
+    data.add_variable(Variable("b", "grid", levels=3, ratios=(10, 4, 1)), field(spark, sf), [(0, -2, -1), (0, -3, -1)])
+    level, detail = data.common_accuracy(["v", "b"], 0)
+    rows = _rounded(data.variable("v", level=level, lod=detail))
+    return rows.select(F.lit(level).alias("level"), F.lit(detail).alias("detail"), "i", "j", "value")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import functions as F
 
 from .functions import atmosphere, scalar
@@ -308,11 +306,14 @@ def _(spark, sf):
 
 @query(
     "m11_exists",
-    """WITH a AS (SELECT CAST(s.range AS INT) AS ts, CAST(-1 - l.range AS INT) AS level FROM range(4) s, range(2) l)
-       SELECT v.name, ts, level, ts < 3 AND NOT (ts = 2 AND level = -1) AS there FROM a, (VALUES ('wind'), ('double')) AS v(name)""",
+    STEPS + """, a AS (SELECT CAST(s.range AS INT) AS ts, CAST(-1 - l.range AS INT) AS level FROM range(4) s, range(2) l), e AS (SELECT DISTINCT ts FROM t)
+       SELECT v.name, a.ts, level, e.ts IS NOT NULL AND NOT (a.ts = 2 AND level = -1) AS there FROM a LEFT JOIN e ON e.ts = a.ts, (VALUES ('wind'), ('double')) AS v(name)""",
 )
 def _(spark, sf):
+    """The steps that the table has are those that exist, but for one level of the last."""
     data = _timed(spark, sf)
+    steps = [r[0] for r in _steps(spark, sf).select("ts").distinct().collect()]
+    data._stored["wind"] = {(ts, level, -1) for ts in steps for level in (-1, -2) if (ts, level) != (2, -1)}
     rows = [(n, ts, level, data.exists(n, ts, level)) for n in ("wind", "double") for ts in range(4) for level in (-1, -2)]
     return spark.createDataFrame(rows, "name string, ts int, level int, there boolean")
 
@@ -322,18 +323,22 @@ def _(spark, sf):
     return _timed(spark, sf).dimension_table()
 
 
-@query("m3_meshes", "SELECT 'plane' AS name, 'i,j' AS dimensions, 'x,y' AS coordinates, CAST(2 AS BIGINT) AS variables")
+@query("m3_meshes", "SELECT 'plane' AS name, 'i,j' AS dimensions, 'x,y' AS coordinates, CAST(64 * (count(*) // 3) AS BIGINT) AS samples, CAST(2 AS BIGINT) AS variables FROM embeddings")
 def _(spark, sf):
     data = _timed(spark, sf)
     many = data.describe().groupBy("mesh").agg(F.count("*").alias("variables"))
-    listed = data.mesh_table().select("name", F.array_join("dimensions", ",").alias("dimensions"), F.array_join("coordinates", ",").alias("coordinates"))
+    listed = data.mesh_table().select("name", F.array_join("dimensions", ",").alias("dimensions"), F.array_join("coordinates", ",").alias("coordinates"), F.lit(NI * data.dimensions["j"]).cast("long").alias("samples"))
     return listed.join(many, F.col("name") == F.col("mesh")).drop("mesh")
 
 
-@query("m10_inputs", "SELECT 'double' AS name, 'wind,double' AS inputs UNION ALL SELECT 'wind', 'wind'")
+@query("m10_inputs", STEPS + "SELECT name, inputs, (SELECT count(*) FROM t WHERE ts = 1) AS samples FROM (VALUES ('double', 'wind,double'), ('wind', 'wind')) AS v(name, inputs)")
 def _(spark, sf):
-    data = _timed(spark, sf)
-    return spark.createDataFrame([(n, ",".join(data.inputs(n))) for n in ("double", "wind")], "name string, inputs string")
+    """What variables depend on, and how many samples each has at a step."""
+    data, out = _timed(spark, sf), None
+    for n in ("double", "wind"):
+        one = data.variable(n, 1).agg(F.count("*").alias("samples")).select(F.lit(n).alias("name"), F.lit(",".join(data.inputs(n))).alias("inputs"), "samples")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("k1_store_round_trip", STEPS + "SELECT ts, i, j, v AS value FROM t")
@@ -442,20 +447,17 @@ def _(spark, sf):
     return spark.read.option("header", True).schema("event_type string, n long, low double, high double").csv(path)
 
 
-@query("d3_fixed_coordinate", "SELECT CAST(i.range AS INT) AS i, CAST(j.range AS INT) AS j, CAST(i.range * 10 + j.range AS DOUBLE) / 4 AS value FROM range(7) i, range(5) j")
+@query("d3_fixed_coordinate", G + "SELECT i, CAST(j AS INT) AS j, v AS value FROM g")
 def _(spark, sf):
-    return box.fixed_coordinate(spark, [[(10 * i + j) / 4 for i in range(7)] for j in range(5)])
+    """A coordinate with two dimensions that is given as rows of numbers."""
+    return box.fixed_rows(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
-@query("p13_hyper_slices", STEPS + "SELECT j AS slice, count(*) AS n, min(v) AS low FROM t WHERE ts = 1 GROUP BY j HAVING j < 3")
+@query("p13_hyper_slices", STEPS + "SELECT j AS slice, count(*) AS n, min(v) AS low FROM t WHERE ts = 1 GROUP BY j")
 def _(spark, sf):
-    """The first three slices, each from a request of its own."""
-    found = [(n, part) for n, part in itertools.islice(_timed(spark, sf).hyper_slices("wind", 1), 3)]
-    out = None
-    for n, part in found:
-        one = part.agg(F.lit(n).alias("slice"), F.count("*").alias("n"), F.min("value").alias("low"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Every slice of a step, all from one table that is spread by slices."""
+    slices = _timed(spark, sf).sliced("wind", 1)
+    return slices.groupBy(F.col("j").alias("slice")).agg(F.count("*").alias("n"), F.min("value").alias("low"))
 
 
 # Wavelets along several axes
@@ -474,12 +476,12 @@ def _(spark, sf):
     return out.select("i", F.col("j").cast("int").alias("j"), "level", "band", r6("value").alias("value"))
 
 
-@query("c2_round_trip_3d", CUBE + "SELECT i, j, k, round(v, 6) AS value FROM c, n WHERE j < nj - nj % 4")
+@query("c2_round_trip_3d", CUBE + "SELECT i, j, k, round(v, 6) AS value FROM c")
 def _(spark, sf):
-    """Two levels along three axes and back; the vectors that fill whole groups of four."""
+    """Two levels along three axes and back; the last vectors are padded to a group of four and cut."""
     nj = table(spark, sf, "embeddings").count()
-    cube = _cube(spark, sf).where(F.col("j") < nj - nj % 4)
-    back = codec.reconstruct_nd(codec.decompose_nd(cube, ["i", "j", "k"], 2), ["i", "j", "k"], 2)
+    cube = codec.pad_axis(_cube(spark, sf), "j", nj, 4)
+    back = codec.cut_axis(codec.reconstruct_nd(codec.decompose_nd(cube, ["i", "j", "k"], 2), ["i", "j", "k"], 2), "j", nj)
     return back.select(*[F.col(a).cast("int").alias(a) for a in ("i", "j", "k")], r6("value").alias("value"))
 
 

@@ -181,3 +181,23 @@ def _(spark, sf):
     level, detail = data.common_accuracy(["v", "b"], 0)
     rows = _rounded(data.variable("v", level=level, lod=detail))
     return rows.select(F.lit(level).alias("level"), F.lit(detail).alias("detail"), "i", "j", "value")
+
+
+@query("k9_files_to_levels_and_back", CUT + "SELECT ts, i, j, round(v, 6) AS value FROM t WHERE v IS NOT NULL")
+def _(spark, sf):
+    """NetCDF files to stores by level and detail, and these to NetCDF files again."""
+    base = fresh_path(spark, "converted")
+    progressive.from_files(spark, _written(spark, sf, _cut(spark, sf), [0.0, 6.0, 12.0, 18.0]), f"{base}/levels", block=32, family="bior4.4", steps=1, ratios=(4, 1))
+    progressive.to_files(spark, f"{base}/levels/v", f"{base}/files", "v")
+    back = netcdf.open_cf(spark, f"{base}/files").table("v").where("value is not null")
+    return back.select("ts", "i", "j", r6("value").alias("value"))
+
+
+@query("k5_raw_coarse_region", LEVELS + f"SELECT CAST(i - 2 AS INT) AS i, CAST(j - 3 AS INT) AS j, round(v / 4, 4) AS value FROM lo WHERE level = 0 AND i BETWEEN 2 AND 9 AND j BETWEEN 3 AND 20 AND j < {CUT_AT.format(s=4, d=2)}")
+def _(spark, sf):
+    """A region of the coarsest level as raw binary, read back."""
+    path = fresh_path(spark, "levels")
+    progressive.write(field(spark, sf), path, progressive.Layout([NI, table(spark, sf, "embeddings").count()], 16, "haar", 2, (10, 4, 1)))
+    made = progressive.to_raw(spark, path, fresh_path(spark, "raw"), "v", level=0, box=[(2, 9), (3, 20)], kind="<f8")
+    files = [r["path"] for r in made.select("path").collect()]
+    return ranges.read_raw(spark, files, (8, 18), "<f8").select("i", "j", F.round("value", 4).alias("value"))

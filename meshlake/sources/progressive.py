@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,24 +27,30 @@ from pyspark.sql import functions as F
 
 from ..operators import lifting
 from ..operators.grid import AXES
-from ..plans.catalog import length_at_level, normal_level
-from .ranges import open_range, write_bytes
+from ..plans.catalog import Dataset, Mesh, Variable, length_at_level, normal_level
+from . import netcdf
+from .ranges import list_files, open_range, write_bytes
 
 META = "_meta.json"
 
 
 @dataclass
 class Layout:
-    """Lengths of the axes (i first), of a block along each, the wavelet, its steps, and the ratios by detail."""
+    """Lengths of the axes (i first), of a block along each, the wavelet, its steps, and the ratios by detail; and
+    the names of the dimensions, the times and the attributes that the variable came with."""
 
     n: list[int]
     block: int = 64
     family: str = "bior2.2"
     steps: int = 2
     ratios: tuple[int, ...] = (500, 100, 10, 1)
+    dims: tuple[str, ...] = ()
+    times: tuple[float, ...] = ()
+    attributes: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.n, self.ratios = [int(x) for x in self.n], tuple(self.ratios)
+        self.dims, self.times = tuple(self.dims or [f"n{a}" for a in AXES[: len(self.n)]]), tuple(self.times)
         if self.steps > lifting.max_steps(self.block, self.family):
             raise ValueError(f"{self.steps} steps are too many for blocks of {self.block} samples")
         if list(self.ratios) != sorted(self.ratios, reverse=True) or min(self.ratios) < 1:
@@ -228,3 +234,51 @@ def read(
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(value, from_pandas=True)], ["ts", *axes, "value"])
 
     return grouped.mapInArrow(run, f"ts int, {', '.join(f'{a} int' for a in axes)}, value double")
+
+
+def open_store(spark: SparkSession, path: str) -> Dataset:
+    """A dataset of all variables that were written below a folder, each at its levels and details."""
+    out = Dataset(spark, path)
+    metas = list_files(spark, f"{path}/*/{META}")
+    found = {m.rsplit("/", 2)[1]: layout_of(m.rsplit("/", 1)[0]) for m in metas}
+    out.times = sorted({t for layout in found.values() for t in layout.times}) or [0.0]
+    for name, layout in found.items():
+        mesh = "_".join(layout.dims)
+        out.add_mesh(Mesh(mesh, layout.dims, layout.dims), dict(zip(layout.dims, layout.n)))
+        told = dict(layout.attributes)
+        out.add_progressive(Variable(name, mesh, units=str(told.get("units", "")), time_varying=len(layout.times) > 1, attributes=told), f"{path}/{name}")
+    return out
+
+
+def from_files(spark: SparkSession, path: str | Sequence[str], target: str, opened=netcdf.open_cf, **options) -> list[str]:
+    """Writes every data variable with axes of NetCDF files to stores below a folder; their names.  ``options`` go to the layout."""
+    data = opened(spark, path)
+    names = [n for n in data.names() if data.topology(n)]
+    for name in names:
+        v = data.variables[name]
+        dims = data.meshes[v.mesh].dimensions
+        times = data.times if v.time_varying else data.times[:1]
+        layout = Layout([data.dimensions[d] for d in dims], dims=dims, times=times, attributes={k: x for k, x in v.attributes.items() if k not in ("_FillValue", "missing_value", "scale_factor", "add_offset")}, **options)
+        write(data.table(name), f"{target}/{name}", layout)
+    return names
+
+
+def to_files(spark: SparkSession, path: str, folder: str, name: str, level: int = -1, lod: int = -1, units: str = "seconds since 1970-01-01 00:00:00") -> DataFrame:
+    """Writes a stored variable at a level and detail as NetCDF files, one for each step; (ts, path)."""
+    layout = layout_of(path)
+    down = -1 - normal_level(level, layout.steps + 1)
+    sizes = dict(zip(layout.dims, layout.at_level(down)))
+    told = {k: x for k, x in layout.attributes.items() if isinstance(x, (str, int, float))}
+    return netcdf.write_files(read(spark, path, None, level, lod), folder, name, sizes, layout.times or [0.0], units, attributes=told)
+
+
+def to_raw(spark: SparkSession, path: str, folder: str, name: str, level: int = -1, lod: int = -1, box: Sequence[tuple[int, int]] | None = None, kind: str = "<f4") -> DataFrame:
+    """Writes a region of a stored variable at a level and detail as raw binary, one file for each step; (ts, path)."""
+    from .ranges import write_raw
+
+    layout = layout_of(path)
+    n = layout.at_level(-1 - normal_level(level, layout.steps + 1))
+    box = [(max(lo, 0), min(hi, m - 1)) for (lo, hi), m in zip(box or [(0, m - 1) for m in n], n)]
+    rows = read(spark, path, None, level, lod, box)
+    rows = rows.withColumns({a: F.col(a) - lo for a, (lo, _) in zip(layout.axes, box)})
+    return write_raw(rows, folder, name, [hi - lo + 1 for lo, hi in box], kind)

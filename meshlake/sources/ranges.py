@@ -57,7 +57,8 @@ def list_files(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
         found = system.globStatus(target) or []
         for status in found:
             inside = system.listStatus(status.getPath()) if status.isDirectory() else [status]
-            out |= {s.getPath().toString() for s in inside if s.isFile() and s.getPath().getName()[0] not in "._"}
+            shown = status.isFile()  # what a pattern names itself counts, hidden or not
+            out |= {s.getPath().toString() for s in inside if s.isFile() and (shown or s.getPath().getName()[0] not in "._")}
     if not out:
         raise ValueError(f"no file at {path}")
     return sorted(out)

@@ -125,3 +125,16 @@ def test_too_many_steps_are_refused():
     with pytest.raises(ValueError):
         progressive.Layout([64], 16, "bior4.4", 3)
     assert lifting.max_steps(64, "bior2.2") == 3 and codec.max_levels(64, 6) == 3
+
+
+def test_a_store_is_opened_by_its_folder(spark, tmp_path):
+    data = np.random.default_rng(8).normal(size=(9, 17))
+    progressive.write(table_of(spark, data, 2), f"{tmp_path}/v", progressive.Layout([17, 9], 8, "haar", 2, (8, 1), ("lon", "lat"), (0.0, 60.0), {"units": "K"}))
+    out = progressive.open_store(spark, str(tmp_path))
+    assert out.names() == ["v"] and out.times == [0.0, 60.0] and out.variables["v"].units == "K" and out.shape("v", 0) == (4, 2)
+    assert out.variable("v", 1, level=0).count() == 8
+    progressive.to_files(spark, f"{tmp_path}/v", f"{tmp_path}/nc", "v", level=0)
+    from meshlake.sources import netcdf
+
+    back = netcdf.open_cf(spark, f"{tmp_path}/nc")
+    assert back.shape("v") == (4, 2) and array_of(back.variable("v", 1)) == pytest.approx(array_of(out.variable("v", 1, level=0)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
@@ -67,8 +67,6 @@ def sample_linear(points: DataFrame, values: DataFrame, grid: RegularGrid, key:
 
 def axis_intervals(axis: DataFrame, index: str, coord: str, buckets: int) -> DataFrame:
     """Cells of a 1-D axis, each listed under the equal-width buckets that it touches."""
-    from pyspark.sql import Window
-
     ends = axis.agg(F.min(coord).alias("_lo"), F.max(coord).alias("_hi"))
     order = Window.orderBy(coord)  # an axis has as many rows as the grid is long in one direction
     cells = axis.select(
@@ -148,37 +146,81 @@ def nearest_neighbour(
 
     Targets are in square buckets of ``width``; a point looks at its bucket and the ring
     around it, where a target up to ``width`` away is the true nearest.  Points that find
-    none go on with twice the width, until all have one.
+    none go down a pyramid of the targets' cells, from the coarsest, and leave out those that are farther away
+    than the farthest place of another; so far points don't meet all targets of a dense bucket.
     """
     usable = lambda d: d.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     side = usable(targets).select(F.col(target).alias("_t"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
     left = usable(points).select(*key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    distance = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    some, found = not side.isEmpty(), None
-    while some:
-        reach = width if within is None else min(width, within)
-        bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")  # noqa: B023, E731
-        asked = left.select(*key, "x", "y", F.explode(around).alias("_o")).select(
-            *key, "x", "y", (bucket("x") + F.col("_o.dx")).alias("_bx"), (bucket("y") + F.col("_o.dy")).alias("_by")
-        )
-        near = (
-            asked.join(side.withColumns({"_bx": bucket("_x"), "_by": bucket("_y")}), ["_bx", "_by"])
-            .withColumn("_d", distance)
-            .where(F.col("_d") <= reach)
-            .groupBy(*key)
-            .agg(F.min(F.struct("_d", "_t")).alias("_n"))
-        )
-        if within is None:
-            near = written(near, "nearest")
-        found = near if found is None else found.union(near)
-        if within is not None and width >= within:
-            break
-        left = written(left.join(near, list(key), "left_anti"), "left")
-        if left.isEmpty():
+    reach = width if within is None else min(width, within)
+    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    asked = left.select(*key, "x", "y", F.explode(around).alias("_o")).select(
+        *key, "x", "y", (bucket("x") + F.col("_o.dx")).alias("_bx"), (bucket("y") + F.col("_o.dy")).alias("_by")
+    )
+    near = (
+        asked.join(side.withColumns({"_bx": bucket("_x"), "_by": bucket("_y")}), ["_bx", "_by"])
+        .withColumn("_d", _apart())
+        .where(F.col("_d") <= reach)
+        .groupBy(*key)
+        .agg(F.min(F.struct("_d", "_t")).alias("_n"))
+    )
+    found = near
+    if within is None or within > width:
+        found = written(near, "nearest")
+        rest = written(left.join(found, list(key), "left_anti"), "left")
+        if not rest.isEmpty():
+            found = found.unionByName(_descend(rest, side, key, within))
+    return points.select(*key).join(found, list(key), "left").select(*key, F.col("_n._t").alias("nearest"), F.col("_n._d").alias("distance"))
+
+
+def _apart() -> Column:
+    return F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
+
+
+#: Halvings of the targets' extent along each axis, and targets of a cell that isn't divided any more.
+DEEPEST, FEW = 16, 32
+
+
+def _descend(points: DataFrame, targets: DataFrame, key: Sequence[str], within: float | None) -> DataFrame:
+    """(key, _n): distance and name of the nearest target of every point, by bounds of cells of targets."""
+    ends = targets.agg(F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y")).first()
+    kind = F.struct(F.lit(None).cast("double").alias("_d"), F.lit(None).cast(targets.schema["_t"].dataType).alias("_t")).alias("_n")
+    if ends[0] is None:
+        return points.select(*key, kind).limit(0)
+    span = max(ends[2] - ends[0], ends[3] - ends[1]) or 1.0
+    at = lambda c, low: F.least(F.floor((F.col(c) - F.lit(low)) / F.lit(span) * (1 << DEEPEST)), F.lit((1 << DEEPEST) - 1)).cast("int")
+    placed = written(targets.withColumns({"_cx": at("_x", ends[0]), "_cy": at("_y", ends[1])}), "targets")
+    box = [F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1")]
+    cells = placed.groupBy("_cx", "_cy").agg(F.count("*").alias("_m"), *box).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST))))
+    cells = cells.withColumns({"_cx": F.expr(f"shiftright(_cx, {DEEPEST} - _l)"), "_cy": F.expr(f"shiftright(_cy, {DEEPEST} - _l)")})
+    ends_of = [F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"), F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1")]
+    pyramid = written(cells.groupBy("_l", "_cx", "_cy").agg(F.sum("_m").alias("_m"), *ends_of), "pyramid")
+    out = lambda c, low, high: F.greatest(F.col(low) - F.col(c), F.col(c) - F.col(high), F.lit(0.0))
+    far = lambda c, low, high: F.greatest(F.abs(F.col(c) - F.col(low)), F.abs(F.col(c) - F.col(high)))
+    least = F.sqrt(out("x", "_x0", "_x1") ** 2 + out("y", "_y0", "_y1") ** 2)
+    most = F.sqrt(far("x", "_x0", "_x1") ** 2 + far("y", "_y0", "_y1") ** 2)
+    keep = [*key, "x", "y", "_l", "_cx", "_cy", "_m", "_least", "_most"]
+    top = pyramid.where("_l = 0").drop("_l", "_cx", "_cy")
+    every = points.withColumns({"_l": F.lit(0), "_cx": F.lit(0), "_cy": F.lit(0)}).join(F.broadcast(top.withColumn("_one", F.lit(0))), F.col("_l") == F.col("_one"))
+    now = every.withColumns({"_least": least, "_most": most}).select(keep)
+    for level in range(1, DEEPEST + 1):
+        many = now.where(F.col("_m") > FEW)
+        if many.isEmpty():
             break
-        width *= 2
+        below = pyramid.where(F.col("_l") == level).withColumns({"_px": F.shiftright("_cx", 1), "_py": F.shiftright("_cy", 1)})
+        parents = many.select(*key, "x", "y", F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
+        split = parents.join(below, ["_px", "_py"]).withColumns({"_least": least, "_most": most}).select(keep)
+        each = now.where(F.col("_m") <= FEW).unionByName(split).withColumn("_best", F.min("_most").over(Window.partitionBy(*key)))
+        limit = F.col("_best") * (1 + 1e-12) if within is None else F.least(F.col("_best") * (1 + 1e-12), F.lit(float(within)))
+        now = written(each.where(F.col("_least") <= limit).select(keep), "candidates")
+    found = None
+    for level in sorted(r[0] for r in now.select("_l").distinct().collect()):  # at most DEEPEST + 1
+        own = placed.withColumns({"_cx": F.shiftright("_cx", DEEPEST - level), "_cy": F.shiftright("_cy", DEEPEST - level)})
+        met = now.where(F.col("_l") == level).select(*key, "x", "y", "_cx", "_cy").join(own, ["_cx", "_cy"]).withColumn("_d", _apart())
+        met = met if within is None else met.where(F.col("_d") <= within)
+        one = met.groupBy(*key).agg(F.min(F.struct("_d", "_t")).alias("_n"))
+        found = one if found is None else found.unionByName(one)
     if found is None:
-        kind = side.schema["_t"].dataType.simpleString()
-        return points.select(*key, F.lit(None).cast(kind).alias("nearest"), F.lit(None).cast("double").alias("distance"))
-    return points.select(*key).join(found, list(key), "left").select(*key, F.col("_n._t").alias("nearest"), F.col("_n._d").alias("distance"))
+        return points.select(*key, kind).limit(0)
+    return found.groupBy(*key).agg(F.min("_n").alias("_n"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshlake.operators import cells, mesh
+from meshlake.operators import cells, mesh, sample
 from meshlake.operators.grid import RegularGrid
 
 
@@ -124,3 +124,19 @@ def test_heights_of_a_triangle_and_a_missing_layer(spark):
     points = spark.createDataFrame([(0, 0.25, 0.75, 1.0), (1, 0.75, 0.25, 1.5)], "key int, x double, y double, z double")
     got = {r.key: r.value for r in cells.sample_layered_grid(points, table.select("i", "j", "k", F.col("z").alias("value")), table, grid, ["key"]).collect()}
     assert got[0] == pytest.approx(2.5) and got[1] == pytest.approx(10 * (1.5 - 0.5) / 4)
+
+
+def test_far_points_go_down_the_pyramid(spark):
+    rng = np.random.default_rng(9)
+    b = np.r_[rng.normal(0, 1, (400, 2)), rng.normal(50, 0.01, (300, 2)), [[7.0, 7.0]] * 60]
+    a = np.r_[rng.uniform(-300, 300, (60, 2)), rng.normal(25, 8, (40, 2)), [[1e6, -1e6]]]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(a)], "k long, x double, y double")
+    targets = spark.createDataFrame([(t, float(x), float(y)) for t, (x, y) in enumerate(b)], "t long, x double, y double")
+    apart = np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1))
+    for within in (None, 40.0):
+        got = {r.k: (r.nearest, r.distance) for r in sample.nearest_neighbour(points, targets, ["k"], "t", 0.5, within).collect()}
+        for k in range(len(a)):
+            if within is None or apart[k].min() <= within:
+                assert got[k] == (int(np.flatnonzero(apart[k] == apart[k].min())[0]), pytest.approx(apart[k].min()))
+            else:
+                assert got[k] == (None, None)

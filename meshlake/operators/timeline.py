@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+
 
 #: Rows of one series that one sort should hold, about.
 ROWS = 50_000
@@ -15,17 +17,18 @@ ROWS = 50_000
 def _around(rows: DataFrame, by: Sequence[str], time: str, step: Column) -> DataFrame:
     """Adds ``_b`` and ``_a``: the last ``step`` at or before each row's time and the first at or after it.
 
-    A series is cut into stretches of equal duration, so that no task sorts a long one
-    whole; ``step`` is carried forwards and backwards inside a stretch, and each stretch
-    gets the nearest steps outside it.  Both passes are running aggregates.
+    Long series are cut into stretches of about equally many rows, by range partitions of their times, so that no
+    task sorts a long one whole and a burst is spread; ``step`` is carried forwards and backwards inside a stretch, and
+    each stretch gets the nearest steps outside it.  Both passes are running aggregates.
     """
     seconds = F.col(time).cast("double")
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(seconds).alias("lo"), F.max(seconds).alias("hi"))
-    most = sizes.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    many = max(1, (most["n"] or 0) // ROWS)
-    span = (most["hi"] - most["lo"]) / many if most["n"] and most["lo"] is not None else 0.0
-    stretch = F.floor((seconds - F.lit(most["lo"])) / F.lit(span)).cast("long") if span > 0 else F.lit(0).cast("long")
-    cut = rows.withColumns({"_step": step, "_cut": stretch})
+    most = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
+    long = (most["n"] or 0) > ROWS
+    cut = rows.withColumns({"_step": step, "_cut": F.lit(0)})
+    if long:
+        # Equal times share a stretch; the numbers are written, so that both uses see the same.
+        ranged = rows.withColumn("_step", step).repartitionByRange(-(-most["all"] // ROWS), seconds)
+        cut = written(ranged.withColumn("_cut", F.when(seconds.isNotNull(), F.spark_partition_id())), "stretches")
     own = Window.partitionBy(*by, "_cut")
     so_far = lambda order: own.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = cut.withColumns(
@@ -34,7 +37,7 @@ def _around(rows: DataFrame, by: Sequence[str], time: str, step: Column) -> Data
             "_a": F.last("_step", ignorenulls=True).over(so_far(F.col(time).desc())),
         }
     )
-    if span <= 0:
+    if not long:
         return inside.drop("_step", "_cut")
     names = [f"_by{i}" for i in range(len(by))]
     ends = cut.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names)], F.col("_cut").alias("_of")).agg(F.min("_step").alias("_first"), F.max("_step").alias("_last"))

@@ -555,6 +555,19 @@ def biased_seeds(candidates: DataFrame, value: str, n: int, lowest: bool = False
     return candidates.where(F.col(value).isNotNull()).orderBy(order, tie).limit(n)
 
 
+def biased_rake(values: DataFrame, grid: RegularGrid, low: Sequence[float], high: Sequence[float], n: int, bias: float, seed: int = 32) -> DataFrame:
+    """n random seeds of a box that prefer large (``bias`` above 0) or small values of a variable: the best of
+    (abs(bias) + 1) n that are drawn.  Those where the variable is missing don't count."""
+    from .sample import sample_linear
+
+    spark = values.sparkSession
+    drawn = random_rake(spark, low, high, math.ceil((abs(bias) + 1) * n), seed)
+    if not bias:
+        return drawn
+    met = drawn.join(sample_linear(drawn, values, grid, ["seed"], "_value"), "seed")
+    return biased_seeds(met, "_value", n, bias < 0).drop("_value")
+
+
 def reinjected(seeds: DataFrame, steps: DataFrame, every: int) -> DataFrame:
     """Seeds once more at every n-th time step."""
     return seeds.join(F.broadcast(steps.where(F.col("ts") % every == 0)))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.atmosphere import terrain_elevation
 from ..operators import mesh as faces
 from ..plans.catalog import Dataset, Mesh, Variable
 from ..plans.scratch import written
@@ -537,7 +538,9 @@ def open_wrf(spark: SparkSession, path: str | Sequence[str]) -> Dataset:
     """A dataset of files of the regional weather model with staggered axes.
 
     Horizontal coordinates are ``XLONG`` and ``XLAT`` at the first step; for staggered axes
-    (``_U``, ``_V``) they are the files' own or mid-points of these, extended at the ends.
+    (``_U``, ``_V``) they are the files' own or mid-points of these, extended at the ends.  Heights are made
+    from the geopotential, ``PH`` and ``PHB``: ``ElevationW`` on its own levels, ``Elevation`` half-way between them, and from
+    that ``ElevationU`` and ``ElevationV`` on the staggered axes.
     """
     from ..operators import stencil
 
@@ -573,9 +576,36 @@ def open_wrf(spark: SparkSession, path: str | Sequence[str]) -> Dataset:
         if mesh not in out.meshes:
             out.add_mesh(Mesh(mesh, dims, places.get(dims[:2], ())), files.sizes(n))
         _add(out, files, n, mesh, "data")
+    if {"PH", "PHB"} <= set(files.variables):
+        _elevations(out, files)
     return out
 
 
+def _elevations(out: Dataset, files: Collection) -> None:
+    from ..operators import stencil
+
+    i, j, k = reversed(files.sizes("PH"))
+    half = k.removesuffix("_stag")
+
+    def upper() -> DataFrame:
+        keys = [c for c in ("ts", *"ijk") if c in files.table("PH").columns]
+        both = files.table("PH").join(files.table("PHB").withColumnRenamed("value", "_base"), keys)
+        return both.select(*keys, terrain_elevation(F.col("value"), F.col("_base")).alias("value"))
+
+    middle = lambda: stencil.unstagger(upper(), "k")
+    made = {
+        "ElevationW": ((i, j, k), upper), "Elevation": ((i, j, half), middle),
+        "ElevationU": ((f"{i}_stag", j, half), lambda: stencil.stagger(middle(), "i", out.dimensions[i])),
+        "ElevationV": ((i, f"{j}_stag", half), lambda: stencil.stagger(middle(), "j", out.dimensions[j])),
+    }
+    for name, (dims, make) in made.items():
+        if set(dims) <= set(out.dimensions):
+            mesh = "_".join(dims)
+            if mesh not in out.meshes:
+                out.add_mesh(Mesh(mesh, dims), {d: out.dimensions[d] for d in dims})
+            out.add_variable(Variable(name, mesh, "coordinate", "m", files.varies("PH"), derived=True, inputs=("PH", "PHB")), make)
+
+
 def convert(spark: SparkSession, path: str | Sequence[str], target: str, blocks: int = 64, opened=open_cf) -> list[str]:
     """Writes every data variable of the files to the native store; their names.  A second run gives the same store."""
     data = opened(spark, path)

@@ -319,6 +319,17 @@ def test_large_fields_stay_in_tables(spark, monkeypatch):
     assert field.first_step() == pytest.approx(flow.Field(g, [0.0], [np.full((1, 4, 4), a) for a in (3.0, 4.0)]).first_step())
 
 
+def test_seeds_that_prefer_large_values(spark):
+    g = RegularGrid((5, 5), (0.0, 0.0), (4.0, 4.0))
+    values = from_numpy(spark, np.arange(25.0).reshape(5, 5))
+    value = lambda r: r.x + 5 * r.y
+    every = sorted(value(r) for r in flow.random_rake(spark, (0.0, 0.0), (4.0, 4.0), 40).collect())
+    for bias, want in ((3, every[-10:]), (-3, every[:10])):
+        got = sorted(value(r) for r in flow.biased_rake(values, g, (0.0, 0.0), (4.0, 4.0), 10, bias).collect())
+        assert got == pytest.approx(want)
+    assert flow.biased_rake(values, g, (0.0, 0.0), (4.0, 4.0), 10, 0).count() == 10
+
+
 def test_property_between_steps(spark):
     g = RegularGrid((3, 3), (0.0, 0.0), (2.0, 2.0))
     values = component(spark, np.stack([np.full((3, 3), v) for v in (1.0, 5.0, 6.0)]))

@@ -316,16 +316,23 @@ def test_voronoi_meshes(spark, tmp_path):
 def test_regional_model(spark, tmp_path):
     times = np.array([list("2005-08-28_00:00:00"), list("2005-08-28_06:00:00")], "S1")
     lon = np.array([[[0.0, 2.0, 4.0], [0.0, 2.0, 4.0]]] * 2)
+    ph = np.arange(36.0).reshape(2, 3, 2, 3) * 9.81
     spec = [
+        ("PH", ["Time", "bottom_top_stag", "south_north", "west_east"], ph, {}), ("PHB", ["Time", "bottom_top_stag", "south_north", "west_east"], ph * 0 + 9.81, {}),
         ("Times", ["Time", "DateStrLen"], times, {}), ("XLONG", ["Time", "south_north", "west_east"], lon, {}), ("XLAT", ["Time", "south_north", "west_east"], lon + 5, {}),
         ("U", ["Time", "south_north", "west_east_stag"], np.arange(16.0).reshape(2, 2, 4), {"units": "m s-1"}), ("T2", ["Time", "south_north", "west_east"], lon, {"units": "K"}),
     ]
-    (tmp_path / "wrfout").write_bytes(encoded(2, {"Time": 0, "DateStrLen": 19, "west_east": 3, "south_north": 2, "west_east_stag": 4}, 2, spec, {}))
+    (tmp_path / "wrfout").write_bytes(encoded(2, {"Time": 0, "DateStrLen": 19, "west_east": 3, "south_north": 2, "west_east_stag": 4, "bottom_top": 2, "bottom_top_stag": 3}, 2, spec, {}))
     data = netcdf.open_wrf(spark, str(tmp_path))
-    assert data.times[1] - data.times[0] == 6 * 3600.0 and data.names() == ["T2", "U"]
+    assert data.times[1] - data.times[0] == 6 * 3600.0 and data.names() == ["PH", "PHB", "T2", "U"]
     assert data.meshes[data.variables["U"].mesh].coordinates == ("XLONG_U", "XLAT_U") and data.shape("U") == (4, 2)
     assert values_of(data.variable("XLONG_U").where("j = 0"), "i") == {(0,): -1.0, (1,): 1.0, (2,): 3.0, (3,): 5.0}
     assert values_of(data.variable("U", 1, [(3, 3), (0, 0)]), "i", "j") == {(3, 0): 11.0}
+    heights = {n: values_of(data.variable(n).where("j = 1"), "i", "k") for n in ("ElevationW", "Elevation", "ElevationU")}
+    assert heights["ElevationW"] == pytest.approx({(i, k): 6 * k + 3 + i + 1 for i in range(3) for k in range(3)})
+    assert heights["Elevation"] == pytest.approx({(i, k): 6 * k + 3 + 3 + i + 1 for i in range(3) for k in range(2)})
+    assert heights["ElevationU"] == pytest.approx({(i, k): 6 * k + 3 + 3 + i + 0.5 for i in range(4) for k in range(2)})
+    assert data.shape("ElevationU") == (4, 2, 2) and "ElevationV" not in data.variables
 
 
 def test_written_files_come_back(spark, tmp_path):

@@ -29,6 +29,8 @@ RUNAWAY = 10_000
 ROWS, TOGETHER = 500_000, 20_000
 #: Cells of a block along each axis.
 BLOCK = 64
+#: Samples that are dealt to blocks together.
+PIECE = 500_000
 
 
 class Field:
@@ -114,11 +116,27 @@ class Field:
         return diagonal / (speed * math.sqrt(sum(n * n for n in self.grid.n))) if speed > 0 else 1.0
 
 
+def _together(batches, rows: int):
+    """Record batches as tables of about so many rows."""
+    import pyarrow as pa
+
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held)
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held)
+
+
 class StoredField:
     """A velocity field in tables (ts, i, j, k, value), a table for each component, of any size."""
 
-    def __init__(self, grid: RegularGrid, parts: Sequence[DataFrame], times: Sequence[float] = (0.0,), multiplier: float = 1.0, block: int = BLOCK):
-        self.grid, self.tables, self.times, self.multiplier, self.block = grid, list(parts), list(times), multiplier, block
+    def __init__(self, grid: RegularGrid, parts: Sequence[DataFrame], times: Sequence[float] = (0.0,), multiplier: float = 1.0, block: int | Sequence[int] = BLOCK):
+        self.grid, self.tables, self.times, self.multiplier = grid, list(parts), list(times), multiplier
+        self.block = (block,) * len(grid.n) if isinstance(block, int) else tuple(block)
         self._blocks: DataFrame | None = None
 
     @property
@@ -127,7 +145,7 @@ class StoredField:
 
     def counts(self) -> list[int]:
         """Blocks along each axis."""
-        return [max(1, -(-(n - 1) // self.block)) for n in self.grid.n]
+        return [max(1, -(-(n - 1) // b)) for n, b in zip(self.grid.n, self.block)]
 
     def empty(self) -> Field:
         """The geometry without samples."""
@@ -136,52 +154,84 @@ class StoredField:
     def place_of(self, key: int) -> tuple[int, list[int]]:
         """The step and the first sample of a block by its number."""
         origin = []
-        for n in self.counts():
+        for n, size in zip(self.counts(), self.block):
             key, b = divmod(key, n)
-            origin.append(b * self.block)
+            origin.append(b * size)
         return key, origin
 
     def blocks(self) -> DataFrame:
         """(key, samples): the blocks with the samples of all components, at the two steps of their stretch of time; written once."""
         if self._blocks is None:
-            axes, counts, size = self.grid.axes, self.counts(), self.block
+            axes = self.grid.axes
             long = None
             for a, part in enumerate(self.tables):
                 step = F.col("ts") if "ts" in part.columns else F.lit(0)
                 one = part.select(F.lit(a).alias("_a"), step.cast("int").alias("_t"), *[F.col(x).cast("int").alias(x) for x in axes], F.col("value").cast("double").alias("value"))
                 long = one if long is None else long.unionByName(one)
-            steps = F.array(F.lit(0)) if self.steady else F.array_distinct(F.array(F.greatest(F.col("_t") - 1, F.lit(0)), F.least(F.col("_t"), F.lit(len(self.times) - 2))))
-            rows = long.withColumn("_s", F.explode(steps))
-            key = F.col("_s").cast("long")
-            for a in reversed(range(len(axes))):
-                i, last = F.col(axes[a]), max(self.grid.n[a] - 2, 0)
-                both = F.array_distinct(F.array(*[F.floor(F.least(F.greatest(x, F.lit(0)), F.lit(last)) / size) for x in (i - 1, i)]))
-                rows = rows.withColumn(f"_b{a}", F.explode(both))
-                key = key * counts[a] + F.col(f"_b{a}")
-            rows = rows.select(key.alias("key"), "_a", (F.col("_t") - F.col("_s")).alias("_t"), *axes, "value")
+            plain, parts = StoredField(self.grid, [], self.times, self.multiplier, self.block), len(self.tables)
+
+            def pieces(batches):
+                for some in _together(batches, PIECE):
+                    yield plain.pieces(some, parts)
 
             def run(key, group):
                 import pyarrow as pa
 
                 number = key[0].as_py()
-                _, origin = self_place(number)
-                shape = [min(size + 1, n - o) for n, o in zip(self_n, origin)]
-                out = np.full((self_steps, self_parts, *reversed(shape)), np.nan)
-                index = [group.column(c).to_numpy() for c in ("_t", "_a")] + [group.column(x).to_numpy() - o for x, o in reversed(list(zip(axes, origin)))]
-                out[tuple(index)] = group.column("value").to_numpy()
+                out = np.full(plain.samples_of(number, parts), np.nan)
+                for places, values in zip(group.column("places"), group.column("values")):
+                    out[np.frombuffer(places.as_py(), np.int64)] = np.frombuffer(values.as_py())
                 return pa.table({"key": pa.array([number], pa.int64()), "samples": pa.array([out.tobytes()], pa.binary())})
 
-            self_n, self_parts, self_steps = self.grid.n, len(self.tables), 1 if self.steady else 2
-            plain = StoredField(self.grid, [], self.times, self.multiplier, size)
-            self_place = plain.place_of
-            made = rows.groupBy("key").applyInArrow(run, "key long, samples binary")
-            self._blocks = scratch.written(made.repartitionByRange("key").sortWithinPartitions("key"), "field")
+            made = long.mapInArrow(pieces, "key long, places binary, values binary").groupBy("key").applyInArrow(run, "key long, samples binary")
+            self._blocks = scratch.written(made, "field")
         return self._blocks
 
+    def samples_of(self, key: int, parts: int) -> int:
+        """Samples of a block, of all components and steps."""
+        return (1 if self.steady else 2) * parts * math.prod(self.shape_of(key))
+
+    def pieces(self, rows, parts: int):
+        """Rows (_a, _t, i, j, k, value) as record batch (key, places, values): what they have of each block, and where."""
+        import pyarrow as pa
+
+        n, d = self.grid.n, len(self.grid.n)
+        time, part = (rows.column(c).to_numpy().astype(np.int64) for c in ("_t", "_a"))
+        at = [rows.column(x).to_numpy().astype(np.int64) for x in self.grid.axes]
+        value = rows.column("value").to_numpy()
+        # A sample is in one block, or on the border of two, along each axis; and in one or two stretches of time.
+        listed = []
+        for back in (0, 1):
+            last = max(len(self.times) - 2, 0)
+            start = np.clip(time - back, 0, last)
+            new = np.flatnonzero(start != np.clip(time, 0, last)) if back else np.arange(len(time))
+            listed.append((new, start[new]))
+        row, key = (np.concatenate(x) for x in zip(*listed))
+        place = (time[row] - key) * parts + part[row]
+        for a in reversed(range(d)):
+            last, size = max(n[a] - 2, 0), self.block[a]
+            own = np.clip(at[a][row], 0, last) // size
+            before = np.clip(at[a][row] - 1, 0, last) // size
+            shared = np.flatnonzero(before != own)
+            block = np.concatenate([own, before[shared]])
+            row, key, place = (np.concatenate([x, x[shared]]) for x in (row, key, place))
+            key = key * self.counts()[a] + block
+            place = place * np.minimum(size + 1, n[a] - block * size) + at[a][row] - block * size
+        order = np.argsort(key, kind="stable")
+        key, place, value = key[order], place[order], value[row[order]]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        ends = np.append(first, len(key))
+        cut = [pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()) for x in (place, value)]
+        return pa.RecordBatch.from_arrays([pa.array(key[first]), *cut], ["key", "places", "values"])
+
+    def shape_of(self, key: int) -> list[int]:
+        """Samples of a block along each axis."""
+        return [min(b + 1, n - o) for b, n, o in zip(self.block, self.grid.n, self.place_of(key)[1])]
+
     def opened(self, key: int, samples: bytes, parts: int) -> Field:
         """The field of a block."""
         step, origin = self.place_of(key)
-        shape = [min(self.block + 1, n - o) for n, o in zip(self.grid.n, origin)]
+        shape = self.shape_of(key)
         data = np.frombuffer(samples).reshape(1 if self.steady else 2, parts, *reversed(shape))
         return Field(self.grid, self.times, [data[:, a] for a in range(parts)], self.multiplier, origin, step)
 
@@ -191,7 +241,7 @@ class StoredField:
         cell, _ = geometry.cells(place)
         key = geometry.stretch(time).astype(np.int64)
         for a in reversed(range(len(counts))):
-            key = key * counts[a] + cell[a] // self.block
+            key = key * counts[a] + cell[a] // self.block[a]
         return key
 
     def first_step(self, samples: int = 10) -> float:
@@ -495,9 +545,7 @@ def _routed(seeds: DataFrame, field: StoredField, dt, steps, until, start, fixed
         if block.num_rows:
             own = plain.opened(number, block.column("samples")[0].as_py(), n_parts)
         else:  # the tables have nothing there
-            step, origin = plain.place_of(number)
-            shape = [min(plain.block + 1, n - o) for n, o in zip(plain.grid.n, origin)]
-            own = Field(plain.grid, plain.times, [np.full((1 if plain.steady else 2, *reversed(shape)), np.nan)] * n_parts, plain.multiplier, origin, step)
+            own = plain.opened(number, np.full(plain.samples_of(number, n_parts), np.nan).tobytes(), n_parts)
         state = np.stack(particles.column("state").to_numpy())
         moving = Particles.unpacked(state, d)
         known = lambda time, place: (plain.keys(time, place) == number) | ~own.inside(place, time)
@@ -518,13 +566,16 @@ def _routed(seeds: DataFrame, field: StoredField, dt, steps, until, start, fixed
     kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.float64()] * (d + 1), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.float64())]
     state = scratch.written(seeds.mapInArrow(begin, state_schema), "particles")
     rounds, done = [], 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     while not state.isEmpty():
         # Blocks go to as many tasks as their particles need.
         many = state.groupBy("key").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_n"))
         sent = state.join(many, "key").withColumn("_part", F.pmod(F.xxhash64("stream"), F.col("_n")).cast("int")).drop("_n")
-        met = many.join(blocks, "key", "left").select(F.col("key").alias("_key"), "samples", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_slice"))
+        met = _slices(many, blocks)
         path = f"{base}/{done:06d}"
-        sent.groupBy("key", "_part").cogroup(met.groupBy("_key", "_slice")).applyInArrow(advance, schema).write.partitionBy("kind").parquet(path)
+        # As few bytes as they are, rows of one partition would be one task's work.
+        deal = sent.repartition(tasks, "key", "_part").groupBy("key", "_part").cogroup(met.repartition(tasks, "_key", "_slice").groupBy("_key", "_slice"))
+        deal.applyInArrow(advance, schema).write.partitionBy("kind").parquet(path)
         rounds.append(path)
         done += 1
         state = spark.read.schema(schema).option("basePath", path).parquet(path).where("kind = 1").select("stream", "key", "state")
@@ -533,6 +584,16 @@ def _routed(seeds: DataFrame, field: StoredField, dt, steps, until, start, fixed
     return spark.read.schema(schema.removeprefix("kind int, ")).parquet(f"{base}/*/kind=0").select(_names(axes))
 
 
+def _slices(many: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(_key, samples, _slice): the blocks of particles (key, _n), once for each of their _n tasks.
+
+    The numbers are broadcast, a row for each block; the samples never are, however small their files: constant samples
+    of any size take few bytes there, and would go whole through the driver.
+    """
+    met = blocks.join(F.broadcast(many), "key")
+    return met.select(F.col("key").alias("_key"), "samples", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_slice"))
+
+
 def bidirectional(seeds: DataFrame, field: Field, dt: float, **options) -> DataFrame:
     """Forward traces and backward ones, the latter with negative steps."""
     forward = advect(seeds, field, abs(dt), **options)

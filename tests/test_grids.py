@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -362,3 +363,15 @@ def test_nearest_neighbour_at_any_distance(spark):
     assert all(got[k][0] == apart[k].argmin() and np.isclose(got[k][1], apart[k].min()) for k in got)
     none = sample.nearest_neighbour(points, targets.limit(0), ["k"], "t", 1.0).collect()
     assert len(none) == len(a) + 1 and all(r.nearest is None for r in none)
+
+
+def test_samples_of_blocks_are_never_broadcast(spark):
+    """Constant samples are files of few bytes, and large in memory."""
+    grid = RegularGrid((40, 40), (0.0, 0.0), (39.0, 39.0))
+    table = spark.range(1600).select((F.col("id") % 40).cast("int").alias("i"), F.floor(F.col("id") / 40).cast("int").alias("j"), F.lit(1.0).alias("value"))
+    stored = flow.StoredField(grid, [table, table], block=8)
+    many = spark.createDataFrame([(0, 2), (7, 1)], "key long, _n int")
+    met = flow._slices(many, stored.blocks())
+    plan = met._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "BroadcastExchange" in plan and not re.search(r"BroadcastExchange\s+Input \[\d+\]: \[.*samples", plan)
+    assert sorted((r._key, r._slice, len(r.samples)) for r in met.collect()) == [(0, 0, 9 * 9 * 16), (0, 1, 9 * 9 * 16), (7, 0, 9 * 9 * 16)]

@@ -27,8 +27,8 @@ IN_MEMORY = 2_000_000
 RUNAWAY = 10_000
 #: Rows of traces that are held before they are passed on; particles of a block in one task.
 ROWS, TOGETHER = 500_000, 20_000
-#: Cells of a block along each axis.
-BLOCK = 64
+#: Cells of a block of a field.
+BLOCK = 64**3
 #: Samples that are dealt to blocks together.
 PIECE = 500_000
 
@@ -116,6 +116,28 @@ class Field:
         return diagonal / (speed * math.sqrt(sum(n * n for n in self.grid.n))) if speed > 0 else 1.0
 
 
+def even_block(grid: RegularGrid, cells: int | None = None) -> tuple[int, ...]:
+    """Cells of a block along each axis: about ``BLOCK`` in all and equally long sides, as far as the grid is as long.
+
+    A particle leaves a block of equal sides after as many steps in any direction, so the rounds are few, also where
+    the samples are much closer along one axis than along another.
+    """
+    size, left = {}, float(cells or BLOCK)
+    free = [a for a in range(len(grid.n)) if grid.n[a] > 1]
+    while free:
+        delta = {a: grid.delta(a) or 1.0 for a in free}
+        side = (left * math.prod(delta.values())) ** (1 / len(free))
+        short = [a for a in free if side / delta[a] >= grid.n[a] - 1 or side < delta[a]]
+        if not short:
+            size |= {a: int(side / delta[a]) for a in free}
+            break
+        a = max(short, key=lambda a: max(side / delta[a] / (grid.n[a] - 1), delta[a] / side))
+        size[a] = grid.n[a] - 1 if side / delta[a] >= grid.n[a] - 1 else 1
+        left = max(1.0, left / size[a])
+        free.remove(a)
+    return tuple(size.get(a, 1) for a in range(len(grid.n)))
+
+
 def _together(batches, rows: int):
     """Record batches as tables of about so many rows."""
     import pyarrow as pa
@@ -134,9 +156,9 @@ def _together(batches, rows: int):
 class StoredField:
     """A velocity field in tables (ts, i, j, k, value), a table for each component, of any size."""
 
-    def __init__(self, grid: RegularGrid, parts: Sequence[DataFrame], times: Sequence[float] = (0.0,), multiplier: float = 1.0, block: int | Sequence[int] = BLOCK):
+    def __init__(self, grid: RegularGrid, parts: Sequence[DataFrame], times: Sequence[float] = (0.0,), multiplier: float = 1.0, block: int | Sequence[int] | None = None):
         self.grid, self.tables, self.times, self.multiplier = grid, list(parts), list(times), multiplier
-        self.block = (block,) * len(grid.n) if isinstance(block, int) else tuple(block)
+        self.block = (block,) * len(grid.n) if isinstance(block, int) else tuple(block or even_block(grid))
         self._blocks: DataFrame | None = None
 
     @property
@@ -267,7 +289,7 @@ class StoredField:
         return math.dist(g.low, g.high) / (fastest * math.sqrt(sum(n * n for n in g.n))) if fastest > 0 else 1.0
 
 
-def field_from_tables(grid: RegularGrid, parts: Sequence[DataFrame], times: Sequence[float] = (0.0,), multiplier: float = 1.0, block: int = BLOCK) -> Field | StoredField:
+def field_from_tables(grid: RegularGrid, parts: Sequence[DataFrame], times: Sequence[float] = (0.0,), multiplier: float = 1.0, block: int | Sequence[int] | None = None) -> Field | StoredField:
     """A field of component tables (ts, i, j, k, value): in memory if it is small, else in its tables."""
     shape = (len(times), *reversed(grid.n))
     if math.prod(shape) * len(parts) > IN_MEMORY:

@@ -375,3 +375,24 @@ def test_samples_of_blocks_are_never_broadcast(spark):
     plan = met._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "BroadcastExchange" in plan and not re.search(r"BroadcastExchange\s+Input \[\d+\]: \[.*samples", plan)
     assert sorted((r._key, r._slice, len(r.samples)) for r in met.collect()) == [(0, 0, 9 * 9 * 16), (0, 1, 9 * 9 * 16), (7, 0, 9 * 9 * 16)]
+
+
+@pytest.mark.parametrize("n, high", [((64, 720000), (120.0, 120.0)), ((500, 500, 500), (1.0, 1.0, 1.0)), ((10**5, 10**5), (1.0, 1000.0)), ((4, 5), (1.0, 1.0)), ((1, 10**6), (0.0, 1.0))])
+def test_sides_of_blocks_are_equally_long(n, high):
+    """Traces across samples that are close along one axis would change their block many times a step."""
+    grid = RegularGrid(n, (0.0,) * len(n), high)
+    block = flow.StoredField(grid, []).block
+    assert math.prod(block) <= flow.BLOCK and all(1 <= b <= max(m - 1, 1) for b, m in zip(block, n))
+    free = [a for a in range(len(n)) if 1 < block[a] < n[a] - 1]
+    sides = [block[a] * grid.delta(a) for a in free]
+    assert not sides or max(sides) < 1.2 * min(sides)
+
+
+def test_a_trace_across_close_samples_takes_few_rounds(spark, monkeypatch):
+    grid = RegularGrid((5, 1000), (0.0, 0.0), (100.0, 100.0))
+    table = spark.range(5000).select((F.col("id") % 5).cast("int").alias("i"), F.floor(F.col("id") / 5).cast("int").alias("j"), F.lit(1.0).alias("value"))
+    rounds, slices = [], flow._slices
+    monkeypatch.setattr(flow, "_slices", lambda many, blocks: rounds.append(1) or slices(many, blocks))
+    seeds = spark.createDataFrame([(1, 5.0, 5.0)], "seed long, x double, y double")
+    out = flow.advect(seeds, flow.StoredField(grid, [table, table]), 8.0, steps=10, fixed=True)
+    assert out.agg(F.max("x"), F.max("y")).first() == (pytest.approx(85.0), pytest.approx(85.0)) and len(rounds) < 4

@@ -168,7 +168,7 @@ def _cone(lat_0: float, lat_1: float, lat_2: float, r: float) -> tuple[float, fl
 def lambert(lon: Column, lat: Column, lon_0: float, lat_0: float, lat_1: float, lat_2: float, r: float = EARTH_RADIUS) -> tuple[Column, Column]:
     n, f, rho0 = _cone(lat_0, lat_1, lat_2, r)
     rho = F.lit(f) / F.pow(F.tan(F.radians(lat) / 2 + math.pi / 4), F.lit(n))
-    theta = F.radians(lon - lon_0) * n
+    theta = F.radians(_turned(lon - lon_0)) * n  # a turn around the earth is none around the cone
     return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
 
 
@@ -177,7 +177,7 @@ def lambert_inverse(x: Column, y: Column, lon_0: float, lat_0: float, lat_1: flo
     sign = math.copysign(1.0, n)
     rho = F.sqrt(x * x + (F.lit(rho0) - y) ** 2) * sign
     theta = F.atan2(x * sign, (F.lit(rho0) - y) * sign)
-    return F.degrees(theta / n) + lon_0, F.degrees(2 * F.atan(F.pow(F.lit(f) / rho, F.lit(1 / n))) - math.pi / 2)
+    return _turned(F.degrees(theta / n) + lon_0), F.degrees(2 * F.atan(F.pow(F.lit(f) / rho, F.lit(1 / n))) - math.pi / 2)
 
 
 def stereographic(lon: Column, lat: Column, lon_0: float = 0.0, lat_0: float = 90.0, lat_ts: float | None = None, r: float = EARTH_RADIUS) -> tuple[Column, Column]:
@@ -201,6 +201,11 @@ def _turned(lon: Column) -> Column:
     return F.when(lon.between(-180.0, 180.0), lon).otherwise(lon - F.floor((lon + 180.0) / 360.0) * 360.0)
 
 
+def same_longitude(a: Column, b: Column, within: float) -> Column:
+    """Whether two longitudes are at most so many degrees apart, whole turns aside."""
+    return F.abs(_turned(a - b)) < within
+
+
 def rotated(lon: Column, lat: Column, pole_lat: float, pole_lon: float, lon_0: float = 0.0) -> tuple[Column, Column]:
     """Longitude and latitude, in degrees, on a sphere turned so that its pole is at ``pole_lat``; ``pole_lon`` is
     added to turned longitudes, ``lon_0`` is the meridian that is taken from the given ones."""

@@ -100,13 +100,13 @@ def _(spark, sf):
 
 @query("f13_round_trips", "SELECT event_id, round(value / 3 - 80, 5) AS lon, round(CAST(user_id % 70 + 5 AS DOUBLE), 5) AS lat, 3 AS agree FROM events")
 def _(spark, sf):
-    """Three projections forward and back give the place they began with."""
+    """Three projections forward and back give the place they began with; some events lie past 180 degrees, where they come back as less."""
     rows = table(spark, sf, "events").select("event_id", (F.col("value") / 3 - 80).alias("lon"), (F.col("user_id") % 70 + 5).cast("double").alias("lat"))
     agree = F.lit(0)
     for text in ("+proj=stere +lon_0=-98 +lat_0=90 +lat_ts=60", ROTATED, "+proj=lcc +lon_0=-98 +lat_0=40 +lat_1=30 +lat_2=50"):
         forward, inverse = scalar.projection(text)
         lon, lat = inverse(*forward(F.col("lon"), F.col("lat")))
-        agree = agree + ((F.abs(lon - F.col("lon")) < 1e-6) & (F.abs(lat - F.col("lat")) < 1e-6)).cast("int")
+        agree = agree + (scalar.same_longitude(lon, F.col("lon"), 1e-6) & (F.abs(lat - F.col("lat")) < 1e-6)).cast("int")
     return rows.select("event_id", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), agree.alias("agree"))
 
 

@@ -8,6 +8,8 @@ from meshlake.functions import scalar
 from meshlake.operators import codec, stats, stencil
 from meshlake.plans.catalog import Dataset, Mesh, Variable
 from meshlake.plans.registry import Registry
+from meshlake.queries import QUERIES
+from meshlake.queries_functions import CROSS  # noqa: F401  registers the queries
 from meshlake.sources.tables import from_numpy
 
 
@@ -129,3 +131,15 @@ def test_attributes(spark):
     b.copy_attributes(a, "")
     assert b.attribute("v", "units") == "K" and b.attribute("", "title") == "x" and b.attribute("v", "other") is None
     assert {tuple(r) for r in b.attribute_table().collect()} == {("", "title", "x"), ("v", "units", "K")}
+
+
+def test_round_trips_past_the_date_line(spark, tmp_path):
+    """Values of larger tables reach longitudes above 180, and such as are more than half a turn from a projection's meridian."""
+    rows = spark.range(4000).select(F.col("id").alias("event_id"), (F.col("id") * 0.73).alias("value"), (F.col("id") % 83).alias("user_id"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["f13_round_trips"](spark, str(tmp_path))
+    assert out.where("agree <> 3 or agree is null").count() == 0 and out.where("lon > 180").count() > 2000
+    forward, inverse = scalar.projection("+proj=lcc +lon_0=-98 +lat_0=40 +lat_1=30 +lat_2=50")
+    place = lambda lon: inverse(*forward(F.lit(lon), F.lit(20.0)))[0]
+    got = spark.range(1).select(place(190.0), place(100.0), place(-300.0)).first()
+    assert list(got) == pytest.approx([-170.0, 100.0, 60.0])

@@ -145,28 +145,36 @@ def nearest_neighbour(
     with none ``within`` that distance, if it is given.
 
     Targets are in square buckets of ``width``; a point looks at its bucket and the ring
-    around it, where a target up to ``width`` away is the true nearest.  Points that find
-    none go down a pyramid of the targets' cells, from the coarsest, and leave out those that are farther away
+    around it, where a target up to ``width`` away is the true nearest.  Where these nine hold more than ``CROWD`` targets,
+    buckets of half the width serve, and so on: a point meets no more targets in a denser table.  Of targets at one place the least stands
+    for all.  Points that find none go down a pyramid of the targets' cells, from the coarsest, and leave out those that are farther away
     than the farthest place of another; so far points don't meet all targets of a dense bucket.
     """
     usable = lambda d: d.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     side = usable(targets).select(F.col(target).alias("_t"), F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    side = written(side.groupBy("_x", "_y").agg(F.min("_t").alias("_t")), "places")
     left = usable(points).select(*key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    crowded = _crowded(side, width)
+    # The first lattice that isn't crowded around a point; crowded around it at each coarser one.
+    asked = left.withColumn("_h", F.lit(0))
+    for h, cells in enumerate(crowded):
+        at = {"_bx": _bucket("x", width, h), "_by": _bucket("y", width, h)}
+        on = cells.withColumns({"_h": F.lit(h), "_more": F.lit(1)})
+        asked = asked.withColumns(at).join(on, ["_h", "_bx", "_by"], "left").withColumn("_h", F.col("_h") + F.coalesce("_more", F.lit(0))).drop("_bx", "_by", "_more")
+    if crowded:
+        asked = written(asked, "asked")
+    deepest = len(crowded) - (len(crowded) == HALVINGS)  # what is crowded still goes down the pyramid
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    reach = width if within is None else min(width, within)
-    bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    asked = left.select(*key, "x", "y", F.explode(around).alias("_o")).select(
-        *key, "x", "y", (bucket("x") + F.col("_o.dx")).alias("_bx"), (bucket("y") + F.col("_o.dy")).alias("_by")
-    )
-    near = (
-        asked.join(side.withColumns({"_bx": bucket("_x"), "_by": bucket("_y")}), ["_bx", "_by"])
-        .withColumn("_d", _apart())
-        .where(F.col("_d") <= reach)
-        .groupBy(*key)
-        .agg(F.min(F.struct("_d", "_t")).alias("_n"))
-    )
+    near = None
+    for h in range(deepest + 1):
+        reach = width / 2**h if within is None else min(width / 2**h, within)
+        nine = asked.where(F.col("_h") == h).select(*key, "x", "y", F.explode(around).alias("_o"))
+        nine = nine.select(*key, "x", "y", (_bucket("x", width, h) + F.col("_o.dx")).alias("_bx"), (_bucket("y", width, h) + F.col("_o.dy")).alias("_by"))
+        met = nine.join(side.withColumns({"_bx": _bucket("_x", width, h), "_by": _bucket("_y", width, h)}), ["_bx", "_by"]).withColumn("_d", _apart())
+        one = met.where(F.col("_d") <= reach).groupBy(*key).agg(F.min(F.struct("_d", "_t")).alias("_n"))
+        near = one if near is None else near.unionByName(one)
     found = near
-    if within is None or within > width:
+    if within is None or within > width or crowded:
         found = written(near, "nearest")
         rest = written(left.join(found, list(key), "left_anti"), "left")
         if not rest.isEmpty():
@@ -174,6 +182,28 @@ def nearest_neighbour(
     return points.select(*key).join(found, list(key), "left").select(*key, F.col("_n._t").alias("nearest"), F.col("_n._d").alias("distance"))
 
 
+#: Targets in nine buckets that a point meets, and halvings of the buckets' width at most.
+CROWD, HALVINGS = 64, 24
+
+
+def _bucket(c: str, width: float, halved: int) -> Column:
+    return F.floor(F.col(c) / F.lit(width) * F.lit(2.0**halved)).cast("long")
+
+
+def _crowded(targets: DataFrame, width: float) -> list[DataFrame]:
+    """For each halving, the buckets (_bx, _by) that have too many targets in and around them; up to the last with any."""
+    out = []
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    for h in range(HALVINGS):
+        full = targets.groupBy(_bucket("_x", width, h).alias("_cx"), _bucket("_y", width, h).alias("_cy")).agg(F.count("*").alias("_m"))
+        each = full.withColumn("_o", F.explode(around)).select((F.col("_cx") + F.col("_o.dx")).alias("_bx"), (F.col("_cy") + F.col("_o.dy")).alias("_by"), "_m")
+        many = written(each.groupBy("_bx", "_by").agg(F.sum("_m").alias("_m")).where(F.col("_m") > CROWD).select("_bx", "_by"), "crowded")
+        if many.isEmpty():
+            break
+        out.append(many)
+    return out
+
+
 def _apart() -> Column:
     return F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
 

@@ -140,3 +140,18 @@ def test_far_points_go_down_the_pyramid(spark):
                 assert got[k] == (int(np.flatnonzero(apart[k] == apart[k].min())[0]), pytest.approx(apart[k].min()))
             else:
                 assert got[k] == (None, None)
+
+
+def test_points_meet_few_targets_of_a_dense_table(spark, monkeypatch):
+    """Buckets get smaller where targets crowd, so pairs grow with the points alone; copies of a place are one."""
+    monkeypatch.setattr(sample, "CROWD", 12)
+    rng = np.random.default_rng(4)
+    b = np.r_[rng.uniform(0, 10, (300, 2)), rng.normal(5, 0.02, (300, 2)), [[3.0, 3.0]] * 100]
+    a = np.r_[rng.uniform(-1, 11, (100, 2)), rng.normal(5, 0.03, (60, 2)), [[3.0, 3.0], [3.1, 3.0]]]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(a)], "k long, x double, y double")
+    targets = spark.createDataFrame([(t, float(x), float(y)) for t, (x, y) in enumerate(b)], "t long, x double, y double")
+    assert len(sample._crowded(targets.select(F.col("x").alias("_x"), F.col("y").alias("_y")).distinct(), 4.0)) > 4
+    got = {r.k: (r.nearest, r.distance) for r in sample.nearest_neighbour(points, targets, ["k"], "t", 4.0).collect()}
+    apart = np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1))
+    for k in range(len(a)):
+        assert got[k] == (int(np.flatnonzero(apart[k] == apart[k].min())[0]), pytest.approx(apart[k].min()))

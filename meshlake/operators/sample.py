@@ -8,6 +8,7 @@ Null rule of linear sampling: the result is null if a sample of non-zero weight
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,24 +156,21 @@ def nearest_neighbour(
     side = written(side.groupBy("_x", "_y").agg(F.min("_t").alias("_t")), "places")
     left = usable(points).select(*key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     crowded = _crowded(side, width)
-    # The first lattice that isn't crowded around a point; crowded around it at each coarser one.
     asked = left.withColumn("_h", F.lit(0))
-    for h, cells in enumerate(crowded):
-        at = {"_bx": _bucket("x", width, h), "_by": _bucket("y", width, h)}
-        on = cells.withColumns({"_h": F.lit(h), "_more": F.lit(1)})
-        asked = asked.withColumns(at).join(on, ["_h", "_bx", "_by"], "left").withColumn("_h", F.col("_h") + F.coalesce("_more", F.lit(0))).drop("_bx", "_by", "_more")
-    if crowded:
-        asked = written(asked, "asked")
-    deepest = len(crowded) - (len(crowded) == HALVINGS)  # what is crowded still goes down the pyramid
+    if crowded:  # the first lattice that isn't crowded around a point: it is crowded around it at each coarser one
+        every = left.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(len(crowded) - 1))))
+        every = every.select(*key, "_h", _bucket("x", width).alias("_bx"), _bucket("y", width).alias("_by"))
+        full = reduce(DataFrame.unionByName, [cells.withColumn("_h", F.lit(h)) for h, cells in enumerate(crowded)])
+        depth = every.join(full, ["_h", "_bx", "_by"]).groupBy(*key).agg(F.count("*").cast("int").alias("_more"))
+        asked = left.join(depth, list(key), "left").select(*key, "x", "y", F.coalesce("_more", F.lit(0)).alias("_h"))
+    deepest = min(len(crowded), HALVINGS - 1)  # what is still crowded goes down the pyramid
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    near = None
-    for h in range(deepest + 1):
-        reach = width / 2**h if within is None else min(width / 2**h, within)
-        nine = asked.where(F.col("_h") == h).select(*key, "x", "y", F.explode(around).alias("_o"))
-        nine = nine.select(*key, "x", "y", (_bucket("x", width, h) + F.col("_o.dx")).alias("_bx"), (_bucket("y", width, h) + F.col("_o.dy")).alias("_by"))
-        met = nine.join(side.withColumns({"_bx": _bucket("_x", width, h), "_by": _bucket("_y", width, h)}), ["_bx", "_by"]).withColumn("_d", _apart())
-        one = met.where(F.col("_d") <= reach).groupBy(*key).agg(F.min(F.struct("_d", "_t")).alias("_n"))
-        near = one if near is None else near.unionByName(one)
+    nine = asked.where(F.col("_h") <= deepest).select(*key, "x", "y", "_h", F.explode(around).alias("_o"))
+    nine = nine.select(*key, "x", "y", "_h", (_bucket("x", width) + F.col("_o.dx")).alias("_bx"), (_bucket("y", width) + F.col("_o.dy")).alias("_by"))
+    listed = side.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).withColumns({"_bx": _bucket("_x", width), "_by": _bucket("_y", width)})
+    reach = F.lit(width) / F.pow(F.lit(2.0), "_h")
+    reach = reach if within is None else F.least(reach, F.lit(float(within)))
+    near = nine.join(listed, ["_h", "_bx", "_by"]).withColumn("_d", _apart()).where(F.col("_d") <= reach).groupBy(*key).agg(F.min(F.struct("_d", "_t")).alias("_n"))
     found = near
     if within is None or within > width or crowded:
         found = written(near, "nearest")
@@ -186,8 +184,9 @@ def nearest_neighbour(
 CROWD, HALVINGS = 64, 24
 
 
-def _bucket(c: str, width: float, halved: int) -> Column:
-    return F.floor(F.col(c) / F.lit(width) * F.lit(2.0**halved)).cast("long")
+def _bucket(c: str, width: float) -> Column:
+    """The bucket of a coordinate on the lattice whose width is halved ``_h`` times."""
+    return F.floor(F.col(c) / F.lit(width) * F.pow(F.lit(2.0), F.col("_h"))).cast("long")
 
 
 def _crowded(targets: DataFrame, width: float) -> list[DataFrame]:
@@ -195,7 +194,7 @@ def _crowded(targets: DataFrame, width: float) -> list[DataFrame]:
     out = []
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     for h in range(HALVINGS):
-        full = targets.groupBy(_bucket("_x", width, h).alias("_cx"), _bucket("_y", width, h).alias("_cy")).agg(F.count("*").alias("_m"))
+        full = targets.withColumn("_h", F.lit(h)).groupBy(_bucket("_x", width).alias("_cx"), _bucket("_y", width).alias("_cy")).agg(F.count("*").alias("_m"))
         each = full.withColumn("_o", F.explode(around)).select((F.col("_cx") + F.col("_o.dx")).alias("_bx"), (F.col("_cy") + F.col("_o.dy")).alias("_by"), "_m")
         many = written(each.groupBy("_bx", "_by").agg(F.sum("_m").alias("_m")).where(F.col("_m") > CROWD).select("_bx", "_by"), "crowded")
         if many.isEmpty():

@@ -225,51 +225,108 @@ def tetrahedron_weights(corners: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.concatenate([1 - inner.sum(axis=-1, keepdims=True), inner], axis=-1)
 
 
+#: Cells of a block of hexahedra, and of a group of it along each axis; pairs of points and groups in one task, and at a time.
+BLOCK, SUB, TOGETHER, PAIRS = 4096, 4, 50_000, 5_000
+
+
+def _boxes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest x, y, z of the cells of a block (x, y, z, value, presence; k, j, i); NaN where a corner has no row."""
+    lo = hi = None
+    for c in range(8):
+        own = data[:, *[slice(c >> s & 1, data.shape[a] - 1 + (c >> s & 1)) for a, s in ((1, 2), (2, 1), (3, 0))]]
+        lo, hi = (own, own) if lo is None else (np.fmin(lo, own), np.fmax(hi, own))
+        gone = np.isnan(own[4]) if c == 0 else gone | np.isnan(own[4])  # noqa: F821
+    return np.where(gone, np.nan, lo[:3]), np.where(gone, np.nan, hi[:3])
+
+
 def sample_hexahedra(points: DataFrame, coordinates: DataFrame, values: DataFrame, n: Sequence[int], key: Sequence[str], epsilon: float = 1e-9) -> DataFrame:
     """(key, ci, cj, ck, value): samples in a curvilinear grid whose samples (i, j, k) have places (x, y, z).
 
     Cells are divided in five tetrahedra each, neighbours mirrored so that their sides fit; a value is
     linear in a tetrahedron, and null if a corner of non-zero weight is missing.  A point on a side belongs to the cell of least index.
+
+    Cells stay in blocks that share their border samples; the index holds boxes of small groups of cells, and a point's pairs with groups go to the block.
     """
-    samples = coordinates.join(values.select(*AXES, F.col("value").cast("double").alias("_v")), list(AXES), "left")
-    moves = F.array(*[F.struct(F.lit(c).alias("c"), *[(F.col(a) - (c >> s & 1)).cast("int").alias(f"c{a}") for s, a in enumerate(AXES)]) for c in range(8)])
-    around = samples.withColumn("_c", F.explode(moves)).select("_c.*", *[F.col(c).cast("double").alias(c) for c in "xyz"], "_v")
-    for a, size in zip(AXES, n):
-        around = around.where(F.col(f"c{a}").between(0, size - 2))
-    number = (F.col("ck").cast("long") * (n[1] - 1) + F.col("cj")) * (n[0] - 1) + F.col("ci")
-    ends = [f(c).alias(f"{e}{a}") for a, c in enumerate("xyz") for e, f in (("lo", F.min), ("hi", F.max))]
-    corner = F.array_sort(F.collect_list(F.struct("c", "x", "y", "z", "_v")))
-    cells = scratch.written(around.groupBy(number.alias("id")).agg(corner.alias("corners"), *ends).where(F.size("corners") == 8), "cells")
-    index = box_index(cells.select("id", *[f"{e}{a}" for a in range(3) for e in ("lo", "hi")]), 3)
-    asked = points.select(F.struct(*key).alias("_k"), *[F.col(c).cast("double").alias(f"p{c}") for c in "xyz"])
-    met = index.meet(asked, ["px", "py", "pz"]).join(cells, "id")
-    boxed = met.where(" and ".join(f"p{c} between lo{a} - {epsilon} and hi{a} + {epsilon}" for a, c in enumerate("xyz"))).select("_k", "id", "px", "py", "pz", "corners")
-    kind = boxed.schema["_k"].dataType.simpleString()
-    plane, line = (n[0] - 1) * (n[1] - 1), n[0] - 1
+    from . import flow
 
-    def run(batches):
+    shape = RegularGrid(tuple(n), (0.0,) * 3, tuple(float(m - 1) for m in n))
+    parts = [*[coordinates.select(*AXES, F.col(c).alias("value")) for c in "xyz"], values.select(*AXES, "value"), coordinates.select(*AXES, F.lit(1.0).alias("value"))]
+    size = flow.even_block(shape, BLOCK)
+    blocks, plain = flow.StoredField(shape, parts, block=size).blocks(), flow.StoredField(shape, [], block=size)
+    grouped = [-(-b // SUB) for b in plain.block]
+    groups, plane, line = int(np.prod(grouped)), (n[0] - 1) * (n[1] - 1), n[0] - 1
+
+    def boxes_of(batches):
         import pyarrow as pa
 
         for batch in batches:
-            flat = batch.column("corners").flatten()
-            place = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1).reshape(-1, 8, 3)
-            value = flat.field("_v").to_numpy(zero_copy_only=False).astype(float).reshape(-1, 8)
-            at = np.stack([batch.column(f"p{c}").to_numpy(zero_copy_only=False) for c in "xyz"], axis=1)
-            ids = batch.column("id").to_numpy()
-            odd = (ids // plane + ids % plane // line + ids % line) % 2 == 1
-            got, hit = np.full(len(at), np.nan), np.zeros(len(at), bool)
-            for parity in (False, True):
-                for corners in tetrahedra(parity):
-                    rows = np.flatnonzero((odd == parity) & ~hit)
-                    w = tetrahedron_weights(place[rows][:, corners], at[rows])
-                    inside = (w >= -epsilon).all(axis=1)
-                    rows, w = rows[inside], np.where(np.abs(w[inside]) <= epsilon, 0.0, w[inside])
-                    hit[rows] = True
-                    got[rows] = np.where(w == 0, 0.0, w * value[rows][:, corners]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("id"), pa.array(hit), pa.array(got, from_pandas=True)], ["_k", "id", "hit", "value"])
-
-    tested = boxed.mapInArrow(run, f"_k {kind}, id long, hit boolean, value double")
-    best = tested.where("hit").groupBy("_k").agg(F.min(F.struct("id", "value")).alias("_b"))
+            for number, samples in zip(batch.column("key").to_pylist(), batch.column("samples")):
+                lo, hi = _boxes(np.frombuffer(samples.as_py()).reshape(5, *reversed(plain.shape_of(number))))
+                for axis in (1, 2, 3):
+                    cuts = np.arange(0, lo.shape[axis], SUB)
+                    lo, hi = (f.reduceat(x, cuts, axis=axis) if len(cuts) else x for f, x in ((np.fmin, lo), (np.fmax, hi)))
+                k, j, i = np.nonzero(~np.isnan(lo).any(axis=0))
+                ids = number * groups + (k * grouped[1] + j) * grouped[0] + i
+                ends = [pa.array(x) for c in range(3) for x in (lo[c, k, j, i] - epsilon, hi[c, k, j, i] + epsilon)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), *ends], ["id", *names])
+
+    names = [f"{e}{c}" for c in range(3) for e in ("lo", "hi")]
+    boxes = scratch.written(blocks.mapInArrow(boxes_of, f"id long, {', '.join(f'{c} double' for c in names)}"), "groups")
+    index = box_index(boxes, 3)
+    asked = points.select(F.struct(*key).alias("_k"), *[F.col(c).cast("double").alias(f"p{c}") for c in "xyz"])
+    met = index.meet(asked, ["px", "py", "pz"]).join(boxes, "id").where(" and ".join(f"p{c} between lo{a} and hi{a}" for a, c in enumerate("xyz")))
+    pairs = scratch.written(met.select("_k", "px", "py", "pz", F.floor(F.col("id") / groups).alias("key"), (F.col("id") % groups).alias("group")), "pairs")
+    many = pairs.groupBy("key").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_n"))
+    sent = pairs.join(many, "key").withColumn("_part", F.pmod(F.xxhash64("_k"), F.col("_n")).cast("int")).drop("_n")
+    kind = pairs.schema["_k"].dataType.simpleString()
+
+    def run(key, asked, block):
+        import pyarrow as pa
+
+        made = []
+        if asked.num_rows and block.num_rows:
+            number = key[0].as_py()
+            data, origin = np.frombuffer(block.column("samples")[0].as_py()).reshape(5, *reversed(plain.shape_of(number))), plain.place_of(number)[1]
+            for first in range(0, asked.num_rows, PAIRS):
+                some = asked.slice(first, PAIRS)
+                at = np.stack([some.column(f"p{c}").to_numpy() for c in "xyz"], axis=1)
+                who, ids, value = _in_hexahedra(data, origin, some.column("group").to_numpy(), at)
+                made.append(pa.table({"_k": some.column("_k").take(pa.array(who)), "id": pa.array(ids), "value": pa.array(value, from_pandas=True)}))
+        if made:
+            return pa.concat_tables(made)
+        return pa.table({"_k": asked.column("_k").slice(0, 0), "id": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+
+    def _in_hexahedra(data, origin, group, at):
+        """Which points are in which cells of their groups, and the values there."""
+        lo, hi = _boxes(data)
+        start = np.stack([group % grouped[0], group // grouped[0] % grouped[1], group // (grouped[0] * grouped[1])], axis=1) * SUB
+        offset = np.stack([x.ravel() for x in np.indices((SUB, SUB, SUB))], axis=1)
+        cell = start[:, None] + offset[None]
+        there = (cell < np.array(lo.shape[:0:-1])).all(axis=2)
+        i, j, k = np.where(there[..., None], cell, 0).transpose(2, 0, 1)
+        for c in range(3):
+            there &= (at[:, None, c] >= lo[c, k, j, i] - epsilon) & (at[:, None, c] <= hi[c, k, j, i] + epsilon)
+        who, which = np.nonzero(there)
+        i, j, k = (x[who, which] for x in (i, j, k))
+        corner = np.stack([data[:4, k + (c >> 2), j + (c >> 1 & 1), i + (c & 1)] for c in range(8)])  # corner, part, pair
+        place, value, at = corner[:, :3].transpose(2, 0, 1), corner[:, 3].T, at[who]
+        i, j, k = (x + o for x, o in zip((i, j, k), origin))
+        odd = (i + j + k) % 2 == 1
+        got, hit = np.full(len(at), np.nan), np.zeros(len(at), bool)
+        for parity in (False, True):
+            for corners in tetrahedra(parity):
+                rows = np.flatnonzero((odd == parity) & ~hit)
+                w = tetrahedron_weights(place[rows][:, corners], at[rows])
+                inside = (w >= -epsilon).all(axis=1)
+                rows, w = rows[inside], np.where(np.abs(w[inside]) <= epsilon, 0.0, w[inside])
+                hit[rows] = True
+                got[rows] = np.where(w == 0, 0.0, w * value[rows][:, corners]).sum(axis=1)
+        return who[hit], ((k * (n[1] - 1) + j) * (n[0] - 1) + i)[hit].astype(np.int64), got[hit]
+
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.sparkSession.sparkContext.defaultParallelism)
+    slices = flow._slices(many, blocks).repartition(tasks, "_key", "_slice")
+    tested = sent.repartition(tasks, "key", "_part").groupBy("key", "_part").cogroup(slices.groupBy("_key", "_slice")).applyInArrow(run, f"_k {kind}, id long, value double")
+    best = tested.groupBy("_k").agg(F.min(F.struct("id", "value")).alias("_b"))
     cell = F.col("_b.id")
     out = asked.select("_k").join(best, "_k", "left")
     return out.select(

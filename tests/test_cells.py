@@ -155,3 +155,15 @@ def test_points_meet_few_targets_of_a_dense_table(spark, monkeypatch):
     apart = np.hypot(*(a[:, None] - b[None]).transpose(2, 0, 1))
     for k in range(len(a)):
         assert got[k] == (int(np.flatnonzero(apart[k] == apart[k].min())[0]), pytest.approx(apart[k].min()))
+
+
+def test_the_index_of_hexahedra_has_a_box_for_many_cells(spark, monkeypatch):
+    """Indexing and shuffling each cell with its eight corners moves the grid many times over."""
+    n, counts, made = (9, 9, 9), [], cells.box_index
+    monkeypatch.setattr(cells, "box_index", lambda boxes, d: counts.append(boxes.count()) or made(boxes, d))
+    samples = spark.range(729).select(*[(F.floor(F.col("id") / 9**a) % 9).cast("int").alias(c) for a, c in enumerate("ijk")])
+    samples = samples.withColumns({"x": F.col("i") + 0.1 * F.col("j"), "y": F.col("j") + 0.0, "z": F.col("k") + 0.0, "value": F.col("i") + F.col("k") * 10.0})
+    points = spark.createDataFrame([(1, 2.55, 1.5, 7.25), (2, 20.0, 0.0, 0.0)], "key long, x double, y double, z double")
+    hole = (F.col("i") == 8) & (F.col("j") == 8) & (F.col("k") == 8)
+    got = {r.key: r for r in cells.sample_hexahedra(points, samples.where(~hole), samples, n, ["key"]).collect()}
+    assert counts == [8] and (got[1].ci, got[1].cj, got[1].ck, got[1].value) == (2, 1, 7, pytest.approx(2.4 + 72.5)) and got[2].value is None

@@ -10,7 +10,7 @@ operations; equal pre-tokens of a batch, compared by their text, are looked up o
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import tiktoken
@@ -102,10 +102,37 @@ def expand(values: np.ndarray, first: np.ndarray, pick: np.ndarray) -> tuple[np.
 
 class Encoder:
     """Ids of texts.  ``whole`` resolves distinct pre-tokens at once (hash, texts -> id or
-    -1) and may be absent; ``rest`` gives the ids of each of a list of pre-tokens."""
+    -1) and may be absent; ``rest`` gives the ids of each of a list of pre-tokens.
 
-    def __init__(self, rest: Callable[[list[str]], list[list[int]]], whole: Callable | None = None):
-        self._rest, self._whole, self._known = rest, whole, {}
+    ``known`` numbers the remembered pre-tokens; the ids of number i are ``values`` from
+    ``bounds[i]`` to ``bounds[i + 1]``.  Behind them stand those of the batch at hand."""
+
+    def __init__(self, rest: Callable[[list[str]], list[list[int]]], whole: Callable | None = None, remembered: int = REMEMBERED):
+        self._rest, self._whole, self._known, self._remembered = rest, whole, {}, remembered
+        self._values, self._bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def _number(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of the pre-tokens; they hold until the next call."""
+        known = self._known
+        number = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(number < 0)
+        if not len(missing):
+            return number
+        short = np.fromiter((len(pieces[i]) <= 64 for i in missing.tolist()), bool, len(missing))
+        missing = np.concatenate([missing[short], missing[~short]])
+        asked = [pieces[i] for i in missing.tolist()]
+        found = self._rest(asked)
+        old = len(known)
+        number[missing] = np.arange(old, old + len(asked))
+        stop = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + self._bounds[old]
+        self._bounds = _longer(self._bounds, old + 1, len(stop))
+        self._bounds[old + 1 : old + 1 + len(stop)] = stop
+        begin, end = int(self._bounds[old]), int(stop[-1])
+        self._values = _longer(self._values, begin, end - begin)
+        self._values[begin:end] = np.fromiter(chain.from_iterable(found), np.uint32, end - begin)
+        keep = min(int(short.sum()), self._remembered - old)
+        known.update(zip(asked[:keep], range(old, old + keep)))
+        return number
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the place where each text's begin (and the last one's end)."""
@@ -115,21 +142,28 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         text = pre.text
         pieces = [text[s:e] for s, e in zip(pre.start[where].tolist(), pre.end[where].tolist())]
-        known = self._known
         if self._whole is None:
-            found = list(map(known.get, pieces))
+            number = self._number(pieces)
+            first = np.append(0, np.cumsum(self._bounds[number + 1] - self._bounds[number]))
+            flat, _ = expand(self._values, self._bounds, number)
         else:
-            found = [known.get(piece) if rank < 0 else (rank,) for rank, piece in zip(self._whole(pre.hash, pieces), pieces)]
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        if missing:
-            asked = [pieces[i] for i in missing]
-            for i, piece, ids in zip(missing, asked, self._rest(asked)):
-                found[i] = ids = tuple(ids)
-                if len(known) < REMEMBERED and len(piece) <= 64:
-                    known[piece] = ids
-        first = np.zeros(len(found) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=first[1:])
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(first[-1]))
+            rank = np.asarray(self._whole(pre.hash, pieces), np.int64)
+            parts = rank < 0
+            number = self._number([pieces[i] for i in np.flatnonzero(parts).tolist()])
+            size = np.ones(len(rank), np.int64)
+            size[parts] = self._bounds[number + 1] - self._bounds[number]
+            first = np.append(0, np.cumsum(size))
+            flat = np.repeat(rank, size).astype(np.uint32)
+            flat[np.repeat(parts, size)] = expand(self._values, self._bounds, number)[0]
         out, stop = expand(flat, first, code)
         bounds = np.append(0, stop)
         return out, bounds[pre.first]
+
+
+def _longer(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array with room for ``more`` values behind those used."""
+    if used + more <= len(array):
+        return array
+    out = np.zeros((used + more) * 3 // 2, array.dtype)
+    out[:used] = array[:used]
+    return out

@@ -46,6 +46,11 @@ MAX_LENGTH = 20
 STRIDE = 128
 BLOCK_IDS = 1 << 17
 END_ID = 0
+#: Pre-tokens a worker remembers, some 150 bytes each.
+REMEMBERED = 600_000
+#: The characters that byte-level vocabularies write for bytes: printable ones for themselves, further ones for the rest.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LEVEL = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
 _encoders: dict = {}
 _tables: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -60,9 +65,17 @@ class _Tokens:
     def __init__(self, spec: str):
         tokenizer = Tokenizer.from_str(spec)
         self.library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self.encoder = Encoder(self.library)
+        self.model = tokenizer.model
+        self.model._resize_cache(0)  # a pre-token is asked for once, so the model's own memory of them costs more than it gives
+        self.encoder = Encoder(self._pieces, remembered=REMEMBERED)
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
+    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of pre-tokens, which need no splitting: the library's model gets them as its byte-level
+        step would hand them over."""
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(p.encode().decode("latin-1").translate(_BYTE_LEVEL))] for p in pieces]
+
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the place where each text's begin (and the last one's end)."""
         whole = [i for i, text in enumerate(texts) if any(a in text for a in self.added)]

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from meshlake.llm import tokenfile, unigram
+from meshlake.llm import pretokens, tokenfile, unigram
 
 SPEC = open(public_tokenizers.path("byte_bpe_50k.json")).read()
 
@@ -65,6 +65,26 @@ def test_files(spark, sf_dir, tmp_path, monkeypatch):
     assert tokenfile.report(docs.limit(0), SPEC).count() == 0
 
 
+def test_pieces_as_the_library_has_them():
+    """A worker remembers few pre-tokens or many, long ones among them: the ids are the library's on whole texts."""
+    tokenizer = Tokenizer.from_str(SPEC)
+    odd = ["".join(map(chr, range(0x180))), "a" * 500 + " ü" * 70 + "\u3000\n\n x", "it's 12345 😀\t ok\x00\x7f\xad"]
+    texts = odd + [f"wörd{i} x{i * i} Queoule{i % 7}" for i in range(300)] + odd
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for remembered in (0, 5, 1000):
+        tokens = tokenfile._Tokens(SPEC)
+        tokens.encoder = pretokens.Encoder(tokens._pieces, remembered=remembered)
+        asked = []
+        rest = tokens.encoder._rest
+        tokens.encoder._rest = lambda pieces, asked=asked, rest=rest: asked.append(len(pieces)) or rest(pieces)
+        for _ in range(3):
+            flat, first = tokens.ids(texts)
+            assert [x.tolist() for x in np.split(flat, first[1:-1])] == want
+        assert len(tokens.encoder._known) <= remembered
+        if remembered == 1000:
+            assert asked[1:] == [2, 2]  # the two of more than 64 letters, which are not remembered
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return unigram.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))

@@ -4,7 +4,8 @@ A function is declared pointwise (each output sample depends on the inputs at th
 sample), with a halo (on samples at most so far away along each axis), or neither.  Pointwise
 functions run on Arrow batches.  Those with a halo run block by block: every block gets
 the samples around it from its neighbours, and what a script makes at the blocks' cut sides is dropped, so the
-result is that on the whole grid.  The others get the whole grid of one time step in one task.
+result is that on the whole grid.  Either kind may ask for totals of a step, which Spark aggregates.  The others
+get the whole grid of one time step in one task.
 
 A request for a region reads only that region (and its halo) if all inputs are on the
 output's mesh; otherwise the whole grid.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,6 +39,7 @@ class Function:
     pointwise: bool
     halo: int | None = None
     coordinates: bool = False
+    totals: dict[str, str] = field(default_factory=dict)
 
 
 class Registry:
@@ -49,20 +51,24 @@ class Registry:
 
     def add(
         self, name: str, script: str, inputs: Sequence[str], outputs: Sequence[str], pointwise: bool = False,
-        halo: int | None = None, mesh: str | None = None, coordinates: bool = False,
+        halo: int | None = None, mesh: str | None = None, coordinates: bool = False, totals: dict[str, str] | None = None,
     ) -> None:
         """Checks and registers a function.  Outputs must be new, valid names on a known mesh, that of the first input
         unless given; a mistake in the script's syntax is raised here.
 
-        With ``coordinates`` the inputs' coordinate variables are inputs too, once each.
+        With ``coordinates`` the inputs' coordinate variables are inputs too, once each.  ``totals`` names aggregates of
+        the inputs over a whole step, such as ``avg(v)``, which Spark makes; the script finds each as an array of one value.
         """
         import re
 
         compile(script, name, "exec")
-        for n in outputs:
+        totals = dict(totals or {})
+        if set(totals) & {*inputs, *outputs, *AXES, "ts"}:
+            raise ValueError(f"names in use among {sorted(totals)}")
+        for n in [*outputs, *totals]:
             if not re.fullmatch(r"[A-Za-z_]\w*", n):
                 raise ValueError(f"not a valid name: {n}")
-            if n in self.dataset.variables:
+            if n not in totals and n in self.dataset.variables:
                 raise ValueError(f"{n} exists")
         missing = [n for n in inputs if n not in self.dataset.variables]
         if missing or not inputs:
@@ -73,7 +79,7 @@ class Registry:
         target = mesh or self.dataset.variables[inputs[0]].mesh
         if target not in self.dataset.meshes:
             raise ValueError(f"unknown mesh {target}")
-        function = Function(name, script, tuple(inputs), tuple(outputs), target, pointwise, halo, coordinates)
+        function = Function(name, script, tuple(inputs), tuple(outputs), target, pointwise, halo, coordinates, totals)
         self._functions[name] = function
         varying = any(self.dataset.variables[n].time_varying for n in inputs)
         for n in outputs:
@@ -85,7 +91,7 @@ class Registry:
     def regional(self, function: Function) -> bool:
         """Whether a part of the output needs a part of the inputs only: all are on its mesh, and it looks no farther than a halo."""
         same = all(self.dataset.variables[n].mesh == function.mesh for n in function.inputs)
-        return same and (function.pointwise or function.halo is not None)
+        return same and not function.totals and (function.pointwise or function.halo is not None)
 
     def inputs_of(self, function: Function) -> list[str]:
         """The inputs, and the coordinates that the function asks for, each once."""
@@ -109,7 +115,7 @@ class Registry:
                 changed.append(name)
         for name, f in wanted.items():
             if name not in self._functions:
-                self.add(name, f.script, f.inputs, f.outputs, f.pointwise, f.halo, f.mesh, f.coordinates)
+                self.add(name, f.script, f.inputs, f.outputs, f.pointwise, f.halo, f.mesh, f.coordinates, f.totals)
                 changed.append(name)
         return sorted(set(changed))
 
@@ -143,11 +149,15 @@ class Registry:
             on = (["ts"] if v.time_varying else []) + own
             one = table.select(*on, F.col("value").alias(n))
             inputs = one if inputs is None else inputs.join(one, [c for c in on if c in inputs.columns])
+        if function.totals:
+            by = [c for c in keys if c == "ts"]
+            made = inputs.groupBy(*by).agg(*[F.expr(e).alias(n) for n, e in function.totals.items()])
+            inputs = inputs.join(made, by) if by else inputs.crossJoin(made)
         return inputs, keys, axes
 
     def _evaluate(self, function: Function, output: str, ts: int | None = None, box=None) -> DataFrame:
         inputs, keys, axes = self._gathered(function, output, ts, box)
-        names = self.inputs_of(function)
+        names = self.inputs_of(function) + list(function.totals)
         if function.pointwise:
             return run_pointwise(inputs, keys, axes, function.script, names, output)
         if function.halo is not None:
@@ -158,7 +168,7 @@ class Registry:
         """What a function prints where it runs: (ts, part, text), a row for each part of the grid that it is called on."""
         function = self._functions[name]
         inputs, keys, axes = self._gathered(function, function.outputs[0], ts, None)
-        names = self.inputs_of(function)
+        names = self.inputs_of(function) + list(function.totals)
         if function.halo is None and not function.pointwise:
             return _outputs_of(inputs, keys, axes, function.script, names, 1 << 30, 0)
         return _outputs_of(inputs, keys, axes, function.script, names, self.block, function.halo or 0)

@@ -43,7 +43,8 @@ def _(spark, sf):
 
 @query("u2_script_on_the_whole", G + "SELECT i, j, round(v - m, 6) AS value FROM g, (SELECT avg(v) AS m FROM g)")
 def _(spark, sf):
-    data, _ = _functions(spark, sf, "w = v - v.mean()")
+    """Deviations from the mean of the step: Spark makes the mean, the script runs on Arrow batches."""
+    data, _ = _functions(spark, sf, "w = v - m", pointwise=True, totals={"m": "avg(v)"})
     return data.variable("w").select("i", "j", r6("value").alias("value"))
 
 

@@ -53,6 +53,27 @@ def test_whole_functions_take_gaps(spark):
     assert functions.inputs_of(functions.get("f")) == ["v", "x"]
 
 
+def test_totals_of_a_step_need_no_task_for_all_of_it(spark, sf_dir):
+    data = np.random.default_rng(3).normal(size=(9, 14))
+    out = opened(spark, data)
+    functions = Registry(out)
+    functions.block = 4
+    functions.add("f", "w = (v - m) / (top - m)", ["v"], ["w"], pointwise=True, totals={"m": "avg(v)", "top": "max(v)"})
+    want = (data - data.mean()) / (data.max() - data.mean())
+    for halo in (None, 1):
+        got = {(r.i, r.j): r.value for r in out.variable("w").collect()}
+        assert len(got) == data.size and all(got[i, j] == pytest.approx(want[j, i]) for i, j in got)
+        part = {(r.i, r.j): r.value for r in out.variable("w", 0, [(6, 12), (3, 7)]).collect()}
+        assert len(part) == 35 and all(part[k] == got[k] for k in part)
+        functions.sync(functions.state().replace('"pointwise": true, "halo": null', '"pointwise": false, "halo": 1'))
+    assert functions.get("f").halo == 1 and functions.get("f").totals == {"m": "avg(v)", "top": "max(v)"}
+    for bad in ({"v": "avg(v)"}, {"i": "avg(v)"}, {"a b": "avg(v)"}):
+        with pytest.raises(ValueError):
+            functions.add("g", "u = v", ["v"], ["u"], pointwise=True, totals=bad)
+    plan = QUERIES["u2_script_on_the_whole"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroups" not in plan
+
+
 def test_other_meshes_are_whole(spark):
     out = opened(spark, np.ones((3, 4)))
     functions = Registry(out)

@@ -275,3 +275,78 @@ def test_rows_across_batches():
         assert [i for b in lines._repeated(cut()) for i in b.column("at").to_pylist()] == [i for i, x in enumerate(key) if key.count(x) > 1]
         got = [row for b in lines._distinct(cut()) for row in zip(*(b.column(c).to_pylist() for c in ("k2", "n", "at")))]
         assert got == [(x, 2 * key.count(x), key.index(x)) for x in sorted(set(key))]
+
+
+def test_edited_lines_share_a_bucket():
+    """Similar lines with a word in ten replaced meet, nearly all; short ones with two characters gone always do."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    pairs = []
+    for _ in range(600):
+        a = [word() for _ in range(rng.randrange(15, 60))]
+        b = [word() if rng.random() < 0.1 else x for x in a]
+        pairs.append((" ".join(a), " ".join(b)))
+    short = []
+    for _ in range(100):
+        a = "".join(rng.choice("abcdef") for _ in range(rng.randrange(10, 15)))
+        b = list(a)
+        for _ in range(2):
+            b[rng.randrange(len(b))] = rng.choice(["", "x"])
+        short.append((a, "".join(b)))
+    met = []
+    for own in (pairs, short):
+        own = [(a, b) for a, b in own if a != b and levenshtein(a, b) * 5 <= max(len(a), len(b))]
+        forms = [x for pair in own for x in pair]
+        cp = np.frombuffer("".join(forms).encode("utf-32-le"), "<u4")
+        keys, owner = lines.bucket_keys(cp, np.append(0, np.cumsum([len(f) for f in forms])))
+        held = [set(keys[owner == i].tolist()) for i in range(len(forms))]
+        met.append(np.mean([bool(held[i] & held[i + 1]) for i in range(0, len(forms), 2)]))
+        assert len(own) > 60
+    assert met[0] >= 0.96 and met[1] == 1
+
+
+def test_entries_at_like_places():
+    """Entries that can be aligned stay in one group, whatever else has their key; those alone go."""
+    rng = np.random.default_rng(3)
+    meet = lines._at_like_places(80)[1]
+    for n in (1, 2, 30, 400):
+        key = np.sort(rng.integers(0, max(1, n // 6), n)).astype(np.int64)
+        size = rng.integers(10, 200, n)
+        place = rng.integers(0, size)
+        rows, group = lines.at_like_places(key, size, place, 80)
+        of = dict(zip(rows.tolist(), group.tolist()))
+        about = np.stack([size, place], axis=1)
+        for i in range(n):
+            partners = [j for j in range(n) if j != i and key[i] == key[j] and meet(about[i], about[j])]
+            assert (i in of) == bool(partners) and all(of[i] == of[j] for j in partners)
+        assert (np.diff(key[rows]) >= 0).all() and len({(key[r], g) for r, g in of.items()}) == len(set(of.values()))
+
+
+def test_open_buckets_give_links_only():
+    """In a large bucket all similar lines end in one class, and no more rows come out than join classes."""
+    from meshlake.llm import linking
+
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(12)]
+    texts = []
+    for i in range(150):
+        own = list(stems[i % 12])
+        for _ in range(rng.randrange(10)):
+            own[rng.randrange(60)] = rng.choice("xyz")
+        texts.append("".join(own))
+    meet, may = lines._at_like_places(80)[1], lambda a, b: lines.may_be_similar(a, b, 80)
+    columns = {"bucket": [5] * 150, "i": [0] * 150, "j": [0] * 150, "k": range(150), "root": range(150), "own": [0] * 149 + [-1], "asked": [None] * 150}
+    table = pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()} | {"text": texts, "size": [60] * 150, "place": [0] * 150})
+    out = linking._joined(meet, lines.counters, may, lines._similar_pairs(80))(iter([b for x in (0, 40) for b in table.slice(x, 40 if x == 0 else 110).to_batches()]))
+    links = [row for b in out for row in zip(*(c.to_pylist() for c in b.columns))]
+    root = list(range(150))
+
+    def classes(pairs):
+        at = list(root)
+        for a, b in pairs:
+            low, high = sorted((at[a], at[b]))
+            at = [low if x == high else x for x in at]
+        return at
+
+    want = classes([(a, b) for a in range(150) for b in range(a) if levenshtein(texts[a], texts[b]) * 5 <= 60])
+    assert classes(links) == want and len(links) == 150 - len(set(want)) > 100
